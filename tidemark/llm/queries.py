@@ -5,21 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table
+from tidemark.llm import decontamination, langid, linededup, mixing, perplexity, pii, sharding, simhash, toxicity
+from tidemark.llm.common import fold01, read_table
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item whose tiles cover at least half of the item."""
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt from labels whose id's crc32 modulo 5 is not 0."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").filter(fold01("doc_id", 5) != 0).select("doc_id", "toxic")
+    crf = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+    scored = toxicity.score(docs, crf, "doc_id", (fold01("doc_id", 5) == 0).alias("held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.simhash import near_duplicates
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, max_bits=2)
+
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, max_bits=2)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line deduplication removes of every document: count, offsets and a digest of the text that stays."""
+    kept = linededup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return kept.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.sharding import shard
+    return sharding.shard(read_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures, base verdict and the perplexity verdict of every document."""
+    return perplexity.judge(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
 
-    return shard(read_table(spark, sf_dir, "documents"), shards=16)
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from documents whose id's crc32 modulo 4 is not 2."""
+    docs = read_table(spark, sf_dir, "documents")
+    languages, matrix = langid.train(docs.filter(fold01("doc_id", 4) != 2).select("text", "lang"))
+    return langid.predict(docs, languages, matrix, "doc_id", (fold01("doc_id", 4) == 2).alias("held_out"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_near_dedup, op6_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_benchmark_decontamination, op3_toxicity, op4_simhash_near_dedup, op5_substring_dedup, op6_sharding, op7_mixing, op8_quality_rules, op9_pii,
+        op10_language_id,
+    )
+}
 ORACLES: dict[str, str] = {}
