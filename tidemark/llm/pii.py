@@ -42,7 +42,7 @@ def _accepted(kind: Column, match: Column) -> Column:
     return (
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", small)
-        .when(kind == "card", F.length(digits).between(12, 19) & F.coalesce(F.luhn_check(digits), F.lit(False)))
+        .when(kind == "card", F.length(digits).between(12, 19) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False)))
         .when(kind == "phone", F.length(digits).between(9, 15))
     )
 

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, langid, linededup, mixing, perplexity, pii, sharding, simhash, toxicity
+from tidemark.llm import decontamination, langid, linededup, mixing, perplexity, pii, sharding, simhash, suffixes, toxicity
 from tidemark.llm.common import fold01, read_table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 400-byte strings cover which start anywhere else too."""
+    return suffixes.repeated_bytes(read_table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item whose tiles cover at least half of the item."""
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -63,8 +68,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_benchmark_decontamination, op3_toxicity, op4_simhash_near_dedup, op5_substring_dedup, op6_sharding, op7_mixing, op8_quality_rules, op9_pii,
-        op10_language_id,
+        op1_suffix_array_dedup, op2_benchmark_decontamination, op3_toxicity, op4_simhash_near_dedup, op5_substring_dedup, op6_sharding, op7_mixing,
+        op8_quality_rules, op9_pii, op10_language_id,
     )
 }
 ORACLES: dict[str, str] = {}

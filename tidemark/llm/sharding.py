@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows are dealt into blocks by a hash of their content, so blocks do not depend on file layout or retries. The
+Rows are numbered once, in a written table, and dealt into blocks by a hash of their content and number, so blocks do
+not change with retries and equal rows spread over all blocks. The
 number of rows that block i sends to shard j is drawn from the multivariate hypergeometric distribution of a
 uniformly random permutation with fixed shard sizes. Rows are permuted within their block, cut by that matrix row,
 exchanged, and permuted again within their shard, which makes the whole a uniform shuffle (Sanders, 1998).
@@ -53,34 +54,22 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     return min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n)
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), law "rows": shard counts at most one apart.
-
-    size is the text's UTF-8 bytes (null: none) plus one, text_crc32 the unsigned CRC-32 of the text (null: empty),
-    slot the row's place in its shard, gapless from 0, grown_shard null. Repeated rows are dealt like any others;
-    an empty table gives an empty result. The driver holds one number per block and shard, nothing per row.
-    """
-    spark = docs.sparkSession
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = materialize(
-        docs.select(
-            "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-            row_key().alias("key"), F.monotonically_increasing_id().alias("tie"),
-        ), "shard-rows",
-    )
+def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """rows (key and others) with shard and slot."""
+    spark = rows.sparkSession
     total = rows.count()
     blocks = max(1, math.ceil(total / BLOCK_ROWS))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(blocks)).cast("int"))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "tie"), F.lit(blocks)).cast("int"))
     sent = {r["block"]: r["n"] for r in placed.groupBy("block").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix(np.array([sent.get(b, 0) for b in range(blocks)], np.int64), shards, seed)
     cuts = spark.createDataFrame([(b, [int(x) for x in np.cumsum(matrix[b])]) for b in range(blocks)], "block int, cuts array<long>")
 
-    local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", "tie")
+    local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "key", "tie"), "key", "tie")
     dealt = (
         placed.withColumn("place", F.row_number().over(local))
         .join(cuts, "block")
         .withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("place"))).cast("int"))
-        .withColumn("mixed", F.xxhash64(F.lit(seed + 2), "key"))
+        .withColumn("mixed", F.xxhash64(F.lit(seed + 2), "key", "tie"))
         .withColumn("part", F.pmod(F.col("mixed"), F.lit(max(1, blocks // shards))).cast("int"))
         .drop("cuts", "place", "block")
     )
@@ -88,11 +77,32 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     again = Window.partitionBy("shard", "part").orderBy("mixed", "key", "tie")
-    return (
-        dealt.withColumn("within", F.row_number().over(again))
-        .join(parts, ["shard", "part"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-            (F.col("first") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        )
-    )
+    numbered = dealt.withColumn("within", F.row_number().over(again)).join(parts, ["shard", "part"])
+    return numbered.withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("first", "within", "part", "mixed")
+
+
+def shard(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), law "rows": shard counts at most one apart.
+
+    size is the text's UTF-8 bytes (null: none) plus one, text_crc32 the unsigned CRC-32 of the text (null: empty),
+    slot the row's place in its shard, gapless from 0, grown_shard null. Repeated rows are dealt like any others;
+    an empty table gives an empty result. The driver holds one number per block and shard, nothing per row.
+    """
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    figures = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), row_key().alias("key"))
+    rows = materialize(_numbered(figures), "shard-rows")
+    return _placed(rows, shards, seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with tie: tells rows of equal key apart in whatever order they come."""
+    return rows.withColumn("tie", F.monotonically_increasing_id())
+
+
+def sharded_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
+    """All columns of docs with shard and slot (see shard); columns of those names are replaced."""
+    payload = docs.select(F.struct(*docs.columns).alias("document"), row_key().alias("key"))
+    rows = materialize(_numbered(payload), "shard-documents")
+    placed = _placed(rows.select("key", "tie"), shards, seed).drop("key")
+    kept = [F.col("document")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return rows.join(placed, "tie").select(*kept, "shard", "slot")

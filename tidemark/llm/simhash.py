@@ -15,6 +15,7 @@ filed under one value (at most 65) are linked to the smallest of them.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -32,17 +33,31 @@ CELL_ROWS = 48
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles (see fingerprints)."""
+#: The bits of every byte value, lowest first.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included; none for a text without a word."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     width = min(words, len(tokens))
     shingles = map(b" ".join, zip(*(tokens[i : len(tokens) - width + 1 + i] for i in range(width)), strict=True))
-    n = len(tokens) - width + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(tokens) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
+    n = len(hashes)
+    places = hashes.astype("<u8").view(np.uint8).reshape(n, 8) + np.arange(8) * 256
+    counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS.astype(np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n, axis=1, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles (see fingerprints)."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -138,3 +153,106 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return base.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints, for links of a given similarity: words of 64 bits.
+WIDE = 4
+#: Least chance that a pair at the similarity asked for shares a cell in which it is compared.
+RECALL = 0.9
+
+
+def wide_fingerprint(text: bytes, words: int) -> list[int]:
+    """SimHash of WIDE * 64 bits, as signed words; the further words come from multiplied hashes."""
+    h = shingle_hashes(text, words)
+    out = []
+    for i in range(WIDE):
+        x = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i) if i else h
+        out.append(_signed(majority(x ^ (x >> np.uint64(29)) if i else x)))
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, f0, f1, ..): wide fingerprints of whole texts, zero for texts without a word."""
+
+    def run(batches):
+        for batch in batches:
+            starts, data = text_bytes(batch.column(1))
+            raw = data.data
+            rows = [wide_fingerprint(bytes(raw[starts[i] : starts[i + 1]]), words) for i in range(len(starts) - 1)]
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(f"f{k}" for k in range(WIDE))])
+
+    schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(WIDE))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits between texts whose shingle sets have that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def cell_plan(rows: int, share: float) -> list[list[int]]:
+    """Per grid, the two-bit segments whose counts make a cell.
+
+    Segments per grid grow with the logarithm of the rows, so that unlike fingerprints meet about once a grid, and
+    the number of grids is what RECALL needs at that share of differing bits.
+    """
+    each = min(32, max(6, math.ceil(math.log2(max(rows, 2)) / 1.5)))
+    meet = ((1 - share) ** 2 + share**2 / 2) ** each
+    grids = math.ceil(math.log(1 - RECALL) / math.log1p(-meet))
+    rng = np.random.default_rng(SEED)
+    return [sorted(rng.choice(32 * WIDE, each, replace=False).tolist()) for _ in range(grids)]
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every document; component_id is the smallest doc_id of its group.
+
+    Documents link if their wide fingerprints differ in no more bits than texts of that Jaccard similarity are
+    expected to. In each cell of each grid, members are compared with two of them, the first and the last in an
+    order that every grid draws anew, so a family of any size makes two pairs per member and grid. Pairs are
+    filtered by the Manhattan distance of their segments' bit counts, a lower bound, and then by exact Hamming
+    distance. Null texts and texts without a word form one group; an empty table gives an empty result.
+    """
+    names = [f"f{k}" for k in range(WIDE)]
+    base = materialize(wide_fingerprints(docs, words), "wide-fingerprints")
+    distinct = base.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
+    share = differing_share(similarity)
+    most_bits = math.floor(share * 64 * WIDE)
+    plan = cell_plan(distinct.count(), share)
+    counts = distinct.select("node", *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
+
+    def cell(grid: int, segments: list[int]) -> Column:
+        masks = [_signed(sum(3 << 2 * (s % 32) for s in segments if s // 32 == k)) for k in range(WIDE)]
+        return F.xxhash64(F.lit(grid), *[F.col(f"v{k}").bitwiseAND(F.lit(mask)) for k, mask in enumerate(masks) if mask])
+
+    filed = counts.select("node", F.posexplode(F.array(*[cell(i, s) for i, s in enumerate(plan)])).alias("grid", "cell"))
+    turn = F.struct(F.xxhash64("grid", "node").alias("turn"), "node")
+    ends = filed.groupBy("cell").agg(F.count("*").alias("n"), F.min(turn).alias("least"), F.max(turn).alias("most")).filter("n > 1")
+    met = filed.join(ends.select("cell", F.array("least.node", "most.node").alias("hubs")), "cell").select("node", F.explode("hubs").alias("hub"))
+    pairs = met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def side(name: str) -> DataFrame:
+        return distinct.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in names])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def distance(of) -> Column:
+        return sum((F.bit_count(of(F.col(f"a{c}")).bitwiseXOR(of(F.col(f"b{c}")))) for c in names), F.lit(0))
+
+    near = both.filter(distance(embedding) <= most_bits).filter(distance(lambda x: x) <= most_bits).select("a", "b")
+    roots = connected_components(near)
+    rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_fp = rooted.join(least, "root").select(*names, "component_id")
+    return base.join(by_fp, names).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group: the one with the smallest doc_id, and one of rows that repeat it.
+
+    Rows without a doc_id stay.
+    """
+    leaders = similar_groups(docs, words, similarity).select(F.col("component_id").alias("__leader")).filter("__leader is not null").distinct()
+    kept = docs.filter("doc_id is not null").join(leaders, F.col("doc_id") == F.col("__leader"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
