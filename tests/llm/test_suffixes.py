@@ -40,7 +40,7 @@ def test_all_strings_of_real_texts(spark):
     assert order(result(suffixes.repeated_bytes(docs))) == order(brute(rows, 400))
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT_CLASS, 1])
+@pytest.mark.parametrize("hot", [suffixes.HOT_KINDS, 1])
 def test_edited_copies_of_few_letters(spark, hot):
     """Two letters, periodic stretches and single edits: many owners with equal beginnings."""
     rng = random.Random(3)
