@@ -108,6 +108,6 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, *keep: st
                 score[lo:hi] = np.where(has_letter, likely.max(axis=1) / likely.sum(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
-    source = docs.select(F.col("text").cast("string").alias("text"), *keep)
+    source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     return source.mapInArrow(run, f"{kept}, lang_pred string, score double")

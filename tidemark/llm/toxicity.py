@@ -249,6 +249,6 @@ def score(docs: DataFrame, crf: Crf, *keep) -> DataFrame:
             columns = [*batch.columns[1:], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "score", "predicted", "spans"])
 
-    source = docs.select(F.col("text").cast("string").alias("text"), *keep)
+    source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
     return source.mapInArrow(run, f"{kept}score double, predicted int, spans string")
