@@ -81,7 +81,10 @@ def _laid_out(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
 
 
 def draws(sources: DataFrame) -> DataFrame:
-    """(sid, shard, pass_no, block): one row per drawn block."""
+    """(sid, shard, pass_no, block): one row per drawn block.
+
+    Spark takes the result for as small as sources, which it is not: joins with it name their kind.
+    """
     some = sources.filter("draws > 0").select("sid", "draws", "blocks")
     parts = some.select("sid", "draws", "blocks", F.explode(F.sequence(F.lit(0), F.expr(f"(draws - 1) div {DRAWS_PER_TASK}"))).alias("part"))
     spread = parts.repartition("sid", "part")
@@ -112,7 +115,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     rows, sources, offsets = _laid_out(docs)
     times = draws(sources).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = _pieces(offsets).join(times, ["sid", "block"]).groupBy("tie").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = _pieces(offsets).join(times.hint("merge"), ["sid", "block"]).groupBy("tie").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     with_source = rows.join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     return with_source.join(taken, "tie", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -125,11 +128,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     payload = docs.select(*docs.columns, F.struct(*docs.columns).alias("__document"))
     rows, sources, offsets = _laid_out(payload, "text", "__document")
     drawn = draws(sources).select("sid", "block", "pass_no")
-    pieces = _pieces(offsets).join(drawn, ["sid", "block"])
+    pieces = _pieces(offsets).join(drawn.hint("merge"), ["sid", "block"])
     taken = pieces.groupBy("tie").agg(F.array_sort(F.collect_list(F.struct("pass_no", "first", "words"))).alias("taken"), F.sum("words").alias("n"), F.max("pass_no").alias("passes"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    picked = F.flatten(F.transform("taken", lambda p: F.slice(F.col("__words"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+
+    def pieces_of(w: Column) -> Column:
+        return F.array_join(F.flatten(F.transform("taken", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+
+    picked = F.transform(F.array(words), pieces_of)[0]  # one array of the words, cut into once per row
     once = (F.col("n") == F.col("size")) & (F.col("passes") == 0)
-    joined = rows.join(taken, "tie").withColumn("__words", F.when(~once, words)).withColumn("text", F.when(once, F.col("text")).otherwise(F.concat_ws(" ", picked)))
+    joined = rows.join(taken, "tie").withColumn("text", F.when(once, F.col("text")).otherwise(picked))
     out = {c: F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col("__document")[c] for c in docs.columns}
     return joined.select(*[expr.alias(c) for c, expr in out.items()])
