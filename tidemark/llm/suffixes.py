@@ -11,8 +11,10 @@ merges its segments with a loser tree that keeps, for each loser, the length it
 comparisons start behind that length, so no known prefix is compared again. The merged order comes with the lengths
 shared by neighbours, and from those and the few bytes before each owner follow the repeated strings.
 
-Owners whose beginnings are shared by more than HOT_CLASS texts are not brought together: each of their strings is
-digested, and the digests are counted by a plain aggregate, combined inside tasks first.
+Owners whose whole stretch (all strings they own) occurs twice need no order: all their strings are repeated. One of
+them stands for the others where the same beginning goes on in different ways. A beginning that goes on in more than
+HOT_KINDS ways is not brought together: the strings of its owners are digested, and the digests are counted by a
+plain aggregate, combined inside tasks first.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from tidemark.storage import materialize
 LENGTH = 400
 WINDOW = 128
 GRAM = 32
-#: Texts that share a beginning, from which on their strings are counted by digests.
-HOT_CLASS = 4096
+#: Different stretches that share a beginning, from which on their strings are counted by digests.
+HOT_KINDS = 50_000
 #: Suffixes that one part merges, on average, and bytes of suffixes that a task sorts into one run.
 PART_SUFFIXES = 20_000
 RUN_BYTES = 32 << 20
@@ -57,14 +59,15 @@ BYTE_CODES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def owners(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, position, least and most bytes before it, hash of the beginning) of the owners in texts laid end to end.
+    """(text, position, least and most bytes before it, hashes of the beginning and of the whole stretch) of the owners.
 
-    An owner at a owns the strings that start at a - most .. a - least. Positions count in data.
+    The texts are laid end to end. An owner at a owns the strings that start at a - most .. a - least, which cover its
+    stretch. Positions count in data.
     """
     n, size = len(data), np.diff(starts)
     long = np.flatnonzero(size >= length)
     if not len(long):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
     codes = BYTE_CODES[data]
     h = codes
     step = 1
@@ -89,7 +92,8 @@ def owners(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     up, down = POWERS.to(n + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[:n], dtype=np.uint64)))
     begin = (total[position + length - WINDOW + 1] - total[position]) * down[position]
-    return np.searchsorted(starts, position, side="right") - 1, position, position - at[last], position - at[first], begin ^ (begin >> np.uint64(29))
+    whole = (total[at[last] + length] - total[at[first]]) * down[at[first]] + (position - at[first]).astype(np.uint64) * np.uint64(ODD * ODD % (1 << 64))
+    return np.searchsorted(starts, position, side="right") - 1, position, position - at[last], position - at[first], begin ^ (begin >> np.uint64(29)), whole ^ (whole >> np.uint64(31))
 
 
 def shared(a: bytes, b: bytes, at: int) -> int:
@@ -212,7 +216,7 @@ def text_key(text: Column) -> Column:
 
 
 def _beginnings(docs: DataFrame, length: int) -> DataFrame:
-    """(key, copies, doc, begins): a row for each different text, with the hashes of its owners' beginnings."""
+    """(key, copies, doc, begins): a row for each different text, with its owners' hashes of beginning and stretch."""
 
     def run(batches):
         for batch in batches:
@@ -220,10 +224,10 @@ def _beginnings(docs: DataFrame, length: int) -> DataFrame:
             blobs = [b""] * batch.num_rows
             for lo, hi in chunks(starts):
                 base = starts[lo]
-                text, _, _, _, begin = owners(data[base : starts[hi]], starts[lo : hi + 1] - base, length)
+                text, _, _, _, begin, whole = owners(data[base : starts[hi]], starts[lo : hi + 1] - base, length)
                 cut = np.searchsorted(text, np.arange(hi - lo + 1))
-                raw = begin.astype("<u8").tobytes()
-                blobs[lo:hi] = [raw[8 * cut[i] : 8 * cut[i + 1]] for i in range(hi - lo)]
+                raw = np.column_stack((begin, whole)).astype("<u8").tobytes()
+                blobs[lo:hi] = [raw[16 * cut[i] : 16 * cut[i + 1]] for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(blobs, pa.binary())], names=["doc", "key", "begins"])
 
     each = docs.select("doc", "key", "text").mapInArrow(run, "doc long, key binary, begins binary")
@@ -231,23 +235,38 @@ def _beginnings(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _shared_beginnings(texts: DataFrame, hot: int) -> DataFrame:
-    """(id, owners, hot_owners): ordinals of a text's owners whose beginning occurs again, and of those above hot."""
+    """(id, whole, owners, hot_owners): ordinals of a text's owners whose beginning occurs again.
+
+    whole: those whose stretch occurs again; owners and hot_owners: one of each stretch, where a beginning goes on in
+    different ways, up to hot of them or above.
+    """
 
     def run(batches):
         for batch in batches:
             ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            counts = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
+            counts = np.fromiter((len(b) // 16 for b in blobs), np.int64, len(blobs))
             ordinal = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(blobs), "<i8")), pa.array(np.repeat(ids, counts)), pa.array(ordinal.astype(np.int32))], names=["begin", "id", "ordinal"]
+                [pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1])), pa.array(np.repeat(ids, counts)), pa.array(ordinal.astype(np.int32))],
+                names=["begin", "stretch", "id", "ordinal"],
             )
 
-    each = texts.filter("octet_length(begins) > 0").select("id", "begins").mapInArrow(run, "begin long, id long, ordinal int")
-    twice = each.groupBy("begin").agg(F.count("*").alias("n")).filter("n > 1")
-    found = each.join(twice, "begin").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n") <= hot, F.col("ordinal")))).alias("owners"), F.array_sort(F.collect_list(F.when(F.col("n") > hot, F.col("ordinal")))).alias("hot_owners")
-    )
-    return found
+    each = texts.filter("octet_length(begins) > 0").select("id", "begins").mapInArrow(run, "begin long, stretch long, id long, ordinal int")
+    twice = each.groupBy("begin").agg(F.count("*").alias("n"), (F.min("stretch") < F.max("stretch")).alias("mixed")).filter("n > 1").drop("n")
+    again = materialize(each.join(twice, "begin"), "suffix-shared")
+    mixed = again.filter("mixed")
+    kinds = mixed.groupBy("begin", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("id", "ordinal")).alias("one"))
+    crowd = kinds.groupBy("begin").agg((F.count("*") > hot).alias("hot"))
+    sorted_ = kinds.select("begin", "one.*").join(crowd, "begin").select("id", F.when(F.col("hot"), "hot").otherwise("sort").alias("role"), "ordinal")
+    of_many = mixed.join(kinds.filter("n > 1").select("begin", "stretch"), ["begin", "stretch"]).select("id", F.lit("whole").alias("role"), "ordinal")
+    whole = again.filter("not mixed").select("id", F.lit("whole").alias("role"), "ordinal")
+
+    def ordinals(role: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("ordinal"))))
+
+    roles = sorted_.unionByName(of_many).unionByName(whole)
+    return roles.groupBy("id").agg(ordinals("whole").alias("whole"), ordinals("sort").alias("owners"), ordinals("hot").alias("hot_owners"))
 
 
 def _cut(batch: pa.RecordBatch, column: str, length: int):
@@ -256,7 +275,7 @@ def _cut(batch: pa.RecordBatch, column: str, length: int):
     lists = batch.column(column)
     for lo, hi in chunks(starts):
         base = starts[lo]
-        text, position, least, most, begin = owners(data[base : starts[hi]], starts[lo : hi + 1] - base, length)
+        text, position, least, most, begin, _ = owners(data[base : starts[hi]], starts[lo : hi + 1] - base, length)
         first = np.searchsorted(text, np.arange(hi - lo + 1))
         pick = np.concatenate([np.zeros(0, np.int64), *(first[i] + np.array(lists[lo + i].as_py(), np.int64) for i in range(hi - lo))])
         yield lo + text[pick], base + position[pick], least[pick], most[pick], begin[pick]
@@ -324,6 +343,23 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("part").applyInArrow(run, "id long, start long, end long")
 
 
+def _whole(candidates: DataFrame, length: int) -> DataFrame:
+    """(id, start, end) of stretches that occur again, neighbours joined."""
+
+    def run(batches):
+        for batch in batches:
+            starts, _ = text_bytes(batch.column("text"))
+            ids = batch.column("id").to_numpy()
+            for row, position, least, most, _ in _cut(batch, "whole", length):
+                start, end = position - most - starts[row], position - least + length - starts[row]
+                new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > end[:-1]))) if len(row) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(row))[: len(first)] - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(start[first]), pa.array(end[last])], names=["id", "start", "end"])
+
+    return candidates.filter("size(whole) > 0").select("id", "text", "whole").mapInArrow(run, "id long, start long, end long")
+
+
 def _counted(candidates: DataFrame, length: int) -> DataFrame:
     """(id, start, end) of the strings of hot owners that occur again, found by digests."""
 
@@ -369,7 +405,7 @@ def _kept(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     return candidates.select("id", "key", "text").join(by_text, "id").select("key", "text", "found").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CLASS) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT_KINDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), one row per row of docs (doc_id, text).
 
     Bytes covered by a string of `length` bytes that also starts anywhere else are removed: in another row, a repeated
@@ -386,12 +422,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CLASS)
     found = _shared_beginnings(texts, hot)
     listed = found.join(texts.select("id", "key", F.col("doc").alias("d"), F.col("copies")), "id").withColumnRenamed("key", "k")
     candidates = materialize(
-        keyed.join(listed, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))).select("id", "key", "copies", "text", "owners", "hot_owners"), "suffix-candidates"
+        keyed.join(listed, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))).select("id", "key", "copies", "text", "whole", "owners", "hot_owners"), "suffix-candidates"
     )
     suffixes = candidates.agg(F.coalesce(F.sum(F.size("owners")), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // PART_SUFFIXES))
     runs = materialize(_runs(candidates.filter("size(owners) > 0"), parts, length), "suffix-runs")
-    spans = _merged(runs, length).unionByName(_counted(candidates, length))
+    spans = _whole(candidates.filter("copies = 1"), length).unionByName(_merged(runs, length)).unionByName(_counted(candidates, length))
     changed = _kept(candidates.filter("copies = 1"), spans)
     whole = texts.filter("copies > 1").select("key", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit(None).cast("string").alias("spans"))
     base = keyed.select("doc", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
