@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learnt from labels whose id's crc32 modulo 5 is not 0."""
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").filter(fold01("doc_id", 5) != 0).select("doc_id", "toxic")
-    crf = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+    crf = toxicity.train(toxicity.with_labels(docs, labels))
     scored = toxicity.score(docs, crf, "doc_id", (fold01("doc_id", 5) == 0).alias("held_out"))
     return scored.select("doc_id", "held_out", "score", "predicted", "spans")
 

@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, text_bytes
+from tidemark.storage import materialize
 
 SAMPLE_ROWS = 1200
 SAMPLE_CHARS = 20_000
 #: A form marks tokens if it is in at least this many toxic documents, and this many times commoner in them.
 LEAST_DOCS, LEAST_LIFT = 4, 12.0
 DIMENSIONS = 1 << 18
+#: Labels of 16 bytes that are broadcast at most.
+BROADCAST_LABELS = 1_000_000
 PREFIXES = (4, 5)
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-"
 SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -124,17 +127,31 @@ def toxic_forms(labelled: DataFrame) -> set[str]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())], names=["form", "toxic"])
 
     least = max(LEAST_DOCS, 0.004 * bad)
-    found = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(cut, "form string, toxic int")
-    of_toxic = found.filter("toxic = 1").groupBy("form").agg(F.count("*").alias("b")).filter(F.col("b") >= least)
-    of_clean = found.filter("toxic = 0").join(F.broadcast(of_toxic.select("form")) if bad < 1_000_000 else of_toxic.select("form"), "form", "left_semi").groupBy("form").agg(F.count("*").alias("g"))
+
+    def found(value: int) -> DataFrame:
+        return labelled.filter(F.col("toxic") == value).select("text", F.col("toxic").cast("int")).mapInArrow(cut, "form string, toxic int")
+
+    of_toxic = found(1).groupBy("form").agg(F.count("*").alias("b")).filter(F.col("b") >= least)
+    of_clean = found(0).join(F.broadcast(of_toxic.select("form")) if bad < 1_000_000 else of_toxic.select("form"), "form", "left_semi").groupBy("form").agg(F.count("*").alias("g"))
     lift = (F.col("b") / bad) / ((F.coalesce("g", F.lit(0)) + 0.5) / (good + 1))
     kept = of_toxic.join(of_clean, "form", "left").filter(lift >= LEAST_LIFT)
     return {r["form"] for r in kept.select("form").collect()}
 
 
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of the documents that have a label (doc_id, toxic).
+
+    Up to BROADCAST_LABELS labels travel to the texts; more are joined by a shuffle, with the same rows.
+    """
+    known = labels.filter("doc_id is not null").select("doc_id", "toxic")
+    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.select("doc_id", "text").join(F.broadcast(known) if few else known.hint("merge"), "doc_id").select("text", "toxic")
+
+
 def train(labelled: DataFrame, epochs: int = 4, rate: float = 0.3) -> Crf:
     """Fit the chain and the document regression on labelled rows (text, toxic 0/1); other labels are ignored."""
-    labelled = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    usable = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
+    labelled = materialize(usable.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-labelled")
     marks = toxic_forms(labelled)
     short = labelled.filter(F.length("text") <= SAMPLE_CHARS)
     texts, labels = [], []
