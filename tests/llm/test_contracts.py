@@ -1,6 +1,7 @@
 """The queries' digests against plain recomputation over whole texts."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -86,9 +87,27 @@ def test_links_of_crowded_and_sparse_cells(spark, monkeypatch, bits, crowd):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
-def test_similar_groups(spark):
-    import random
+def test_similar_groups_verify_close_pairs(spark):
+    """Pairs around the threshold: none below it is merged, and at least 0.9 of those at or above it are found."""
+    rng = random.Random(5)
+    rows, sets = [], {}
+    for family in range(60):
+        words = [f"w{rng.randrange(9999)}" for _ in range(120)]
+        other = list(words)
+        for at in rng.sample(range(120), 1 + family % 5):
+            other[at] = "changed"
+        for k, w in enumerate((words, other)):
+            rows.append((2 * family + k, " ".join(w)))
+            sets[2 * family + k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    similar = {f: len(sets[2 * f] & sets[2 * f + 1]) / len(sets[2 * f] | sets[2 * f + 1]) >= 0.8 for f in range(60)}
+    merged = {f: found[2 * f] == found[2 * f + 1] for f in range(60)}
+    assert 0 < sum(similar.values()) < 60
+    assert not [f for f in merged if merged[f] and not similar[f]]
+    assert sum(merged.values()) >= 0.9 * sum(similar.values())
 
+
+def test_similar_groups(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts, family = [], {}

@@ -159,6 +159,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
 WIDE = 4
 #: Least chance that a pair at the similarity asked for shares a cell in which it is compared.
 RECALL = 0.9
+#: Standard deviations of the differing bits around what the similarity asked for gives; pairs within are verified.
+SPREAD = 2.5
+#: Text hashes of 8 bytes that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def wide_fingerprint(text: bytes, words: int) -> list[int]:
@@ -172,7 +176,7 @@ def wide_fingerprint(text: bytes, words: int) -> list[int]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, f0, f1, ..): wide fingerprints of whole texts, zero for texts without a word."""
+    """(doc_id, key, f0, f1, ..): wide fingerprints of whole texts, zero for texts without a word; key hashes the text."""
 
     def run(batches):
         for batch in batches:
@@ -180,10 +184,42 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
             raw = data.data
             rows = [wide_fingerprint(bytes(raw[starts[i] : starts[i + 1]]), words) for i in range(len(starts) - 1)]
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(f"f{k}" for k in range(WIDE))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", *(f"f{k}" for k in range(WIDE))])
 
-    schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(WIDE))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, key long, " + ", ".join(f"f{k} long" for k in range(WIDE))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(run, schema)
+
+
+def text_key() -> Column:
+    """Hash of the text by which its shingles are found again."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(key, shingles): distinct shingle hashes of the texts whose key is in keys (key, distinct), one row per key.
+
+    Up to BROADCAST_KEYS keys travel to the texts; more are joined by a shuffle, with the same rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            starts, data = text_bytes(batch.column(1))
+            raw = data.data
+            sets = [np.unique(shingle_hashes(bytes(raw[starts[i] : starts[i + 1]]), words)).view(np.int64) for i in range(len(starts) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    wanted = texts.join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_semi")
+    return wanted.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(run, "key long, shingles array<long>")
+
+
+def verified(open_pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of open_pairs (a, b, ka, kb) whose shingle sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("key").alias("ka"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("key").alias("kb"), F.col("shingles").alias("sb"))
+    both = open_pairs.join(left, "ka").join(right, "kb").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("shared") >= similarity * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
 def differing_share(similarity: float) -> float:
@@ -207,18 +243,20 @@ def cell_plan(rows: int, share: float) -> list[list[int]]:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document; component_id is the smallest doc_id of its group.
 
-    Documents link if their wide fingerprints differ in no more bits than texts of that Jaccard similarity are
-    expected to. In each cell of each grid, members are compared with two of them, the first and the last in an
+    Documents link if the sets of their word shingles have that Jaccard similarity. It is read from the wide
+    fingerprints where they differ in clearly fewer bits than texts of that similarity are expected to (SPREAD), and
+    verified on the shingles where it is close and the two are not yet in one group. In each cell of each grid, members are compared with two of them, the first and the last in an
     order that every grid draws anew, so a family of any size makes two pairs per member and grid. Pairs are
     filtered by the Manhattan distance of their segments' bit counts, a lower bound, and then by exact Hamming
     distance. Null texts and texts without a word form one group; an empty table gives an empty result.
     """
     names = [f"f{k}" for k in range(WIDE)]
     base = materialize(wide_fingerprints(docs, words), "wide-fingerprints")
-    distinct = base.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
+    distinct = base.groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
     share = differing_share(similarity)
-    most_bits = math.floor(share * 64 * WIDE)
+    bits, spread = share * 64 * WIDE, SPREAD * math.sqrt(share * (1 - share) * 64 * WIDE)
+    most_bits, sure_bits = math.floor(bits + spread), math.floor(bits - spread)
     plan = cell_plan(distinct.count(), share)
     counts = distinct.select("node", *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
 
@@ -240,8 +278,23 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def distance(of) -> Column:
         return sum((F.bit_count(of(F.col(f"a{c}")).bitwiseXOR(of(F.col(f"b{c}")))) for c in names), F.lit(0))
 
-    near = both.filter(distance(embedding) <= most_bits).filter(distance(lambda x: x) <= most_bits).select("a", "b")
-    roots = connected_components(near)
+    near = both.filter(distance(embedding) <= most_bits).select("a", "b", distance(lambda x: x).alias("bits"))
+    near = materialize(near.filter(F.col("bits") <= most_bits), "wide-near")
+    sure = near.filter(F.col("bits") <= sure_bits).select("a", "b")
+    grouped = materialize(connected_components(sure), "wide-sure")
+
+    def group_of(name: str) -> DataFrame:
+        return grouped.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+    def key_of(name: str) -> DataFrame:
+        return distinct.select(F.col("node").alias(name), F.col("key").alias(f"k{name}"))
+
+    close = near.filter(F.col("bits") > sure_bits).join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
+    apart = close.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    open_pairs = materialize(apart.join(key_of("a"), "a").join(key_of("b"), "b"), "wide-open")
+    keys = open_pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
+    sets = materialize(shingle_sets(docs, keys, words), "wide-shingles")
+    roots = connected_components(sure.unionByName(verified(open_pairs, sets, similarity)))
     rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(least, "root").select(*names, "component_id")
