@@ -258,16 +258,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     bits, spread = share * 64 * WIDE, SPREAD * math.sqrt(share * (1 - share) * 64 * WIDE)
     most_bits, sure_bits = math.floor(bits + spread), math.floor(bits - spread)
     plan = cell_plan(distinct.count(), share)
-    counts = distinct.select("node", *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
+    counts = distinct.select("node", F.xxhash64(*names).alias("mix"), *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
 
     def cell(grid: int, segments: list[int]) -> Column:
         masks = [_signed(sum(3 << 2 * (s % 32) for s in segments if s // 32 == k)) for k in range(WIDE)]
         return F.xxhash64(F.lit(grid), *[F.col(f"v{k}").bitwiseAND(F.lit(mask)) for k, mask in enumerate(masks) if mask])
 
-    filed = counts.select("node", F.posexplode(F.array(*[cell(i, s) for i, s in enumerate(plan)])).alias("grid", "cell"))
-    turn = F.struct(F.xxhash64("grid", "node").alias("turn"), "node")
+    filed = counts.select("node", "mix", F.posexplode(F.array(*[cell(i, s) for i, s in enumerate(plan)])).alias("grid", "cell"))
+    turn = F.struct(F.xxhash64("grid", "mix").alias("turn"), "node")  # by fingerprint, so that reruns agree
     ends = filed.groupBy("cell").agg(F.count("*").alias("n"), F.min(turn).alias("least"), F.max(turn).alias("most")).filter("n > 1")
-    met = filed.join(ends.select("cell", F.array("least.node", "most.node").alias("hubs")), "cell").select("node", F.explode("hubs").alias("hub"))
+    met = filed.select("node", "cell").join(ends.select("cell", F.array("least.node", "most.node").alias("hubs")), "cell").select("node", F.explode("hubs").alias("hub"))
     pairs = met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def side(name: str) -> DataFrame:
