@@ -215,6 +215,18 @@ def test_quality(spark, rows, odd_docs):
         assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == plain_quality(x["text"]), r
 
 
+def test_bands_reject_junk_of_each_language(spark):
+    """Of labelled documents that pass the base rules, junk is rejected in each language and clean ones stay."""
+    big = SMALL.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    passed = perplexity.judge(docs, "doc_id", "lang").filter("not base_failed").join(labels, "doc_id").collect()
+    junk, clean = ([r for r in passed if r["quality"] == q] for q in (0, 1))
+    assert {r["lang"] for r in junk if not r["kept"]} == {r["lang"] for r in junk}
+    assert sum(not r["kept"] for r in junk) >= 0.5 * len(junk) > 0
+    assert sum(r["kept"] for r in clean) >= 0.98 * len(clean) > 0
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = perplexity.train(docs)
     rng = np.random.default_rng(1)

@@ -4,8 +4,10 @@ The language model is an interpolated modified Kneser-Ney model of character 4-g
 onto ALPHABET symbol classes, so a model has at most ALPHABET**4 n-grams whatever the corpus: that is the size
 bound of what is broadcast. Spark counts the n-grams of all texts and, from those, continuation counts and counts
 of counts. The model is kept as sorted arrays of n-gram hashes (the packed symbols) with their log-probabilities,
-looked up by binary search. Each language's lower and upper perplexity band is the median of its documents' log
-perplexities plus or minus BAND times their median distance to it.
+looked up by binary search. A mean over a document's symbols varies by one over the root of its length, so the
+distance of a document is that of its log perplexity to its language's median, times that root. Each language's lower
+and upper band at a length are the median minus and plus BAND times the median distance, over the root of the length.
+Where the median distance is zero (one document, or equal ones for the most part), that of all documents is taken.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from tidemark.storage import materialize
 ORDER = 4
 ALPHABET = 40
 SYMBOLS = b"#*$%&|<>"
-#: Half width of the perplexity bands in median absolute deviations of log perplexity; never narrower than LEAST.
-BAND = 12.0
-LEAST = 0.7
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "length")
+#: Half width of the perplexity bands, in median absolute deviations (README has what it rejects by quality label).
+BAND = 4.0
+#: Rounding of a document's mean loss; a band is wider than this on either side.
+ROUNDING = 1e-6
 
 
 def fold_table() -> np.ndarray:
@@ -165,7 +169,7 @@ def repeat_statistics(text: bytes) -> tuple[int, int, int]:
 
 
 def measure(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """keep columns, the base figures of every whole text, and its mean log-probability loss per symbol."""
+    """keep columns, the base figures and length of every whole text, and its mean log-probability loss per symbol."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -174,7 +178,7 @@ def measure(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         known = np.zeros(ALPHABET**ORDER, bool)
         for batch in batches:
             size = batch.num_rows
-            figures = np.zeros((size, 5), np.int64)
+            figures = np.zeros((size, 6), np.int64)
             loss = np.zeros(size)
             starts, data = text_bytes(batch.column(0))
             raw = data.data
@@ -184,16 +188,17 @@ def measure(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 blank = (points == 32) | ((points >= 9) & (points <= 13))
                 figures[lo:hi, 1] = segment_sums(~blank, first, end)
                 figures[lo:hi, 2] = segment_sums(np.isin(points, list(SYMBOLS)), first, end)
+                figures[lo:hi, 5] = end - first
                 codes = packed(np.concatenate((np.full(ORDER - 1, 32, np.uint32), points)), fold)[ORDER - 1 :]
                 new = np.unique(codes[~known[codes]])
                 scratch[new], known[new] = lm.log_probability(new), True
                 loss[lo:hi] = -segment_sums(scratch[codes], first, end) / np.maximum(end - first, 1)
-            columns = [*batch.columns[1:], *(pa.array(figures[:, k]) for k in range(5)), pa.array(loss)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "loss"])
+            columns = [*batch.columns[1:], *(pa.array(figures[:, k]) for k in range(6)), pa.array(loss)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], *FIGURES, "loss"])
 
     source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{kept}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, loss double")
+    return source.mapInArrow(run, f"{kept}{''.join(f'{name} long, ' for name in FIGURES)}loss double")
 
 
 def judge(docs: DataFrame, *keep: str) -> DataFrame:
@@ -208,11 +213,15 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     scored = scored.withColumn("base_failed", failed).withColumn("band_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     good = scored.filter(~F.col("base_failed"))
     middle = good.groupBy("band_lang").agg(F.percentile_approx("loss", 0.5, 1000).alias("middle"))
-    spread = good.join(middle, "band_lang").groupBy("band_lang", "middle").agg(F.percentile_approx(F.abs(F.col("loss") - F.col("middle")), 0.5, 1000).alias("mad"))
-    width = F.greatest(BAND * F.col("mad"), F.lit(LEAST))
-    bands = spread.select("band_lang", (F.col("middle") - width).alias("low"), (F.col("middle") + width).alias("high"))
+    root = F.sqrt(F.greatest("length", F.lit(1)))
+    away = good.join(middle, "band_lang").select("band_lang", "middle", (F.abs(F.col("loss") - F.col("middle")) * root).alias("away"))
+    spread = away.groupBy("band_lang", "middle").agg(F.percentile_approx("away", 0.5, 1000).alias("mad"))
+    pooled = away.agg(F.percentile_approx("away", 0.5, 1000).alias("pooled"))
+    bands = spread.crossJoin(F.broadcast(pooled)).select("band_lang", "middle", (BAND * F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("pooled"))).alias("width"))
+    width = F.col("width") / root + ROUNDING
     within = F.coalesce(F.col("loss").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(bands, "band_lang", "left").select(
+    banded = scored.join(bands, "band_lang", "left").withColumn("low", F.col("middle") - width).withColumn("high", F.col("middle") + width)
+    return banded.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & within).alias("kept"), F.exp("loss").alias("perplexity"), F.exp("low").alias("band_low"), F.exp("high").alias("band_high"),
     )
