@@ -235,6 +235,22 @@ def test_kneser_ney_sums_to_one(docs):
         assert np.exp(model.log_probability(codes)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_model_grows_with_the_alphabet(spark, no_docs):
+    """Letters of any script stay apart, every distinct 4-gram is in the model, and blocks are scored with its figures."""
+    texts = ["Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "Все люди рождаются свободными и равными в своём достоинстве", "人人生而自由在尊嚴和權利上一律平等", "All HUMAN beings"]
+    letters = {c for t in texts for c in t if c != " "}
+    fold = perplexity.fold_table()
+    assert len({fold[ord(c)] for c in letters}) == len(letters)
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate([*texts, None, ""])], "doc_id long, text string, lang string")
+    model = perplexity.train(df)
+    assert model.tables[0].count() == len({("   " + t)[i : i + 4] for t in texts for i in range(len(t))})
+    found = {r["doc_id"]: r["perplexity"] for r in perplexity.judge(df, "doc_id").collect()}
+    for i, t in enumerate(texts):
+        codes = perplexity.packed(np.array([32] * 3 + [ord(c) for c in t], np.uint32), fold)[3:]
+        assert found[i] == pytest.approx(np.exp(-model.log_probability(codes).mean()))
+    assert perplexity.judge(no_docs, "doc_id").count() == 0
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 KINDS = {

@@ -1,10 +1,12 @@
 """Quality rules with an n-gram perplexity verdict.
 
-The language model is an interpolated modified Kneser-Ney model of character 4-grams. Characters are first folded
-onto ALPHABET symbol classes, so a model has at most ALPHABET**4 n-grams whatever the corpus: that is the size
-bound of what is broadcast. Spark counts the n-grams of all texts and, from those, continuation counts and counts
-of counts. The model is kept as sorted arrays of n-gram hashes (the packed symbols) with their log-probabilities,
-looked up by binary search. A mean over a document's symbols varies by one over the root of its length, so the
+The language model is an interpolated modified Kneser-Ney model of character 4-grams over the code points themselves;
+only blanks, the SYMBOLS, and code points that fill up 64 bits otherwise (rare and private ones) share symbol classes.
+An n-gram is its packed symbols. Spark counts the n-grams of all texts and, from those, continuation counts and counts
+of counts; the n-grams of each order with their log-probabilities are a table that grows with the corpus, and the
+driver holds only the counts of counts. Documents are dealt into blocks; the distinct n-grams of each block are joined
+to the longest order's table, and each block is scored with its own part of the model, by binary search.
+A mean over a document's symbols varies by one over the root of its length, so the
 distance of a document is that of its log perplexity to its language's median, times that root. Each language's lower
 and upper band at a length are the median minus and plus BAND times the median distance, over the root of the length.
 Where the median distance is zero (one document, or equal ones for the most part), that of all documents is taken.
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import code_points, inside, segment_sums
@@ -24,9 +26,14 @@ from tidemark.llm.common import row_key, text_bytes
 from tidemark.storage import materialize
 
 ORDER = 4
-ALPHABET = 40
+#: Symbol classes; ALPHABET**ORDER is just below 2**63.
+ALPHABET = 55108
 SYMBOLS = b"#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "length")
+#: Symbols of a block of documents that is scored together, on average.
+BLOCK_SYMBOLS = 1 << 22
+#: Distinct n-grams that a counting task holds before it passes them on.
+HELD = 1 << 21
 #: Half width of the perplexity bands, in median absolute deviations (README has what it rejects by quality label).
 BAND = 4.0
 #: Rounding of a document's mean loss; a band is wider than this on either side.
@@ -34,23 +41,22 @@ ROUNDING = 1e-6
 
 
 def fold_table() -> np.ndarray:
-    """Symbol class of every code point: blanks, a-z, capitals, digits, groups of punctuation, and hashed others."""
-    table = np.zeros(0x110000, np.int64)
+    """Symbol class of every code point: its own, one for blanks, one for SYMBOLS, and hashed ones where 16 bits end.
+
+    Hashed are code points from 0x10000, surrogates, private ones and the CJK ideographs of extension A.
+    """
     points = np.arange(0x110000)
-    table[:] = 33 + (points * 2654435761 >> 8) % 7
-    table[:128] = 30
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    table[97:123] = np.arange(1, 27)
-    table[65:91] = 32
-    table[48:58] = 27
-    table[[ord(c) for c in ".,;:!?"]] = 28
-    table[[ord(c) for c in "'\"()-"]] = 29
-    table[list(SYMBOLS)] = 31
+    own = (points < 0x10000) & ~((points >= 0xD800) & (points < 0xF900)) & ~((points >= 0x3400) & (points < 0x4DC0))
+    table = np.cumsum(own) - 1
+    n = int(own.sum())
+    table[~own] = n + (points[~own] * 2654435761 >> 8) % (ALPHABET - n)
+    table[[9, 10, 11, 12, 13]] = table[32]
+    table[list(SYMBOLS)] = table[SYMBOLS[0]]
     return table
 
 
 def packed(points: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """Hash of the ORDER symbols that end at each position."""
+    """The ORDER symbols that end at each position, packed into one number."""
     symbols = fold[points]
     code = symbols.copy()
     for k in range(1, ORDER):
@@ -58,89 +64,102 @@ def packed(points: np.ndarray, fold: np.ndarray) -> np.ndarray:
     return code
 
 
+def _codes(points: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Packed 4-gram that ends at each position; what comes first is preceded by blanks."""
+    return packed(np.concatenate((np.full(ORDER - 1, 32, np.uint32), points)), fold)[ORDER - 1 :]
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, their summed counts)."""
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+
+
 def ngram_counts(docs: DataFrame) -> DataFrame:
     """(code, n) of all 4-grams of all texts, combined inside each task first; a text is preceded by blanks."""
 
     def run(batches):
-        fold, counts = fold_table(), np.zeros(ALPHABET**ORDER, np.int64)
+        fold = fold_table()
+        codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def rows():
+            for at in range(0, len(codes[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[0][at : at + (1 << 16)]), pa.array(counts[0][at : at + (1 << 16)])], names=["code", "n"])
+
         for batch in batches:
             for _, _, points, first, end in code_points(batch.column(0), lower=False):
-                points = np.concatenate((np.full(ORDER - 1, 32, np.uint32), points))
-                codes = packed(points, fold)[ORDER - 1 :]
-                codes = codes[inside(first, end, len(codes))]
-                counts += np.bincount(codes, minlength=len(counts))
-        code = np.flatnonzero(counts)
-        for at in range(0, len(code), 1 << 16):
-            cut = code[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(counts[cut])], names=["code", "n"])
+                found = _codes(points, fold)
+                code, n = np.unique(found[inside(first, end, len(found))], return_counts=True)
+                codes, counts = [*codes, code], [*counts, n]
+                if sum(map(len, codes[1:])) > max(len(codes[0]), HELD // 2):
+                    codes, counts = ([x] for x in _summed(codes, counts))
+                    if len(codes[0]) > HELD:
+                        yield from rows()
+                        codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        codes, counts = ([x] for x in _summed(codes, counts))
+        yield from rows()
 
     return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """Sorted n-gram hashes and log-probabilities per order, longest first, with the backoff weights of contexts."""
+    """Tables (code, log, backoff) per order, longest first: log-probability of an n-gram, log backoff weight of its context."""
 
-    hashes: list[np.ndarray]
-    logs: list[np.ndarray]
-    backoffs: list[tuple[np.ndarray, np.ndarray]]
+    tables: list[DataFrame]
+    symbols: int
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """log p(last symbol | symbols before) of packed n-grams."""
+        """log p(last symbol | symbols before) of few packed n-grams, seen or not; they travel to the tables."""
+
+        def look_up(table: DataFrame, key, value: str, want: np.ndarray) -> np.ndarray:
+            keys = table.sparkSession.createDataFrame(pa.table({"key": np.unique(want)}))
+            got = table.select(key.alias("key"), value).join(F.broadcast(keys), "key").distinct().toArrow()
+            have, order = got["key"].to_numpy(), np.argsort(got["key"].to_numpy())
+            at = order[np.minimum(np.searchsorted(have[order], want), len(have) - 1)] if len(have) else np.zeros(len(want), np.int64)
+            return np.where(have[at] == want, got[value].to_numpy()[at], np.nan) if len(have) else np.full(len(want), np.nan)
+
         out, open_ = np.zeros(len(codes)), np.arange(len(codes))
-        for k, (hashes, logs) in enumerate(zip(self.hashes, self.logs, strict=True)):
-            want = codes[open_] % ALPHABET ** (ORDER - k)
-            at = np.minimum(np.searchsorted(hashes, want), max(len(hashes) - 1, 0))
-            hit = hashes[at] == want if len(hashes) else np.zeros(len(want), bool)
-            out[open_[hit]] += logs[at[hit]]
-            open_ = open_[~hit]
-            if k < len(self.backoffs):
-                contexts, weights = self.backoffs[k]
-                want = want[~hit] // ALPHABET
-                at = np.minimum(np.searchsorted(contexts, want), max(len(contexts) - 1, 0))
-                if len(contexts):
-                    out[open_] += np.where(contexts[at] == want, weights[at], 0.0)
+        for k, table in enumerate(self.tables):
+            if len(open_):
+                want = codes[open_] % ALPHABET ** (ORDER - k)
+                logs = look_up(table, F.col("code"), "log", want)
+                hit = ~np.isnan(logs)
+                out[open_[hit]] += logs[hit]
+                open_ = open_[~hit]
+                if len(open_):
+                    out[open_] += np.nan_to_num(look_up(table, F.expr(f"code div {ALPHABET}"), "backoff", want[~hit] // ALPHABET))
         out[open_] -= np.log(ALPHABET)
         return out
 
 
 def train(docs: DataFrame) -> Model:
-    """Modified Kneser-Ney over all texts. The driver holds at most ALPHABET**4 counts (2.6 million)."""
-    four = ngram_counts(docs).toArrow()
-    code, count = four["code"].to_numpy(), four["n"].to_numpy()
-    tables = [(code, count)]
+    """Modified Kneser-Ney over all texts, in tables. The driver holds four counts of counts an order."""
+    counts = [materialize(ngram_counts(docs), "ngrams")]
     for k in range(1, ORDER):  # continuation counts: distinct symbols before each shorter n-gram
-        shorter, n = np.unique(tables[-1][0] % ALPHABET ** (ORDER - k), return_counts=True)
-        tables.append((shorter, n))
-    for k, (c, n) in enumerate(tables):
-        order = np.argsort(c)
-        tables[k] = (c[order], n[order])
-
-    hashes, logs, backoffs = [], [], []
-    lower_codes, lower_p = np.arange(0), np.zeros(0)
+        shorter = (F.col("code") % F.lit(ALPHABET ** (ORDER - k))).alias("code")
+        counts.append(materialize(counts[-1].groupBy(shorter).agg(F.count("*").alias("n")), "ngrams"))
+    figures = [[F.coalesce(F.sum((F.col("n") == i).cast("long")), F.lit(0)) for i in (1, 2, 3, 4)] for _ in counts]
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    of_counts = [tuple(t.agg(*f, total).first()) for t, f in zip(counts, figures, strict=True)]
+
+    tables: list[DataFrame] = []
     for k in range(ORDER - 1, -1, -1):  # shortest first
-        c, n = tables[k]
-        if not len(c):
-            continue
-        ones, twos, threes, fours = (max(int((n == i).sum()), 1) for i in (1, 2, 3, 4))
+        ones, twos, threes, fours = (max(x, 1) for x in of_counts[k][:4])
         y = ones / (ones + 2 * twos)
-        d = np.clip([0.0, 1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes], 0.0, [0.0, 0.9, 1.9, 2.9])
-        discount = d[np.minimum(n, 3)]
-        context = c // ALPHABET
-        starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        total = np.add.reduceat(n, starts).astype(np.float64)
-        weight = np.add.reduceat(discount, starts) / total
-        each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+        d = np.clip([1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes], 0.0, [0.9, 1.9, 2.9]).tolist()
+        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        context = Window.partitionBy(F.expr(f"code div {ALPHABET}"))  # at most ALPHABET rows
+        each = counts[k].withColumn("total", F.sum("n").over(context)).withColumn("weight", F.sum(discount).over(context) / F.col("total"))
         if k == ORDER - 1:
-            below = np.full(len(c), 1 / ALPHABET)
+            each = each.withColumn("below", F.lit(1 / ALPHABET))
         else:
-            below = lower_p[np.searchsorted(lower_codes, c % ALPHABET ** (ORDER - 1 - k))]
-        p = np.maximum(n - discount, 0) / total[each] + weight[each] * below
-        hashes.insert(0, c)
-        logs.insert(0, np.log(np.maximum(p, 1e-12)).astype(np.float32))
-        backoffs.insert(0, (context[starts], np.log(np.maximum(weight, 1e-12)).astype(np.float32)))
-        lower_codes, lower_p = c, p
-    return Model(hashes, logs, backoffs)
+            lower = tables[0].select(F.col("code").alias("shorter"), F.exp("log").alias("below"))
+            each = each.withColumn("shorter", F.col("code") % F.lit(ALPHABET ** (ORDER - 1 - k))).join(lower, "shorter")
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")
+        logs = each.select("code", F.log(F.greatest(p, F.lit(1e-12))).alias("log"), F.log(F.greatest("weight", F.lit(1e-12))).alias("backoff"))
+        tables.insert(0, materialize(logs, "model"))
+    return Model(tables, of_counts[0][4])
 
 
 def repeat_statistics(text: bytes) -> tuple[int, int, int]:
@@ -169,36 +188,53 @@ def repeat_statistics(text: bytes) -> tuple[int, int, int]:
 
 
 def measure(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """keep columns, the base figures and length of every whole text, and its mean log-probability loss per symbol."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """keep columns, the base figures and length of every whole text, and its mean log-probability loss per symbol.
 
-    def run(batches):
-        fold, lm = fold_table(), shared.value
-        scratch = np.zeros(ALPHABET**ORDER, np.float32)
-        known = np.zeros(ALPHABET**ORDER, bool)
-        for batch in batches:
-            size = batch.num_rows
-            figures = np.zeros((size, 6), np.int64)
-            loss = np.zeros(size)
-            starts, data = text_bytes(batch.column(0))
-            raw = data.data
-            for i in range(size):
-                figures[i, 0], figures[i, 3], figures[i, 4] = repeat_statistics(bytes(raw[starts[i] : starts[i + 1]]))
-            for lo, hi, points, first, end in code_points(batch.column(0), lower=False):
-                blank = (points == 32) | ((points >= 9) & (points <= 13))
-                figures[lo:hi, 1] = segment_sums(~blank, first, end)
-                figures[lo:hi, 2] = segment_sums(np.isin(points, list(SYMBOLS)), first, end)
-                figures[lo:hi, 5] = end - first
-                codes = packed(np.concatenate((np.full(ORDER - 1, 32, np.uint32), points)), fold)[ORDER - 1 :]
-                new = np.unique(codes[~known[codes]])
-                scratch[new], known[new] = lm.log_probability(new), True
-                loss[lo:hi] = -segment_sums(scratch[codes], first, end) / np.maximum(end - first, 1)
-            columns = [*batch.columns[1:], *(pa.array(figures[:, k]) for k in range(6)), pa.array(loss)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], *FIGURES, "loss"])
-
-    source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{kept}{''.join(f'{name} long, ' for name in FIGURES)}loss double")
+    The model must have counted these documents. A block's texts and its part of the model are in memory at once.
+    """
+    blocks = max(1, -(-model.symbols // BLOCK_SYMBOLS))
+    source = docs.select(F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text"), F.lit(blocks)).alias("__block"), F.col("text").cast("string").alias("__text"), *keep)
+
+    def grams(table):
+        fold, found = fold_table(), [np.zeros(0, np.int64)]
+        for _, _, points, first, end in code_points(table.column(1), lower=False):
+            codes = _codes(points, fold)
+            found.append(np.unique(codes[inside(first, end, len(codes))]))
+        code = np.unique(np.concatenate(found))
+        return pa.table({"__block": np.full(len(code), table.column(0)[0].as_py()), "code": code})
+
+    def run(table, part):
+        fold = fold_table()
+        order = np.argsort(part.column("code").to_numpy())
+        known, logs = part.column("code").to_numpy()[order], part.column("log").to_numpy()[order]
+        texts = table.column(1).combine_chunks()
+        size = len(texts)
+        figures = np.zeros((size, len(FIGURES)), np.int64)
+        loss = np.zeros(size)
+        starts, data = text_bytes(texts)
+        raw = data.data
+        for i in range(size):
+            figures[i, 0], figures[i, 3], figures[i, 4] = repeat_statistics(bytes(raw[starts[i] : starts[i + 1]]))
+        for lo, hi, points, first, end in code_points(texts, lower=False):
+            blank = (points == 32) | ((points >= 9) & (points <= 13))
+            figures[lo:hi, 1] = segment_sums(~blank, first, end)
+            figures[lo:hi, 2] = segment_sums(np.isin(points, list(SYMBOLS)), first, end)
+            figures[lo:hi, 5] = end - first
+            codes, within = _codes(points, fold), inside(first, end, len(points))
+            values = np.zeros(len(codes))
+            if within.any():
+                at = np.minimum(np.searchsorted(known, codes[within]), len(known) - 1)
+                if not (known[at] == codes[within]).all():
+                    raise ValueError("the model has not counted these documents")
+                values[within] = logs[at]
+            loss[lo:hi] = -segment_sums(values, first, end) / np.maximum(end - first, 1)
+        columns = [*table.columns[2:], *(pa.array(figures[:, k]) for k in range(len(FIGURES))), pa.array(loss)]
+        return pa.table(columns, names=[*table.schema.names[2:], *FIGURES, "loss"])
+
+    wanted = source.groupBy("__block").applyInArrow(grams, "__block long, code long")
+    parts = wanted.join(model.tables[0].select("code", "log"), "code").select("__block", "code", "log")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[2:])
+    return source.groupBy("__block").cogroup(parts.groupBy("__block")).applyInArrow(run, f"{kept}{''.join(f'{name} long, ' for name in FIGURES)}loss double")
 
 
 def judge(docs: DataFrame, *keep: str) -> DataFrame:
