@@ -416,6 +416,15 @@ def test_lines(spark, docs, rows):
         assert found[r["doc_id"]]["text"] == linededup.cut(r["text"], removed[r["doc_id"]], "\n")
 
 
+def test_short_lines_count(spark):
+    """Lines of one word and more are removed after their first occurrence; blank lines stay; a minimum spares short ones."""
+    df = spark.createDataFrame([(1, "And ornd.\n\nx\nx"), (2, "and  ORND.\n\nnew"), (3, "one two three four five\nx"), (4, "one two three four five")], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
+    assert kept == {1: "And ornd.\n\nx\n", 2: "\nnew", 3: "one two three four five\n", 4: ""}
+    spared = {r["doc_id"]: r["text"] for r in linededup.dedup(df, min_words=5).collect()}
+    assert spared == {1: "And ornd.\n\nx\nx", 2: "and  ORND.\n\nnew", 3: "one two three four five\nx", 4: ""}
+
+
 # --- odd rows, empty tables ----------------------------------------------------------------------------------------
 
 

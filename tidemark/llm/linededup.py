@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import row_key
 from tidemark.storage import materialize
 
-#: Units with fewer words are headings, list marks and the like, which repeat without being copied.
-MIN_WORDS = 5
+#: Least words of a unit that counts; a higher one spares headings, list marks and the like.
+MIN_WORDS = 1
 
 
 def units(text: str, separator: str, min_words: int):
