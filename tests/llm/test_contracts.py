@@ -126,6 +126,18 @@ def test_similar_groups(spark):
     assert simhash.deduplicate(df).count() == len(set(found.values()))
 
 
+def test_a_repeated_line_does_not_link_texts(spark):
+    """Texts that share one line many times and nothing else stay apart; how often a line repeats does not part copies."""
+    rng = random.Random(8)
+    line = " ".join(f"w{rng.randrange(9999)}" for _ in range(12))
+    rows = [(i, "\n".join([line] * 30 + [" ".join(f"w{rng.randrange(9999)}" for _ in range(400))])) for i in range(40)]
+    own = " ".join(f"w{rng.randrange(9999)}" for _ in range(400))
+    rows += [(100 + n, "\n".join([line] * n + [own])) for n in (2, 5, 30)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == i for i in range(40))
+    assert {found[100 + n] for n in (2, 5, 30)} == {102}
+
+
 # --- 6, 7 ----------------------------------------------------------------------------------------------------------
 
 

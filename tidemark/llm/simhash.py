@@ -166,27 +166,30 @@ BROADCAST_KEYS = 1_000_000
 
 
 def wide_fingerprint(text: bytes, words: int) -> list[int]:
-    """SimHash of WIDE * 64 bits, as signed words; the further words come from multiplied hashes."""
-    h = shingle_hashes(text, words)
+    """SimHash of the set of shingles in WIDE * 64 bits, as signed words, and a digest of that set.
+
+    The further words come from multiplied hashes.
+    """
+    h = np.unique(shingle_hashes(text, words))
     out = []
     for i in range(WIDE):
         x = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i) if i else h
         out.append(_signed(majority(x ^ (x >> np.uint64(29)) if i else x)))
-    return out
+    return [*out, _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))]
 
 
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, f0, f1, ..): wide fingerprints of whole texts, zero for texts without a word; key hashes the text."""
+    """(doc_id, key, f0, f1, .., digest): wide fingerprints, zero for texts without a word; key hashes the text, digest its set of shingles."""
 
     def run(batches):
         for batch in batches:
             starts, data = text_bytes(batch.column(1))
             raw = data.data
             rows = [wide_fingerprint(bytes(raw[starts[i] : starts[i + 1]]), words) for i in range(len(starts) - 1)]
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", *(f"f{k}" for k in range(WIDE))])
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(WIDE + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", *(f"f{k}" for k in range(WIDE)), "digest"])
 
-    schema = "doc_id long, key long, " + ", ".join(f"f{k} long" for k in range(WIDE))
+    schema = "doc_id long, key long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", digest long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(run, schema)
 
 
@@ -243,29 +246,30 @@ def cell_plan(rows: int, share: float) -> list[list[int]]:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document; component_id is the smallest doc_id of its group.
 
-    Documents link if the sets of their word shingles have that Jaccard similarity. It is read from the wide
-    fingerprints where they differ in clearly fewer bits than texts of that similarity are expected to (SPREAD), and
-    verified on the shingles where it is close and the two are not yet in one group. In each cell of each grid, members are compared with two of them, the first and the last in an
-    order that every grid draws anew, so a family of any size makes two pairs per member and grid. Pairs are
-    filtered by the Manhattan distance of their segments' bit counts, a lower bound, and then by exact Hamming
+    Documents link if the sets of their word shingles have that Jaccard similarity. Texts with equal sets are one node;
+    pairs of nodes whose wide fingerprints differ in at most SPREAD deviations more bits than texts of that similarity
+    are expected to are verified on the sets, however near, unless verified links already join the two. In each cell of
+    each grid, members are compared with two of them, the first and the last in an order that every grid draws anew, so
+    a family of any size makes two pairs per member and grid, and links can be missed. Pairs are filtered by the
+    Manhattan distance of their segments' bit counts, a lower bound, and then by exact Hamming
     distance. Null texts and texts without a word form one group; an empty table gives an empty result.
     """
     names = [f"f{k}" for k in range(WIDE)]
     base = materialize(wide_fingerprints(docs, words), "wide-fingerprints")
-    distinct = base.groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"))
+    distinct = base.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in names])
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
     share = differing_share(similarity)
     bits, spread = share * 64 * WIDE, SPREAD * math.sqrt(share * (1 - share) * 64 * WIDE)
     most_bits, sure_bits = math.floor(bits + spread), math.floor(bits - spread)
     plan = cell_plan(distinct.count(), share)
-    counts = distinct.select("node", F.xxhash64(*names).alias("mix"), *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
+    counts = distinct.select("node", F.col("digest").alias("mix"), *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
 
     def cell(grid: int, segments: list[int]) -> Column:
         masks = [_signed(sum(3 << 2 * (s % 32) for s in segments if s // 32 == k)) for k in range(WIDE)]
         return F.xxhash64(F.lit(grid), *[F.col(f"v{k}").bitwiseAND(F.lit(mask)) for k, mask in enumerate(masks) if mask])
 
     filed = counts.select("node", "mix", F.posexplode(F.array(*[cell(i, s) for i, s in enumerate(plan)])).alias("grid", "cell"))
-    turn = F.struct(F.xxhash64("grid", "mix").alias("turn"), "node")  # by fingerprint, so that reruns agree
+    turn = F.struct(F.xxhash64("grid", "mix").alias("turn"), "node")  # by set of shingles, so that reruns agree
     ends = filed.groupBy("cell").agg(F.count("*").alias("n"), F.min(turn).alias("least"), F.max(turn).alias("most")).filter("n > 1")
     met = filed.select("node", "cell").join(ends.select("cell", F.array("least.node", "most.node").alias("hubs")), "cell").select("node", F.explode("hubs").alias("hub"))
     pairs = met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -280,25 +284,33 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     near = both.filter(distance(embedding) <= most_bits).select("a", "b", distance(lambda x: x).alias("bits"))
     near = materialize(near.filter(F.col("bits") <= most_bits), "wide-near")
-    sure = near.filter(F.col("bits") <= sure_bits).select("a", "b")
-    grouped = materialize(connected_components(sure), "wide-sure")
+    keyed = distinct.select("node", "key")
+
+    def with_keys(pairs: DataFrame) -> DataFrame:
+        return pairs.join(keyed.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a").join(keyed.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
+
+    both_ways = near.select(F.col("a").alias("node"), F.col("b").alias("other"), "bits").unionByName(near.select(F.col("b").alias("node"), F.col("a").alias("other"), "bits"))
+    keys = both_ways.select("node").distinct().join(keyed, "node").select("key").distinct()
+    sets = materialize(shingle_sets(docs, keys, words), "wide-shingles")
+    # First two pairs of each node, with its busiest likely partner and its nearest; then what these leave apart.
+    degrees = both_ways.groupBy("other").agg(F.count("*").alias("degree"))
+    busiest = F.min(F.struct((F.col("bits") > sure_bits).alias("open"), (-F.col("degree")).alias("turn"), "other"))
+    best = both_ways.join(degrees, "other").groupBy("node").agg(busiest.alias("busiest"), F.min(F.struct("bits", "other")).alias("nearest"))
+    some = best.select("node", F.explode(F.array("busiest.other", "nearest.other")).alias("other"))
+    some = some.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = materialize(verified(with_keys(some), sets, similarity), "wide-links")
+    grouped = materialize(connected_components(links), "wide-groups")
 
     def group_of(name: str) -> DataFrame:
         return grouped.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
 
-    def key_of(name: str) -> DataFrame:
-        return distinct.select(F.col("node").alias(name), F.col("key").alias(f"k{name}"))
-
-    close = near.filter(F.col("bits") > sure_bits).join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
-    apart = close.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    open_pairs = materialize(apart.join(key_of("a"), "a").join(key_of("b"), "b"), "wide-open")
-    keys = open_pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    sets = materialize(shingle_sets(docs, keys, words), "wide-shingles")
-    roots = connected_components(sure.unionByName(verified(open_pairs, sets, similarity)))
-    rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
+    apart = near.join(some, ["a", "b"], "left_anti").join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
+    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    roots = connected_components(links.unionByName(verified(with_keys(apart), sets, similarity)))
+    rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select(*names, "component_id")
-    return base.join(by_fp, names).select("doc_id", "component_id")
+    by_digest = rooted.join(least, "root").select("digest", "component_id")
+    return base.join(by_digest, "digest").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
