@@ -1,6 +1,7 @@
 """The queries' digests against plain recomputation over whole texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -126,6 +127,59 @@ def test_similar_groups(spark):
     assert simhash.deduplicate(df).count() == len(set(found.values()))
 
 
+def test_large_families_of_different_texts(spark, monkeypatch):
+    """Groups inside one large family of texts alike at 0.6 to 0.9 are those of all pairs, in blocks as well."""
+    monkeypatch.setattr(simhash, "SMALL_CELL", 3)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    rows, sets = [], {}
+    for i in range(150):
+        if i % 3 == 0:
+            parent = list(base)
+            for at in rng.sample(range(200), 12):
+                parent[at] = f"p{i}x{at}"
+        words = list(parent)
+        for at in rng.sample(range(200), i % 3 * 3):
+            words[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(words)))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(196)}
+    root = list(range(150))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(150):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: top(i) for i in range(150)} and 3 < len(set(found.values())) < 150
+
+
+def test_pairs_of_the_tables_are_found(spark):
+    """Of all pairs of different texts at 0.8 or more in a table, at least 0.95 are joined, and no other groups are."""
+    docs = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    sets = {r["doc_id"]: frozenset(simhash.shingle_hashes((r["text"] or "").encode(), 5).tolist()) for r in docs.collect()}
+    holders = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    near = {(a, b) for i, s in sets.items() for other in {j for x in s for j in holders[x] if j < i} for a, b in [(other, i)] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and sum(found[a] == found[b] for a, b in near) >= 0.95 * len(near)
+    linked = defaultdict(set)
+    for a, b in near:
+        linked[a].add(b)
+        linked[b].add(a)
+    for i, c in found.items():
+        assert c == i or not sets[i] or linked[i]
+
+
 def test_a_repeated_line_does_not_link_texts(spark):
     """Texts that share one line many times and nothing else stay apart; how often a line repeats does not part copies."""
     rng = random.Random(8)
@@ -376,11 +430,26 @@ def test_reordered_benchmark_passage(spark, no_docs):
     got = decontamination.contamination(docs, items).collect()
     assert [(r["doc_id"], r["item_id"], r["coverage"], r["n_tiles"]) for r in got] == [(1, 9, 1.0, 4)]
     assert [r["doc_id"] for r in decontamination.decontaminate(docs, items).orderBy("doc_id").collect()] == [2, 3]
-    joined = decontamination._joined_candidates(docs.select("doc_id", "text"), spark.createDataFrame([(9, s) for s in decontamination.item_ids(words, 5)], "item_id long, seed string"))
-    assert {(r["doc_id"], r["item_id"]) for r in joined.collect()} == {(1, 9), (2, 9)}
     assert decontamination.contamination(no_docs, items).count() == 0
 
 
+def test_large_benchmarks_give_the_same_pairs(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    plain = {tuple(r) for r in decontamination.contamination(docs, items).collect()}
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    assert plain and plain == {tuple(r) for r in decontamination.contamination(docs, items).collect()}
+
+
+def test_decontamination_decides_by_row(spark, odd_docs):
+    words = [f"t{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words), "a"), (1, "clean words only", "b"), (None, " ".join(words), "c"), (2, " ".join(words), "d"), (2, " ".join(words), "d"), (3, None, "e")], "doc_id long, text string, leak string")
+    items = spark.createDataFrame([(9, " ".join(words), 5)], "item_id long, text string, doc_id long")
+    kept = decontamination.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r["leak"] for r in kept.collect()) == ["b", "e"]
+    assert decontamination.contamination(docs, items).count() == 4
+    assert decontamination.decontaminate(odd_docs, items).count() == odd_docs.count()
+
+
 def held_out_accuracy(found, truth):
     pairs = [(f, truth[i]) for i, f in found.items() if i in truth]
     return sum(a == b for a, b in pairs) / max(len(pairs), 1)
@@ -394,6 +463,30 @@ def test_language(spark):
     assert held_out_accuracy({r["doc_id"]: r["lang_pred"] for r in got if r["held_out"]}, truth) >= 0.9
 
 
+def test_naive_bayes_recomputed(spark):
+    """Scores of a small corpus, recomputed by counting n-grams in dictionaries; slices of languages change nothing."""
+    rng = random.Random(2)
+    rows = [(i, lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(8))) for i, (lang, letters) in enumerate([("aa", "abcé"), ("bb", "bcdn"), ("cc", "xyzb"), ("dd", "äöab"), ("ee", "bxa")] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    counts = {lang: Counter() for lang in ("aa", "bb", "cc", "dd", "ee")}
+
+    def buckets(text):
+        codes = np.array([ord(c) for c in text.lower()], np.uint32)
+        padded = np.concatenate((codes, np.full(4, 32, np.uint32)))
+        return [int(b) for n in langid.ORDERS for b in langid.ngram_buckets(padded, n, langid.BUCKETS)[: len(codes)]]
+
+    for _, lang, text in rows:
+        counts[lang].update(buckets(text))
+    totals = {lang: sum(c.values()) + 0.5 * langid.BUCKETS for lang, c in counts.items()}
+    for size in (256, 2):
+        got = {r["doc_id"]: r for r in langid.predict(df, langid.train(df, size=size), "doc_id").collect()}
+        for i, _, text in rows:
+            logs = {lang: math.log(1 / 5) + sum(math.log((c[b] + 0.5) / totals[lang]) for b in buckets(text)) for lang, c in counts.items()}
+            best = max(logs, key=logs.get)
+            assert got[i]["lang_pred"] == best
+            assert got[i]["score"] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), abs=1e-3)
+
+
 def test_toxicity(spark):
     big = SMALL.replace("0.001", "0.01")
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
@@ -414,42 +507,92 @@ def test_marginals_by_enumeration():
         assert toxicity._sigmoid(f + b) == pytest.approx(exact)
 
 
-def test_lines(spark, docs, rows):
-    found = {r["doc_id"]: r for r in linededup.dedup(docs.select("doc_id", "text")).collect()}
-    seen, removed = set(), {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        removed[r["doc_id"]] = []
-        for start, end, digest in linededup.units(r["text"] or "", "\n", linededup.MIN_WORDS):
-            if digest in seen:
-                removed[r["doc_id"]].append((start, end))
-            seen.add(digest)
-    assert {k: [(s["start"], s["end"]) for s in r["removed"]] for k, r in found.items()} == removed
+def plain_dedup(rows, ends, least):
+    """Units end at one of ends, followed by a blank, or at a line end; runs of repeated units with least words go."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        found, start = [], 0
+        for i in range(len(text)):
+            last = i + 1 == len(text)
+            stop = text[i] == "\n" or (text[i] in ends and (last or text[i + 1].isspace()))
+            if stop or last:
+                body = text[start : i + 1].rstrip("\n")
+                lead = len(body) - len(body.lstrip())
+                if body.split():
+                    found.append((start + lead, start + len(body.rstrip()), " ".join(body.lower().split())))
+                start = i + 1
+        gone, run = [], []
+        for unit in [*found, None]:
+            if unit and unit[2] in seen:
+                run.append(unit)
+            else:
+                if run and sum(len(u[2].split()) for u in run) >= least:
+                    gone.append((run[0][0], run[-1][1]))
+                run = []
+            if unit:
+                seen.add(unit[2])
+        out[doc] = gone
+    return out
+
+
+@pytest.mark.parametrize(("unit", "ends", "least"), [("line", "", 1), ("sentence", ".!?", 25), ("clause", ".!?,;:", 25)])
+def test_units(spark, docs, rows, unit, ends, least, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_UNITS", 3)
+    found = {r["doc_id"]: r for r in linededup.dedup(docs.select("doc_id", "text"), unit, least).collect()}
+    removed = plain_dedup([(r["doc_id"], r["text"] or "") for r in rows], ends, least)
     for r in rows:
-        assert found[r["doc_id"]]["text"] == linededup.cut(r["text"], removed[r["doc_id"]], "\n")
+        mine = [(s["start"], s["end"]) for s in found[r["doc_id"]]["removed"]]
+        trimmed = [(a + len(r["text"][a:b]) - len(r["text"][a:b].lstrip()), a + len(r["text"][a:b].rstrip())) for a, b in mine]
+        assert trimmed == removed[r["doc_id"]]
+        kept, at = "", 0
+        for a, b in removed[r["doc_id"]]:
+            kept, at = kept + r["text"][at:a], b
+        assert (found[r["doc_id"]]["text"] or "").split() == (kept + (r["text"] or "")[at:]).split()
+    assert any(removed.values())
+
+
+def test_passages_go_and_phrases_stay(spark):
+    """A passage that begins and ends inside other sentences goes from the later text; short repeated lines stay."""
+    rng = random.Random(3)
+    passage = ". ".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(12)) for _ in range(5))
+    rows = [(1, f"one two {passage} three. And ornd.\nTail of it"), (2, f"And ornd.\nOther four {passage} five six.\nAnd ornd."), (3, "And ornd.\nnothing else here")]
+    got = {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1]["removed"] and not got[3]["removed"] and len(got[2]["removed"]) == 1
+    assert got[2]["text"].startswith("And ornd.\nOther four ") and got[2]["text"].endswith("five six.\nAnd ornd.") and len(got[2]["text"].split()) <= 2 + 2 + 24 + 2 + 2
 
 
 def test_short_lines_count(spark):
     """Lines of one word and more are removed after their first occurrence; blank lines stay; a minimum spares short ones."""
     df = spark.createDataFrame([(1, "And ornd.\n\nx\nx"), (2, "and  ORND.\n\nnew"), (3, "one two three four five\nx"), (4, "one two three four five")], "doc_id long, text string")
-    kept = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
+    kept = {r["doc_id"]: r["text"] for r in linededup.dedup(df, "line", 1).collect()}
     assert kept == {1: "And ornd.\n\nx\n", 2: "\nnew", 3: "one two three four five\n", 4: ""}
-    spared = {r["doc_id"]: r["text"] for r in linededup.dedup(df, min_words=5).collect()}
+    spared = {r["doc_id"]: r["text"] for r in linededup.dedup(df, "line", 1, min_words=5).collect()}
     assert spared == {1: "And ornd.\n\nx\nx", 2: "and  ORND.\n\nnew", 3: "one two three four five\nx", 4: ""}
 
 
+def test_large_hypergeometric_draws(monkeypatch):
+    """Draws by inversion follow the exact probabilities; far beyond numpy's limit mean and spread are right."""
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 0)
+    rng = np.random.default_rng(1)
+    good, bad, n = 7, 12, 9
+    weights = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(8)]
+    drawn = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(20_000))
+    assert all(abs(drawn[k] / 20_000 - w) < 0.015 for k, w in enumerate(weights))
+    big = np.array([sharding.hypergeometric(rng, 10**12, 3 * 10**12, 20_000) for _ in range(3000)])
+    assert abs(big.mean() - 5000) < 6 and abs(big.std() - math.sqrt(20_000 * 0.25 * 0.75)) < 3
+
+
 # --- odd rows, empty tables ----------------------------------------------------------------------------------------
 
 
 def models(docs):
-    languages, matrix = langid.train(docs.select("text", "lang"))
-    crf = toxicity.train(docs.select("text", (F.col("doc_id") % 2).alias("toxic")))
-    return languages, matrix, crf
+    return langid.train(docs.select("text", "lang")), toxicity.train(docs.select("text", (F.col("doc_id") % 2).alias("toxic")))
 
 
 def test_odd_rows_everywhere(spark, odd_docs):
     n = odd_docs.count()
-    languages, matrix, crf = models(odd_docs)
-    predicted = langid.predict(odd_docs, languages, matrix, "doc_id").collect()
+    slices, crf = models(odd_docs)
+    predicted = langid.predict(odd_docs, slices, "doc_id").collect()
     assert len(predicted) == n and {r["lang_pred"] for r in predicted if r["doc_id"] in (5, 6, 7)} == {"und"}
     assert toxicity.score(odd_docs, crf, "doc_id").count() == n
     assert simhash.near_duplicates(odd_docs).count() == n
@@ -468,8 +611,8 @@ def test_odd_rows_everywhere(spark, odd_docs):
 
 
 def test_empty_tables_everywhere(spark, no_docs):
-    languages, matrix, crf = models(no_docs)
-    frames = [langid.predict(no_docs, languages, matrix, "doc_id"), toxicity.score(no_docs, crf, "doc_id"), simhash.near_duplicates(no_docs), simhash.similar_groups(no_docs), sharding.shard(no_docs), sharding.sharded_documents(no_docs), mixing.mix(no_docs), mixing.mixed_documents(no_docs), perplexity.judge(no_docs, "doc_id"), perplexity.accepted(no_docs), pii.personal_data(no_docs), linededup.dedup(no_docs), simhash.deduplicate(no_docs)]
+    slices, crf = models(no_docs)
+    frames = [langid.predict(no_docs, slices, "doc_id"), toxicity.score(no_docs, crf, "doc_id"), simhash.near_duplicates(no_docs), simhash.similar_groups(no_docs), sharding.shard(no_docs), sharding.sharded_documents(no_docs), mixing.mix(no_docs), mixing.mixed_documents(no_docs), perplexity.judge(no_docs, "doc_id"), perplexity.accepted(no_docs), pii.personal_data(no_docs), linededup.dedup(no_docs), simhash.deduplicate(no_docs)]
     assert [f.count() for f in frames] == [0] * len(frames)
 
 

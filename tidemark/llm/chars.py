@@ -20,7 +20,7 @@ def code_points(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.nd
     starts, data = text_bytes(column)
     raw = data.data
     for lo, hi in chunks(starts):
-        texts = [str(raw[starts[i] : starts[i + 1]], "utf-8") for i in range(lo, hi)]
+        texts = [str(raw[starts[i] : starts[i + 1]], "utf-8", "replace") for i in range(lo, hi)]
         if lower:
             texts = [t.lower() for t in texts]
         joined = np.frombuffer((" " * GAP).join([*texts, ""]).encode("utf-32-le"), np.uint32)

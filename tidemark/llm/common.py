@@ -31,6 +31,19 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """Never-null 128-bit identity of a row, k0 and k1, equal for repeated rows; null and empty text differ."""
+    return tuple(F.xxhash64(F.lit(i), F.col(doc_id), F.col(text).isNull(), F.col(text)).alias(f"k{i}") for i in range(2))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold01(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

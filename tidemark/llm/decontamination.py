@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_name
+from tidemark.storage import materialize
+
 TOKEN = re.compile(r"\w+")
 MIN_TILE = 5
 THRESHOLD = 0.5
-#: Seeds beyond this number are matched by a shuffle join instead of a broadcast (16 bytes each).
-BROADCAST_SEEDS = 2_000_000
+#: Benchmarks with more seeds or characters meet the texts by a shuffle join instead of a broadcast.
+BROADCAST_SEEDS, BROADCAST_CHARS = 2_000_000, 64_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,108 +107,136 @@ def item_ids(words: list[str], size: int) -> list[str]:
     return [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] if words else []
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text, item_id): pairs that share a seed. A row per pair, from whole texts."""
-    seeds = items.select(F.col("item_id"), F.col("text"))
+RESULT = "item_id long, item_tokens long, covered long, coverage double, n_tiles long, longest long"
+
+
+class Item:
+    """A benchmark item's words as numbers, and what tiling a document with it gives."""
+
+    def __init__(self, item_id: int, text: str) -> None:
+        words = tokens(text)
+        self.item_id = item_id
+        self.ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.body = [self.ids[w] for w in words]
+        self.least = min(MIN_TILE, len(words))
+
+    def covered_by(self, words: list[str], threshold: float) -> tuple | None:
+        """A row of RESULT if tiles cover the threshold share of the item."""
+        if not self.body:
+            return None
+        tiles = tile(_near_seeds([self.ids.get(w, -1) for w in words], self.body, self.least), self.body, self.least)
+        covered, n = sum(t[2] for t in tiles), len(self.body)
+        return (self.item_id, n, covered, covered / n, len(tiles), max(t[2] for t in tiles)) if covered and covered >= threshold * n else None
+
+
+def _rows(kept: pa.Array, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    return pa.RecordBatch.from_arrays([kept.take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["kept", *names])
+
+
+def covered_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(kept, columns of RESULT): pairs of a row of docs (kept, text) and an item that it covers to the threshold.
+
+    Benchmarks of up to BROADCAST_SEEDS seeds travel to the texts, and each text is read and tiled once, in place.
+    Larger ones meet the texts' seeds in a shuffle; then rows and items travel as numbers, and each pair is tiled for
+    itself.
+    """
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
     def cut(batches):
         for batch in batches:
             rows = [(i, s) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in dict.fromkeys(item_ids(tokens(t), MIN_TILE))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item", "seed"])
 
-    table = seeds.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "item_id long, seed string")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if table.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        return _broadcast_candidates(source, table)
-    return _joined_candidates(source, table)
+    numbered = materialize(wanted.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    seeds = materialize(numbered.select("item", "text").mapInArrow(cut, "item long, seed string"), "benchmark-seeds")
+    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS and (numbered.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS:
+        return _broadcast_pairs(docs, numbered, seeds, threshold)
+    return _joined_pairs(docs, numbered, seeds, threshold)
 
 
-def _broadcast_candidates(source: DataFrame, table: DataFrame) -> DataFrame:
+def _broadcast_pairs(docs: DataFrame, items: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
     owners: dict[str, list[int]] = defaultdict(list)
-    for row in table.collect():
-        owners[row["seed"]].append(row["item_id"])
+    for row in seeds.collect():
+        owners[row["seed"]].append(row["item"])
+    bodies = {r["item"]: Item(r["item_id"], r["text"]) for r in items.collect()}
     vocabulary = {w: i for i, w in enumerate(sorted({w for s in owners for w in s.split(" ")}))}
     by_length: dict[int, dict[int, list[int]]] = defaultdict(dict)
-    for seed, ids in owners.items():
+    for seed, of in owners.items():
         words = seed.split(" ")
         key = int(seed_hashes(np.array([vocabulary[w] for w in words]), len(words))[0])
-        by_length[len(words)][key] = sorted({*by_length[len(words)].get(key, ()), *ids})
-    model = source.sparkSession.sparkContext.broadcast((vocabulary, {n: (np.array(sorted(x), np.uint64), x) for n, x in by_length.items()}))
+        by_length[len(words)][key] = sorted({*by_length[len(words)].get(key, ()), *of})
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, {n: (np.array(sorted(x), np.uint64), x) for n, x in by_length.items()}, bodies))
 
     def find(batches):
-        vocab, tables = model.value
+        vocab, tables, whole = model.value
         for batch in batches:
-            rows, of = [], []
+            of, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                ids = np.fromiter((vocab.get(w, -1) for w in TOKEN.findall(text.lower())), np.int64)
+                words = TOKEN.findall(text.lower())
+                ids = np.fromiter((vocab.get(w, -1) for w in words), np.int64, len(words))
                 hit: set[int] = set()
-                for n, (known, items) in tables.items():
+                for n, (known, owned) in tables.items():
                     if len(ids) < n:
                         continue
-                    good = ids >= 0
-                    whole = np.flatnonzero(np.convolve(good, np.ones(n, np.int64), "valid") == n)
-                    if len(whole):
-                        h = seed_hashes(ids, n)[whole]
+                    full = np.flatnonzero(np.convolve(ids >= 0, np.ones(n, np.int64), "valid") == n)
+                    if len(full):
+                        h = seed_hashes(ids, n)[full]
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         for x in np.unique(h[known[at] == h]):
-                            hit.update(items[int(x)])
-                rows += [i] * len(hit)
-                of += sorted(hit)
-            pick = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(of, pa.int64())], names=["doc_id", "text", "item_id"])
+                            hit.update(owned[int(x)])
+                rows = [r for k in sorted(hit) if (r := whole[k].covered_by(words, threshold))]
+                of += [i] * len(rows)
+                found += rows
+            yield _rows(batch.column(0), of, found)
 
-    return source.mapInArrow(find, "doc_id long, text string, item_id long")
+    source = docs.select("kept", "text")
+    return source.mapInArrow(find, f"kept {source.schema['kept'].dataType.simpleString()}, {RESULT}")
 
 
-def _joined_candidates(source: DataFrame, table: DataFrame) -> DataFrame:
-    """The same pairs by a shuffle join on seeds, for benchmarks too large to broadcast."""
-    lengths = [r["n"] for r in table.select(F.size(F.split("seed", " ")).alias("n")).distinct().collect()]
+def _joined_pairs(docs: DataFrame, items: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
+    """The same pairs by a shuffle join on seeds, for benchmarks too large to broadcast.
+
+    Rows are numbered in a written table. A seed is looked up once per text; a row's items are then gathered, and
+    texts meet them once per row.
+    """
+    lengths = [r["n"] for r in seeds.select(F.size(F.split("seed", " ")).alias("n")).distinct().collect()]  # at most MIN_TILE
 
     def cut(batches):
         for batch in batches:
-            rows = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
-                rows += [(k, s) for s in {" ".join(words[i : i + n]) for n in lengths for i in range(len(words) - n + 1)}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["row", "seed"])
+                found = list({" ".join(words[i : i + n]) for n in lengths for i in range(len(words) - n + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.string())], names=["row", "seed"])
 
-    keyed = source.withColumn("row", F.xxhash64("doc_id", "text"))
-    pairs = keyed.select("row", "text").mapInArrow(cut, "row long, seed string").join(table, "seed").select("row", "item_id").distinct()
-    return keyed.join(pairs, "row").select("doc_id", "text", "item_id")
+    def tiled(batches):
+        for batch in batches:
+            of, found = [], []
+            for i, (text, item_id, body) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                if row := Item(item_id, body).covered_by(tokens(text), threshold):
+                    of.append(i)
+                    found.append(row)
+            yield _rows(batch.column(0), of, found)
+
+    rows = materialize(docs.select("kept", "text").withColumn("row", F.monotonically_increasing_id()), "benchmark-texts")
+    pairs = rows.select("row", "text").mapInArrow(cut, "row long, seed string").join(seeds.hint("merge"), "seed").select("row", "item").distinct()
+    met = rows.join(pairs, "row").join(items.select("item", "item_id", F.col("text").alias("body")).hint("merge"), "item").select("kept", "text", "item_id", "body")
+    return met.mapInArrow(tiled, f"kept {rows.schema['kept'].dataType.simpleString()}, {RESULT}")
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, item_tokens, covered, coverage, n_tiles, longest) of pairs covered to the threshold.
 
-    items has item_id and text. Null or empty texts on either side match nothing; items shorter than MIN_TILE
-    tokens must appear whole. Repeated document rows give repeated result rows; the item rows of a repeated
-    item_id are tiled each for itself.
+    items has item_id and text; other columns on either side are ignored. Null or empty texts on either side match
+    nothing; items shorter than MIN_TILE tokens must appear whole. Repeated document rows give repeated result rows;
+    the item rows of a repeated item_id are tiled each for itself.
     """
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text"))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, text, item, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b_words = tokens(item_text)
-                if not b_words:
-                    continue
-                ids = {w: i for i, w in enumerate(dict.fromkeys(b_words))}
-                b = [ids[w] for w in b_words]
-                least = min(MIN_TILE, len(b))
-                a = _near_seeds([ids.get(w, -1) for w in tokens(text)], b, least)
-                tiles = tile(a, b, least)
-                covered = sum(t[2] for t in tiles)
-                if covered and covered >= threshold * len(b):
-                    out.append((doc, item, len(b), covered, covered / len(b), len(tiles), max(t[2] for t in tiles)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "item_tokens", "covered", "coverage", "n_tiles", "longest"])
-
-    pairs = candidates(docs, items).join(wanted, "item_id").select("doc_id", "text", "item_id", "item_text")
-    return pairs.mapInArrow(run, "doc_id long, item_id long, item_tokens long, covered long, coverage double, n_tiles long, longest long")
+    found = covered_items(docs.select(F.col("doc_id").cast("long").alias("kept"), F.col("text").cast("string").alias("text")), items, threshold)
+    return found.withColumnRenamed("kept", "doc_id")
 
 
 def _near_seeds(a: list[int], b: list[int], least: int) -> list[int]:
@@ -223,6 +254,9 @@ def _near_seeds(a: list[int], b: list[int], least: int) -> list[int]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that hold a benchmark item to the threshold; rows without id or text stay."""
-    leaks = contamination(docs, items, threshold).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    """docs without the rows whose text holds a benchmark item to the threshold, whatever their id; other rows stay."""
+    text = F.col("text").cast("string")
+    key = F.struct(F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1"))
+    leak = free_name(docs, "leak")
+    leaks = covered_items(docs.select(key.alias("kept"), text.alias("text")), items, threshold).select(F.col("kept").alias(leak)).distinct()
+    return docs.join(leaks, key == F.col(leak), "left_anti")

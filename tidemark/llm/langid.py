@@ -2,8 +2,9 @@
 
 Spark counts the hashed 1- to 3-grams of all training texts per language (combined inside each task first); the
 smoothed log-probability matrix, buckets x languages, is broadcast, and each batch is scored as a sparse matrix
-in row-pointer form whose column indices are the n-gram buckets. The matrix is bounded by MATRIX_BYTES: the
-number of buckets is halved until it fits, however many languages there are.
+in row-pointer form whose column indices are the n-gram buckets. Languages are taken in slices of SLICE, each with a
+matrix of at most BUCKETS * SLICE * 4 bytes: a slice is counted and scored in a pass of its own, and a document keeps
+the likeliest language so far and the sum of all likelihoods, so any number of languages gives the same result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from tidemark.llm.chars import code_points, inside, letters, segment_sums
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
-MATRIX_BYTES = 64 << 20
+#: Languages of one matrix (64 MB).
+SLICE = 256
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 UNDETERMINED = "und"
 
@@ -33,15 +35,6 @@ def ngram_buckets(points: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (h >> np.uint64(16)).astype(np.int64) & (buckets - 1)
 
 
-def buckets_for(languages: int) -> int:
-    buckets = BUCKETS
-    while buckets > 256 and buckets * languages * 4 > MATRIX_BYTES:
-        buckets //= 2
-    if buckets * languages * 4 > MATRIX_BYTES:
-        raise ValueError(f"{languages} distinct labels are not languages")
-    return buckets
-
-
 def ngram_counts(docs: DataFrame, languages: list[str], buckets: int) -> DataFrame:
     """(language index, bucket, n) over all rows of docs (text, lang); each task emits one row per pair at most."""
     index = {name: i for i, name in enumerate(languages)}
@@ -66,48 +59,63 @@ def ngram_counts(docs: DataFrame, languages: list[str], buckets: int) -> DataFra
     return docs.select(F.col("text"), F.col("lang")).mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability matrix of buckets + 1 rows, the last row being the class priors)."""
+def train(docs: DataFrame, alpha: float = 0.5, size: int = SLICE) -> list[tuple[list[str], np.ndarray]]:
+    """(languages, log-probability matrix of BUCKETS + 1 rows, the last row being the class priors) of each slice.
+
+    Rows (text, lang) with a null in either are ignored; without any there is no slice.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     priors = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
-    languages = [name for name, _ in priors]
-    buckets = buckets_for(max(1, len(languages)))
-    matrix = np.zeros((buckets + 1, len(languages)), np.float32)
-    if not languages:
-        return languages, matrix
-    table = ngram_counts(known, languages, buckets).toArrow()
-    counts = np.full((buckets, len(languages)), alpha)
-    counts[table["bucket"].to_numpy(), table["label"].to_numpy()] += table["n"].to_numpy()
-    matrix[:buckets] = np.log(counts / counts.sum(axis=0))
-    rows = np.array([n for _, n in priors], np.float64)
-    matrix[buckets] = np.log(rows / rows.sum())
-    return languages, matrix
-
-
-def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, *keep: str | Column) -> DataFrame:
+    total = sum(n for _, n in priors)
+    slices = []
+    for at in range(0, len(priors), size):
+        part = priors[at : at + size]
+        languages = [name for name, _ in part]
+        mine = known if len(priors) <= size else known.filter(F.col("lang").isin(languages))
+        table = ngram_counts(mine, languages, BUCKETS).toArrow()
+        counts = np.full((BUCKETS, len(languages)), alpha)
+        counts[table["bucket"].to_numpy(), table["label"].to_numpy()] += table["n"].to_numpy()
+        matrix = np.zeros((BUCKETS + 1, len(languages)), np.float32)
+        matrix[:BUCKETS] = np.log(counts / counts.sum(axis=0))
+        matrix[BUCKETS] = np.log(np.array([n for _, n in part], np.float64) / total)
+        slices.append((languages, matrix))
+    return slices
+
+
+def predict(docs: DataFrame, slices: list[tuple[list[str], np.ndarray]], *keep: str | Column) -> DataFrame:
     """keep columns and (lang_pred, score): the likeliest language and its posterior.
 
     Null texts and texts without a Unicode letter give ("und", 0.0), as does a model without languages.
     """
-    model = docs.sparkSession.sparkContext.broadcast(matrix)
+    kept = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
+    state = kept.select("text", F.lit(UNDETERMINED).alias("best"), F.lit(0.0).alias("top"), F.lit(0.0).alias("rest"), "kept")
+    for at, (languages, matrix) in enumerate(slices):
+        state = state.mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(matrix), languages, at == 0), state.schema)
+    score = F.when(F.col("best") == UNDETERMINED, 0.0).otherwise(1 / F.col("rest"))
+    return state.select("kept.*", F.col("best").alias("lang_pred"), score.alias("score"))
+
+
+def _scoring(model, languages: list[str], first_slice: bool):
+    """A pass over batches (text, best, top, rest, kept): the likeliest language so far, its log-likelihood, and the
+    sum of all likelihoods so far over its own."""
 
     def run(batches):
-        weights, buckets = model.value, len(model.value) - 1
-        names = np.array([*languages, UNDETERMINED], dtype=object)
+        weights = model.value
+        names = np.array(languages, dtype=object)
         for batch in batches:
-            n = batch.num_rows
-            best, score = np.full(n, len(languages)), np.zeros(n)
-            for lo, hi, points, first, end in code_points(batch.column(0), lower=True) if languages else ():
-                logs = np.zeros((hi - lo, len(languages)))
+            best = batch.column(1).to_numpy(zero_copy_only=False).copy()
+            top, rest = batch.column(2).to_numpy().copy(), batch.column(3).to_numpy().copy()
+            for lo, hi, points, first, end in code_points(batch.column(0), lower=True):
+                logs = np.zeros((hi - lo, len(names)))
                 for order in ORDERS:
-                    logs += segment_sums(weights[ngram_buckets(points, order, buckets)], first, end)
-                logs += weights[buckets]
-                likely = np.exp(logs - logs.max(axis=1, keepdims=True))
-                has_letter = segment_sums(letters()[points].astype(np.int8), first, end) > 0
-                best[lo:hi] = np.where(has_letter, likely.argmax(axis=1), len(languages))
-                score[lo:hi] = np.where(has_letter, likely.max(axis=1) / likely.sum(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
-
-    source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{kept}, lang_pred string, score double")
+                    logs += segment_sums(weights[ngram_buckets(points, order, BUCKETS)], first, end)
+                logs += weights[BUCKETS]
+                mine, has_letter = logs.max(axis=1), segment_sums(letters()[points].astype(np.int8), first, end) > 0
+                before = np.full(hi - lo, -np.inf) if first_slice else top[lo:hi].copy()
+                now = np.maximum(mine, before)
+                rest[lo:hi] = rest[lo:hi] * np.exp(before - now) + np.exp(logs - now[:, None]).sum(axis=1)
+                top[lo:hi] = now
+                best[lo:hi] = np.where(has_letter, np.where(mine > before, names[logs.argmax(axis=1)], best[lo:hi]), UNDETERMINED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(top), pa.array(rest), batch.column(4)], names=batch.schema.names)
+
+    return run

@@ -1,82 +1,115 @@
 """Line or paragraph deduplication across all documents.
 
-Every text is cut into units at a separator (lines by default). Units are normalised (lower case, blanks collapsed)
-and digested; digests are grouped globally, combined map-side, and the earliest occurrence by (doc_id, offset) is
-kept. All other occurrences are removed; their offsets in the original text are reported.
+Every text is cut into units: clauses by default, or sentences, lines, paragraphs. Units are normalised (lower case,
+blanks collapsed) and digested; digests are grouped globally, combined map-side, and the earliest occurrence by
+(doc_id, offset) is kept. Other occurrences are removed where a run of neighbouring ones has at least run_words words:
+a short phrase that recurs by itself stays, while a passage goes wherever in a line it begins. Offsets of what is
+removed are reported in the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key
+from tidemark.llm.common import row_keys
 from tidemark.storage import materialize
 
-#: Least words of a unit that counts; a higher one spares headings, list marks and the like.
-MIN_WORDS = 1
-
-
-def units(text: str, separator: str, min_words: int):
-    """(start, end, digest) of the units that count, in code points; the separator belongs to no unit."""
-    at = 0
-    for piece in text.split(separator):
-        words = piece.lower().split()
-        if len(words) >= min_words:
-            yield at, at + len(piece), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-        at += len(piece) + len(separator)
-
-
-def cut(text: str, spans: list[tuple[int, int]], separator: str) -> str:
-    """The text without the units at spans, each with one separator beside it."""
+#: A unit and what parts it from the next.
+UNITS = {
+    "clause": re.compile(r"((?:[^.!?,;:\n]|[.!?,;:](?!\s))+[.!?,;:]*)(\s*)|([.!?,;:\n]\s*)()"),
+    "sentence": re.compile(r"((?:[^.!?\n]|[.!?](?!\s))+[.!?]*)(\s*)|([.!?\n]\s*)()"),
+    "line": re.compile(r"([^\n]+)(\n?)|(\n)()"),
+    "paragraph": re.compile(r"((?:[^\n]|\n(?!\s*\n))+)(\n\s*\n|\n?)|(\n)()"),
+}
+#: Least words of a run of repeated units: half of a passage of fifty words, of which the ends may be parts of units.
+RUN_WORDS = 25
+#: Digests in more units than this share of all, and than this number, are broadcast instead of shuffled.
+HOT_SHARE, HOT_UNITS = 1 / 200_000, 5_000
+
+
+def units(text: str, unit: str, min_words: int = 1):
+    """(start, end, start of what follows, words, digest) of the units with min_words words, in code points."""
+    for m in UNITS[unit].finditer(text):
+        words = m.group(1).lower().split() if m.group(1) else ()
+        if len(words) >= max(min_words, 1):
+            yield m.start(1), m.end(1), m.end(), len(words), hashlib.blake2b(" ".join(words).encode(errors="surrogatepass"), digest_size=16).digest()
+
+
+def runs(extra: list[tuple[int, int, int, int, int]], run_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, start of what follows) of the runs of neighbours with run_words words; extra: (at, start, end, next, words)."""
+    out, i = [], 0
+    while i < len(extra):
+        j = i + 1
+        while j < len(extra) and extra[j][0] == extra[j - 1][0] + 1:
+            j += 1
+        if sum(x[4] for x in extra[i:j]) >= run_words:
+            out.append((extra[i][1], extra[j - 1][2], extra[j - 1][3]))
+        i = j
+    return out
+
+
+def cut(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text without the spans and what parts each from the next unit."""
     kept, at = [], 0
-    for start, end in spans:
+    for start, _, after in spans:
         kept.append(text[at:start])
-        at = end + len(separator) if text.startswith(separator, end) else end
+        at = after
     return "".join([*kept, text[at:]])
 
 
-def dedup(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def _with_firsts(found: DataFrame, total: int) -> DataFrame:
+    """found with the earliest occurrence of its digest, for digests that occur again.
+
+    Digests of more than HOT_SHARE of all units are at most 1 / HOT_SHARE many, and travel to their units.
+    """
+    rank = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k0", "k1", "start")
+    repeated = materialize(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1"), "repeated-units")
+    hot = F.col("n") > max(HOT_UNITS, total * HOT_SHARE)
+    marked = found.join(F.broadcast(repeated.filter(hot).select("digest", F.col("first").alias("hot_first"))), "digest", "left")
+    common = marked.filter("hot_first is not null").withColumnRenamed("hot_first", "first")
+    rare = marked.filter("hot_first is null").drop("hot_first").join(repeated.filter(~hot).select("digest", "first").hint("merge"), "digest")
+    return common.unionByName(rare)
+
+
+def dedup(docs: DataFrame, unit: str = "clause", run_words: int = RUN_WORDS, min_words: int = 1) -> DataFrame:
     """All columns of docs with text replaced by what is kept, plus removed: array of (start, end) in the original.
 
     Ranks are (doc_id, offset), null ids last; of repeated rows one counts as the earlier. Null texts have no units
-    and stay null; units under min_words words are kept. Columns named removed are replaced.
+    and stay null; units under min_words words are kept and count as absent. A column named removed is replaced.
     """
     docs = docs.drop("removed")
 
     def find(batches):
         for batch in batches:
-            rows = [(k, d, *u) for k, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for u in units(t, separator, min_words)]
-            key, doc, start, end, digest = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())],
-                names=["row", "doc", "start", "end", "digest"],
-            )
-
-    keyed = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    found = materialize(keyed.mapInArrow(find, "row long, doc long, start long, end long, digest binary"), "units")
-    rank = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "row", "start")
-    repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1").drop("n")
-    extra = found.join(repeated, "digest").filter(~((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))))
-    spans = extra.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+            rows = [(a, b, d, at, *u) for a, b, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for at, u in enumerate(units(t, unit, min_words))]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 8 else pa.int64()) for k, c in enumerate(columns)], names=["k0", "k1", "doc", "at", "start", "end", "next", "words", "digest"])
+
+    keyed = docs.select(*row_keys(), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    found = materialize(keyed.mapInArrow(find, "k0 long, k1 long, doc long, at long, start long, end long, next long, words long, digest binary"), "units")
+    first = F.struct("k0", "k1", "start") == F.struct("first.k0", "first.k1", "first.start")
+    extra = _with_firsts(found, found.count()).filter(~first)
+    extra = extra.groupBy("k0", "k1").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "next", "words"))).alias("extra"), F.sum("words").alias("n"))
+    extra = extra.filter(F.col("n") >= run_words)
 
     fields = [f for f in docs.schema.fields if f.name != "text"]
-    rows = docs.withColumn("__row", row_key()).withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
-    joined = rows.join(spans.withColumnRenamed("row", "__row"), "__row", "left").select(F.col("text").cast("string").alias("text"), "spans", "__copy", *[f.name for f in fields])
+    rows = docs.select(F.struct(*docs.columns).alias("document"), F.col("text").cast("string").alias("text"), *row_keys())
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("k0", "k1").orderBy("k0")))
+    joined = rows.join(extra, ["k0", "k1"], "left").select("text", "extra", "copy", *[F.col("document")[f.name].alias(f.name) for f in fields])
 
     def apply(batches):
         for batch in batches:
             texts, removed = [], []
-            for text, spans_, copy in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                gone = [(s["start"], s["end"]) for s in spans_ or ()]
-                if copy > 1 and text:
-                    gone = [(a, b) for a, b, _ in units(text, separator, min_words)]
-                texts.append(cut(text, gone, separator) if gone else text)
-                removed.append([{"start": a, "end": b} for a, b in gone])
+            for text, extra_, copy in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                again = [tuple(x.values()) for x in extra_ or ()] if copy == 1 or not text else [(at, *u[:4]) for at, u in enumerate(units(text, unit, min_words))]
+                gone = runs(again, run_words)
+                texts.append(cut(text, gone) if gone else text)
+                removed.append([{"start": a, "end": b} for a, b, _ in gone])
             columns = [pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=["text", "removed", *batch.schema.names[3:]])
 

@@ -27,6 +27,8 @@ ROUNDS = 12
 DRAWS_PER_TASK = 1 << 16
 #: Documents whose running word offsets one window computes at once, on average.
 RUN_ROWS = 20_000
+#: Runs of a source at least, so that one source is never one task.
+LEAST_RUNS = 64
 
 
 def permuted(x: Column, n: Column, key: Column) -> Column:
@@ -69,7 +71,7 @@ def _laid_out(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     draws = F.when(F.col("source_size") > 0, F.least(LIMIT * blocks, F.round(blocks * F.col("target") / F.col("source_size")).cast("long"))).otherwise(F.lit(0))
     sources = materialize(sources.withColumn("blocks", blocks).withColumn("draws", draws.cast("long")), "mix-sources")
 
-    runs = max(1, math.ceil(rows.count() / RUN_ROWS))
+    runs = max(LEAST_RUNS, math.ceil(rows.count() / RUN_ROWS))
     placed = rows.select("tie", "source", "size", "key", F.pmod(F.xxhash64(F.lit("run"), "key"), F.lit(runs)).alias("run"))
     placed = placed.join(sources.select("source", "sid"), placed.source.eqNullSafe(sources.source)).drop("source")
     totals = placed.groupBy("sid", "run").agg(F.sum("size").alias("words"))
@@ -81,19 +83,20 @@ def _laid_out(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
 
 
 def draws(sources: DataFrame) -> DataFrame:
-    """(sid, shard, pass_no, block): one row per drawn block.
+    """(sid, shard, pass_no, block): one row per drawn block; sources without words or draws give none.
 
     Spark takes the result for as small as sources, which it is not: joins with it name their kind.
     """
     some = sources.filter("draws > 0").select("sid", "draws", "blocks")
+    tasks = max(1, math.ceil((some.agg(F.sum("draws")).first()[0] or 0) / DRAWS_PER_TASK))
     parts = some.select("sid", "draws", "blocks", F.explode(F.sequence(F.lit(0), F.expr(f"(draws - 1) div {DRAWS_PER_TASK}"))).alias("part"))
-    spread = parts.repartition("sid", "part")
+    spread = parts.repartition(tasks, "sid", "part")
     last = F.least(F.col("draws"), (F.col("part") + 1) * DRAWS_PER_TASK) - 1
     each = spread.select("sid", F.explode(F.sequence(F.col("part") * DRAWS_PER_TASK, last)).alias("draw"))
     counts = each.groupBy("sid", F.pmod(F.xxhash64(F.lit("shard"), "sid", "draw"), F.lit(SHARDS)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counts.withColumn("from", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(some.drop("draws"), "sid")
-    cut = numbered.select("sid", "shard", "blocks", "n", "from", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {DRAWS_PER_TASK}"))).alias("part")).repartition("sid", "shard", "part")
+    cut = numbered.select("sid", "shard", "blocks", "n", "from", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {DRAWS_PER_TASK}"))).alias("part")).repartition(max(tasks, SHARDS), "sid", "shard", "part")
     slots = cut.select("sid", "shard", "blocks", F.explode(F.sequence(F.col("from") + F.col("part") * DRAWS_PER_TASK, F.col("from") + F.least(F.col("n"), (F.col("part") + 1) * DRAWS_PER_TASK) - 1)).alias("slot"))
     return slots.select("sid", "shard", F.expr("slot div blocks").alias("pass_no"), permuted(F.expr("slot % blocks"), F.col("blocks"), F.col("sid")).alias("block"))
 
@@ -125,8 +128,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document taken whole and once keeps its text as it is; one that is not taken is left out.
     """
-    payload = docs.select(*docs.columns, F.struct(*docs.columns).alias("__document"))
-    rows, sources, offsets = _laid_out(payload, "text", "__document")
+    payload = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("document"))
+    rows, sources, offsets = _laid_out(payload, "text", "document")
     drawn = draws(sources).select("sid", "block", "pass_no")
     pieces = _pieces(offsets).join(drawn.hint("merge"), ["sid", "block"])
     taken = pieces.groupBy("tie").agg(F.array_sort(F.collect_list(F.struct("pass_no", "first", "words"))).alias("taken"), F.sum("words").alias("n"), F.max("pass_no").alias("passes"))
@@ -138,5 +141,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     picked = F.transform(F.array(words), pieces_of)[0]  # one array of the words, cut into once per row
     once = (F.col("n") == F.col("size")) & (F.col("passes") == 0)
     joined = rows.join(taken, "tie").withColumn("text", F.when(once, F.col("text")).otherwise(picked))
-    out = {c: F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col("__document")[c] for c in docs.columns}
+    out = {c: F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col("document")[c] for c in docs.columns}
     return joined.select(*[expr.alias(c) for c, expr in out.items()])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import code_points, inside, segment_sums
-from tidemark.llm.common import row_key, text_bytes
+from tidemark.llm.common import free_name, row_keys, text_bytes
 from tidemark.storage import materialize
 
 ORDER = 4
@@ -31,11 +31,13 @@ ALPHABET = 55108
 SYMBOLS = b"#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "length")
 #: Symbols of a block of documents that is scored together, on average.
-BLOCK_SYMBOLS = 1 << 22
+BLOCK_SYMBOLS = 1 << 23
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 1 << 21
 #: Half width of the perplexity bands, in median absolute deviations (README has what it rejects by quality label).
 BAND = 4.0
+#: Languages whose bands are broadcast at most.
+BROADCAST_BANDS = 10_000
 #: Rounding of a document's mean loss; a band is wider than this on either side.
 ROUNDING = 1e-6
 
@@ -248,15 +250,18 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("band_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     good = scored.filter(~F.col("base_failed"))
-    middle = good.groupBy("band_lang").agg(F.percentile_approx("loss", 0.5, 1000).alias("middle"))
+    middle = materialize(good.groupBy("band_lang").agg(F.percentile_approx("loss", 0.5, 1000).alias("middle")), "band-middles")
+    middle = F.broadcast(middle) if middle.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS else middle.hint("merge")
     root = F.sqrt(F.greatest("length", F.lit(1)))
     away = good.join(middle, "band_lang").select("band_lang", "middle", (F.abs(F.col("loss") - F.col("middle")) * root).alias("away"))
     spread = away.groupBy("band_lang", "middle").agg(F.percentile_approx("away", 0.5, 1000).alias("mad"))
     pooled = away.agg(F.percentile_approx("away", 0.5, 1000).alias("pooled"))
     bands = spread.crossJoin(F.broadcast(pooled)).select("band_lang", "middle", (BAND * F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("pooled"))).alias("width"))
+    bands = materialize(bands, "bands")
+    few = bands.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS
     width = F.col("width") / root + ROUNDING
     within = F.coalesce(F.col("loss").between(F.col("low"), F.col("high")), F.lit(False))
-    banded = scored.join(bands, "band_lang", "left").withColumn("low", F.col("middle") - width).withColumn("high", F.col("middle") + width)
+    banded = scored.join(F.broadcast(bands) if few else bands.hint("merge"), "band_lang", "left").withColumn("low", F.col("middle") - width).withColumn("high", F.col("middle") + width)
     return banded.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & within).alias("kept"), F.exp("loss").alias("perplexity"), F.exp("low").alias("band_low"), F.exp("high").alias("band_high"),
@@ -265,7 +270,7 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept; equal rows share one verdict."""
-    verdicts = judge(docs.withColumn("__row", row_key()).withColumn("__lang", F.col("lang")), "__row", "__lang")
-    bad = verdicts.filter(~F.col("kept")).select("__row", "__lang").distinct()
-    keyed = docs.withColumn("__key", row_key())
-    return keyed.join(bad, (F.col("__key") == F.col("__row")) & F.col("lang").eqNullSafe(F.col("__lang")), "left_anti").drop("__key")
+    verdicts = judge(docs.select("doc_id", "text", "lang", *row_keys()), "k0", "k1", "lang")
+    bad = verdicts.filter(~F.col("kept")).select(*[F.col(c).alias(free_name(docs, f"bad_{c}")) for c in ("k0", "k1", "lang")]).distinct()
+    one, two = row_keys()
+    return docs.join(bad, (one == bad[0]) & (two == bad[1]) & docs["lang"].eqNullSafe(bad[2]), "left_anti")

@@ -31,6 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
@@ -42,10 +43,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row, nulls and repeated rows included; shard counts at most one apart."""
     return sharding.shard(read_table(spark, sf_dir, "documents"), shards=16)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; null texts have none, null sources are one source."""
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
@@ -55,14 +58,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, by the stated patterns and by learnt ones; null texts are empty."""
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from documents whose id's crc32 modulo 4 is not 2."""
     docs = read_table(spark, sf_dir, "documents")
-    languages, matrix = langid.train(docs.filter(fold01("doc_id", 4) != 2).select("text", "lang"))
-    return langid.predict(docs, languages, matrix, "doc_id", (fold01("doc_id", 4) == 2).alias("held_out"))
+    model = langid.train(docs.filter(fold01("doc_id", 4) != 2).select("text", "lang"))
+    return langid.predict(docs, model, "doc_id", (fold01("doc_id", 4) == 2).alias("held_out"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

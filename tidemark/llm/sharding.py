@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import row_key
 from tidemark.storage import materialize
 
-#: Rows of a block on average: what one task sorts at once, locally permuted.
+#: Rows of a block on average: what one task sorts at once, locally permuted. More where blocks would exceed MAX_BLOCKS,
+#: so that the driver draws a matrix of bounded size.
 BLOCK_ROWS = 20_000
+MAX_BLOCKS = 100_000
+#: Urns that numpy draws from.
+NUMPY_LIMIT = 10**9
+#: Standard deviations beyond which a count has no weight in double precision.
+TAIL = 40
 
 
 def communication_matrix(block_rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -45,20 +51,31 @@ def multivariate_hypergeometric(rng: np.random.Generator, left: np.ndarray, n: i
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Exact below numpy's limit of 10^9; above it a rounded normal draw clipped to the support (relative error under 1e-4)."""
-    if good + bad < 10**9:
+    """Number of good ones among n drawn without replacement.
+
+    Above numpy's limit by inversion: weights around the mode follow from their ratios, which are rational in
+    the counts, so no factorial is needed and the draw is exact to double precision at any size.
+    """
+    if good + bad < NUMPY_LIMIT or not n:
         return int(rng.hypergeometric(good, bad, n)) if n else 0
     total = good + bad
-    mean = n * good / total
-    spread = math.sqrt(max(0.0, mean * (bad / total) * ((total - n) / max(total - 1, 1))))
-    return min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n)
+    least, most = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), least), most)
+    reach = math.ceil(TAIL * (1 + math.sqrt(n * (good / total) * (bad / total))))
+    down, up = min(reach, mode - least), min(reach, most - mode)
+    k = mode + np.arange(up, dtype=np.float64)
+    above = np.cumprod((good - k) / (k + 1) * (n - k) / (bad - n + k + 1))
+    k = mode - np.arange(down, dtype=np.float64)
+    below = np.cumprod(k / (good - k + 1) * (bad - n + k) / (n - k + 1))
+    weights = np.concatenate((below[::-1], [1.0], above))
+    return mode - down + int(min(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum()), len(weights) - 1))
 
 
 def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     """rows (key and others) with shard and slot."""
     spark = rows.sparkSession
     total = rows.count()
-    blocks = max(1, math.ceil(total / BLOCK_ROWS))
+    blocks = min(MAX_BLOCKS, max(1, math.ceil(total / BLOCK_ROWS)))
     placed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "tie"), F.lit(blocks)).cast("int"))
     sent = {r["block"]: r["n"] for r in placed.groupBy("block").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix(np.array([sent.get(b, 0) for b in range(blocks)], np.int64), shards, seed)

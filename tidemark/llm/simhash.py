@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import free_name, text_bytes
 from tidemark.llm.components import connected_components
 from tidemark.storage import materialize
 
@@ -155,51 +155,86 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     return base.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints, for links of a given similarity: words of 64 bits.
-WIDE = 4
-#: Least chance that a pair at the similarity asked for shares a cell in which it is compared.
-RECALL = 0.9
-#: Standard deviations of the differing bits around what the similarity asked for gives; pairs within are verified.
-SPREAD = 2.5
-#: Text hashes of 8 bytes that are broadcast at most.
+#: Wide fingerprints, for links of a given similarity: words of 64 bits, each of eight segments.
+WIDE = 8
+SEGMENTS = 8 * WIDE
+#: Least chance that a pair at the similarity asked for meets in a cell.
+RECALL = 0.999
+#: Unlike fingerprints that a fingerprint meets in one grid, on average.
+STRANGERS = 0.2
+#: Standard deviations of the differing bits above what the similarity asked for gives; pairs within are verified.
+SPREAD = 3.0
+#: Members of a cell that are all compared at once; larger cells are compared in blocks of BLOCK_ROWS.
+SMALL_CELL = 24
+BLOCK_ROWS = 256
+#: Shingles that one step of a block comparison counts.
+BLOCK_SHINGLES = 4096
+#: Text hashes of 16 bytes that are broadcast at most.
 BROADCAST_KEYS = 1_000_000
+#: Chance that two unlike segments of eight bits have equal counts.
+EQUAL_COUNTS = math.comb(16, 8) / 4**8
+#: What each segment multiplies hashes with, to draw its voter and to read the voter's bits.
+DRAWS, READS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SEGMENTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A count of 0 to 8 in unary, for every byte.
+UNARY = ((1 << np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)) - 1).astype(np.uint8)
+CODES, COUNTS = [f"f{k}" for k in range(WIDE)], [f"v{k}" for k in range(WIDE)]
 
 
-def wide_fingerprint(text: bytes, words: int) -> list[int]:
-    """SimHash of the set of shingles in WIDE * 64 bits, as signed words, and a digest of that set.
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SEGMENTS bytes for the distinct shingle hashes of a text, zero for none.
 
-    The further words come from multiplied hashes.
+    Each segment holds a SimHash of its own, of one voter: the shingle that comes first in the order that the segment
+    draws. Two texts have the same voter with the chance of their Jaccard similarity, and half of the bits in common
+    otherwise.
     """
-    h = np.unique(shingle_hashes(text, words))
-    out = []
-    for i in range(WIDE):
-        x = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i) if i else h
-        out.append(_signed(majority(x ^ (x >> np.uint64(29)) if i else x)))
-    return [*out, _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))]
+    if not len(hashes):
+        return np.zeros(SEGMENTS, np.uint8)
+    least, voter = np.full(SEGMENTS, ~np.uint64(0)), np.zeros(SEGMENTS, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        drawn = (part[None, :] ^ DRAWS[:, None]) * READS[:, None]
+        drawn ^= drawn >> np.uint64(32)
+        drawn *= DRAWS[:, None]
+        first = drawn.argmin(axis=1)
+        value = drawn[np.arange(SEGMENTS), first]
+        better = value < least
+        least[better], voter[better] = value[better], part[first[better]]
+    mixed = (voter + DRAWS) * READS
+    return ((mixed ^ (mixed >> np.uint64(31))) * READS >> np.uint64(56)).astype(np.uint8)
 
 
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, f0, f1, .., digest): wide fingerprints, zero for texts without a word; key hashes the text, digest its set of shingles."""
+    """(doc_id, k0, k1, d0, d1, f0 .., v0 ..) of every text.
+
+    k: 128-bit hash of the text; d: of its set of shingles; f: the wide fingerprint; v: its segments' bit counts in
+    unary, so that Manhattan distance is the number of differing bits.
+    """
 
     def run(batches):
         for batch in batches:
             starts, data = text_bytes(batch.column(1))
-            raw = data.data
-            rows = [wide_fingerprint(bytes(raw[starts[i] : starts[i + 1]]), words) for i in range(len(starts) - 1)]
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(WIDE + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "key", *(f"f{k}" for k in range(WIDE)), "digest"])
+            raw, n = data.data, batch.num_rows
+            digests, codes = np.zeros((n, 2), np.int64), np.zeros((n, SEGMENTS), np.uint8)
+            for i in range(n):
+                h = np.unique(shingle_hashes(bytes(raw[starts[i] : starts[i + 1]]), words))
+                digests[i] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+                codes[i] = wide_fingerprint(h)
+            columns = [digests, codes.view(np.int64), UNARY[codes].view(np.int64)]
+            flat = [pa.array(np.ascontiguousarray(c[:, k])) for c in columns for k in range(c.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *flat], names=["doc_id", "k0", "k1", "d0", "d1", *CODES, *COUNTS])
 
-    schema = "doc_id long, key long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", digest long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(run, schema)
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "k0", "k1", "d0", "d1", *CODES, *COUNTS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *text_key()).mapInArrow(run, schema)
 
 
-def text_key() -> Column:
-    """Hash of the text by which its shingles are found again."""
-    return F.xxhash64(F.col("text").cast("string"))
+def text_key() -> tuple[Column, Column]:
+    """128-bit hash of the text by which its shingles are found again."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1")
 
 
-def shingle_sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """(key, shingles): distinct shingle hashes of the texts whose key is in keys (key, distinct), one row per key.
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): distinct shingle hashes of the text of each of nodes (node, k0, k1).
 
     Up to BROADCAST_KEYS keys travel to the texts; more are joined by a shuffle, with the same rows.
     """
@@ -209,96 +244,136 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
             starts, data = text_bytes(batch.column(1))
             raw = data.data
             sets = [np.unique(shingle_hashes(bytes(raw[starts[i] : starts[i + 1]]), words)).view(np.int64) for i in range(len(starts) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_semi")
-    return wanted.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(run, "key long, shingles array<long>")
+    few = nodes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = docs.select(*text_key(), F.col("text").cast("string").alias("text"))
+    wanted = texts.join(F.broadcast(nodes) if few else nodes.hint("merge"), ["k0", "k1"])
+    return wanted.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
 def verified(open_pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of open_pairs (a, b, ka, kb) whose shingle sets have at least that Jaccard similarity."""
-    left = sets.select(F.col("key").alias("ka"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("key").alias("kb"), F.col("shingles").alias("sb"))
-    both = open_pairs.join(left, "ka").join(right, "kb").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    """The pairs (a, b) of open_pairs whose shingle sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = open_pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.filter(F.col("shared") >= similarity * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits between texts whose shingle sets have that Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
+def cell_plan(rows: int, similarity: float) -> list[list[int]]:
+    """Per grid, the segments whose bit counts make a cell.
 
-def cell_plan(rows: int, share: float) -> list[list[int]]:
-    """Per grid, the two-bit segments whose counts make a cell.
-
-    Segments per grid grow with the logarithm of the rows, so that unlike fingerprints meet about once a grid, and
-    the number of grids is what RECALL needs at that share of differing bits.
+    Segments per grid grow with the logarithm of the rows, so that unlike fingerprints meet STRANGERS times a grid, and
+    the number of grids is what RECALL needs at that similarity.
     """
-    each = min(32, max(6, math.ceil(math.log2(max(rows, 2)) / 1.5)))
-    meet = ((1 - share) ** 2 + share**2 / 2) ** each
+    each = min(SEGMENTS // 2, max(4, math.ceil(math.log(max(rows, 2) / STRANGERS) / -math.log(EQUAL_COUNTS))))
+    meet = (similarity + (1 - similarity) * EQUAL_COUNTS) ** each
     grids = math.ceil(math.log(1 - RECALL) / math.log1p(-meet))
     rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(32 * WIDE, each, replace=False).tolist()) for _ in range(grids)]
+    return [sorted(rng.choice(SEGMENTS, each, replace=False).tolist()) for _ in range(grids)]
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits up to which a pair is verified: the mean at that similarity and SPREAD deviations more."""
+    other = 1 - similarity
+    return math.floor(SEGMENTS * 4 * other + SPREAD * math.sqrt(SEGMENTS * (18 * other - (4 * other) ** 2)))
+
+
+def _near(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """(a, b, bits) of the pairs within most bits: first by the Manhattan distance of bit counts, then exactly."""
+
+    def side(name: str) -> DataFrame:
+        return distinct.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in (*CODES, *COUNTS)])
+
+    def distance(columns: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(distance(COUNTS) <= most)
+    return both.select("a", "b", distance(CODES).alias("bits")).filter(F.col("bits") <= most)
+
+
+def _ordered(left: str, right: str) -> tuple[Column, Column]:
+    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+
+def crowded_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different groups in crowded cells, one per two groups and block comparison.
+
+    members has cell, node and root, the group that known links give. In each cell all but the largest group are
+    compared with all members, exactly and in blocks of BLOCK_ROWS; no task holds more than two blocks.
+    """
+    sizes = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    cells = sizes.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    cells = cells.select("cell", F.col("largest.root").alias("major"), F.col("largest.n").alias("majors"), (F.col("all") - F.col("largest.n")).alias("minors"))
+    blocks = {c: F.expr(f"cast((n{c} + {BLOCK_ROWS - 1}) div {BLOCK_ROWS} as int)") for c in ("minor", "major")}
+    each = members.join(cells.withColumnRenamed("majors", "nmajor").withColumnRenamed("minors", "nminor"), "cell").withColumn("bi", blocks["minor"]).withColumn("bj", blocks["major"])
+    minor = F.col("root") != F.col("major")
+    each = each.withColumn("mine", F.when(minor, F.pmod(F.xxhash64("node"), F.col("bi"))).otherwise(F.col("bi") + F.pmod(F.xxhash64("node"), F.col("bj"))).cast("int"))
+    partners = F.when(minor, F.sequence(F.lit(0), F.col("bi") + F.col("bj") - 1)).otherwise(F.sequence(F.lit(0), F.col("bi") - 1))
+    dealt = each.select("cell", "node", "root", "mine", F.explode(partners).alias("other")).join(sets, "node")
+    dealt = dealt.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        mine, node, root = (table.column(c).to_numpy() for c in ("mine", "node", "root"))
+        left, right = mine == table.column("i")[0].as_py(), mine == table.column("j")[0].as_py()
+        column = table.column("shingles").combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy())
+        _, at, times = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        often = times[at] > 1
+        row, at = row[often], (np.cumsum(times > 1) - 1)[at[often]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        shared = np.zeros((int(left.sum()), int(right.sum())), np.float32)
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK_SHINGLES):
+            cut = slice(*np.searchsorted(at, [low, low + BLOCK_SHINGLES]))
+            holds = np.zeros((len(sizes), BLOCK_SHINGLES), np.float32)
+            holds[row[cut], at[cut] - low] = 1
+            shared += holds[left] @ holds[right].T
+        linked = shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-6
+        a, b = np.nonzero(linked & (root[left][:, None] != root[right][None, :]))
+        pairs = np.column_stack((root[left][a], root[right][b]))
+        first = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)[1] if len(pairs) else np.zeros(0, np.int64)
+        return pa.table({"a": node[left][a[first]], "b": node[right][b[first]]})
+
+    return dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document; component_id is the smallest doc_id of its group.
 
-    Documents link if the sets of their word shingles have that Jaccard similarity. Texts with equal sets are one node;
-    pairs of nodes whose wide fingerprints differ in at most SPREAD deviations more bits than texts of that similarity
-    are expected to are verified on the sets, however near, unless verified links already join the two. In each cell of
-    each grid, members are compared with two of them, the first and the last in an order that every grid draws anew, so
-    a family of any size makes two pairs per member and grid, and links can be missed. Pairs are filtered by the
-    Manhattan distance of their segments' bit counts, a lower bound, and then by exact Hamming
-    distance. Null texts and texts without a word form one group; an empty table gives an empty result.
+    Documents link if the sets of their word shingles have that Jaccard similarity. Texts with equal sets are one
+    node. Nodes enter one cell of bit counts per grid. In cells of up to SMALL_CELL nodes all pairs are candidates, in
+    others first those with one hub. Candidates within most_bits, by Manhattan distance and then exactly, are verified
+    on the sets, unless verified links already join the two; then crowded cells that still hold several groups are
+    compared in full (crowded_links). A pair at exactly that similarity meets in a cell with a chance of RECALL, nearer
+    ones more surely. Null texts and texts without a word form one group; an empty table gives an empty result.
     """
-    names = [f"f{k}" for k in range(WIDE)]
     base = materialize(wide_fingerprints(docs, words), "wide-fingerprints")
-    distinct = base.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), *[F.min(c).alias(c) for c in names])
-    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
-    share = differing_share(similarity)
-    bits, spread = share * 64 * WIDE, SPREAD * math.sqrt(share * (1 - share) * 64 * WIDE)
-    most_bits, sure_bits = math.floor(bits + spread), math.floor(bits - spread)
-    plan = cell_plan(distinct.count(), share)
-    counts = distinct.select("node", F.col("digest").alias("mix"), *[embedding(F.col(c)).alias(f"v{k}") for k, c in enumerate(names)])
+    distinct = base.groupBy("d0", "d1").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("k0", "k1")).alias("key"), *[F.min(c).alias(c) for c in (*CODES, *COUNTS)])
+    distinct = materialize(distinct.select("d0", "d1", "first_id", "key.*", *CODES, *COUNTS, F.monotonically_increasing_id().alias("node")), "wide-distinct")
 
     def cell(grid: int, segments: list[int]) -> Column:
-        masks = [_signed(sum(3 << 2 * (s % 32) for s in segments if s // 32 == k)) for k in range(WIDE)]
+        masks = [_signed(sum(255 << 8 * (s % 8) for s in segments if s // 8 == k)) for k in range(WIDE)]
         return F.xxhash64(F.lit(grid), *[F.col(f"v{k}").bitwiseAND(F.lit(mask)) for k, mask in enumerate(masks) if mask])
 
-    filed = counts.select("node", "mix", F.posexplode(F.array(*[cell(i, s) for i, s in enumerate(plan)])).alias("grid", "cell"))
-    turn = F.struct(F.xxhash64("grid", "mix").alias("turn"), "node")  # by set of shingles, so that reruns agree
-    ends = filed.groupBy("cell").agg(F.count("*").alias("n"), F.min(turn).alias("least"), F.max(turn).alias("most")).filter("n > 1")
-    met = filed.select("node", "cell").join(ends.select("cell", F.array("least.node", "most.node").alias("hubs")), "cell").select("node", F.explode("hubs").alias("hub"))
-    pairs = met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-    def side(name: str) -> DataFrame:
-        return distinct.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in names])
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def distance(of) -> Column:
-        return sum((F.bit_count(of(F.col(f"a{c}")).bitwiseXOR(of(F.col(f"b{c}")))) for c in names), F.lit(0))
-
-    near = both.filter(distance(embedding) <= most_bits).select("a", "b", distance(lambda x: x).alias("bits"))
-    near = materialize(near.filter(F.col("bits") <= most_bits), "wide-near")
-    keyed = distinct.select("node", "key")
-
-    def with_keys(pairs: DataFrame) -> DataFrame:
-        return pairs.join(keyed.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a").join(keyed.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
+    filed = distinct.select("node", F.explode(F.array(*[cell(i, s) for i, s in enumerate(cell_plan(distinct.count(), similarity))])).alias("cell"))
+    shared = filed.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    members = materialize(filed.join(shared, "cell"), "wide-cells")
+    small, crowded = members.filter(F.col("n") <= SMALL_CELL).select("cell", "node"), members.filter(F.col("n") > SMALL_CELL)
+    within = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "cell").filter("a < b").select("a", "b")
+    stars = crowded.filter("node <> hub").select(*_ordered("node", "hub"))
+    near = materialize(_near(within.unionByName(stars).distinct(), distinct, most_bits(similarity)), "wide-near")
 
     both_ways = near.select(F.col("a").alias("node"), F.col("b").alias("other"), "bits").unionByName(near.select(F.col("b").alias("node"), F.col("a").alias("other"), "bits"))
-    keys = both_ways.select("node").distinct().join(keyed, "node").select("key").distinct()
-    sets = materialize(shingle_sets(docs, keys, words), "wide-shingles")
-    # First two pairs of each node, with its busiest likely partner and its nearest; then what these leave apart.
+    wanted = both_ways.select("node").unionByName(crowded.select("node")).distinct()
+    sets = materialize(shingle_sets(docs, distinct.select("node", "k0", "k1").join(wanted, "node"), words), "wide-shingles")
+    # First two pairs of each node, with its busiest partner and its nearest; then what these leave apart.
     degrees = both_ways.groupBy("other").agg(F.count("*").alias("degree"))
-    busiest = F.min(F.struct((F.col("bits") > sure_bits).alias("open"), (-F.col("degree")).alias("turn"), "other"))
-    best = both_ways.join(degrees, "other").groupBy("node").agg(busiest.alias("busiest"), F.min(F.struct("bits", "other")).alias("nearest"))
+    best = both_ways.join(degrees, "other").groupBy("node").agg(F.min(F.struct(-F.col("degree"), "other")).alias("busiest"), F.min(F.struct("bits", "other")).alias("nearest"))
     some = best.select("node", F.explode(F.array("busiest.other", "nearest.other")).alias("other"))
-    some = some.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = materialize(verified(with_keys(some), sets, similarity), "wide-links")
+    some = some.select(*_ordered("node", "other")).distinct()
+    links = materialize(verified(some, sets, similarity), "wide-links")
     grouped = materialize(connected_components(links), "wide-groups")
 
     def group_of(name: str) -> DataFrame:
@@ -306,11 +381,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     apart = near.join(some, ["a", "b"], "left_anti").join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
     apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    roots = connected_components(links.unionByName(verified(with_keys(apart), sets, similarity)))
-    rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
+    in_groups = crowded.select("cell", "node").join(group_of("node"), "node", "left").select("cell", "node", F.coalesce("root_node", "node").alias("root"))
+    more = verified(apart, sets, similarity).unionByName(crowded_links(in_groups, sets, similarity))
+    roots = connected_components(links.unionByName(more))
+    rooted = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("d0", "d1", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_digest = rooted.join(least, "root").select("digest", "component_id")
-    return base.join(by_digest, "digest").select("doc_id", "component_id")
+    by_digest = rooted.join(least, "root").select("d0", "d1", "component_id")
+    return base.select("doc_id", "d0", "d1").join(by_digest, ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -318,6 +395,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Rows without a doc_id stay.
     """
-    leaders = similar_groups(docs, words, similarity).select(F.col("component_id").alias("__leader")).filter("__leader is not null").distinct()
-    kept = docs.filter("doc_id is not null").join(leaders, F.col("doc_id") == F.col("__leader"), "left_semi")
+    leader = free_name(docs, "leader")
+    leaders = similar_groups(docs, words, similarity).select(F.col("component_id").alias(leader)).filter(F.col(leader).isNotNull()).distinct()
+    kept = docs.filter("doc_id is not null").join(leaders, F.col("doc_id") == F.col(leader), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

@@ -3,7 +3,7 @@
 Tokens are labelled from document labels: Spark counts, over all labelled training rows, how many toxic and
 non-toxic documents hold each word and word beginning; a token of a toxic document is labelled toxic if one of its
 forms is far commoner in toxic documents. A two-state chain is fitted to these labels on a bounded, class-balanced
-sample (SAMPLE_ROWS rows per class, texts up to SAMPLE_CHARS). Every whole text is then tagged by exact
+sample (SAMPLE_ROWS rows per class, whole texts of any length). Every whole text is then tagged by exact
 forward-backward marginals, run over all texts of a batch at once; their sums and maxima give the document score
 by logistic regression, and tokens with a marginal of at least one half are the offending spans.
 """
@@ -23,15 +23,15 @@ from tidemark.llm.common import chunks, text_bytes
 from tidemark.storage import materialize
 
 SAMPLE_ROWS = 1200
-SAMPLE_CHARS = 20_000
 #: A form marks tokens if it is in at least this many toxic documents, and this many times commoner in them.
 LEAST_DOCS, LEAST_LIFT = 4, 12.0
 DIMENSIONS = 1 << 18
-#: Labels of 16 bytes that are broadcast at most.
+#: Labels of 16 bytes, and forms, that are broadcast at most.
 BROADCAST_LABELS = 1_000_000
 PREFIXES = (4, 5)
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-"
 SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 CHUNK = 8 << 20
 CACHE_WORDS = 500_000
 
@@ -105,37 +105,48 @@ def document_figures(marginals: np.ndarray, first: np.ndarray, lengths: np.ndarr
     return np.column_stack((np.log1p(expected), highest, expected / np.maximum(lengths, 1), np.ones(len(first))))
 
 
-def toxic_forms(labelled: DataFrame) -> set[str]:
-    """Forms that mark toxic tokens, from all rows of labelled (text, toxic).
+def words_of(text: str) -> list[str]:
+    """The tokens of fitting and scoring alike: runs of anything but six ASCII blanks."""
+    return [w for w in BLANKS.split(text) if w]
 
-    Distinct forms per document are counted by Spark; only forms that pass both thresholds reach the driver, each
-    in at least LEAST_DOCS and 0.4 % of the toxic documents, so there are at most 250 times the forms of a document.
+
+def toxic_forms(labelled: DataFrame) -> DataFrame:
+    """(form) of the forms that mark toxic tokens, from all rows of labelled (text, toxic).
+
+    Forms are counted once per document; those in at least LEAST_DOCS toxic documents and LEAST_LIFT times commoner
+    there stay. The forms of a table without toxic rows are none.
     """
-    rows = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = rows.get(1, 0), rows.get(0, 0)
-    if not bad:
-        return set()
 
     def cut(batches):
         for batch in batches:
             out: list[str] = []
             label: list[int] = []
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = {f for w in set((text or "").split()) for f in forms(w)}
+                found = {f for w in set(words_of(text or "")) for f in forms(w)}
                 out += found
                 label += [toxic] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())], names=["form", "toxic"])
 
-    least = max(LEAST_DOCS, 0.004 * bad)
-
     def found(value: int) -> DataFrame:
         return labelled.filter(F.col("toxic") == value).select("text", F.col("toxic").cast("int")).mapInArrow(cut, "form string, toxic int")
 
-    of_toxic = found(1).groupBy("form").agg(F.count("*").alias("b")).filter(F.col("b") >= least)
-    of_clean = found(0).join(F.broadcast(of_toxic.select("form")) if bad < 1_000_000 else of_toxic.select("form"), "form", "left_semi").groupBy("form").agg(F.count("*").alias("g"))
-    lift = (F.col("b") / bad) / ((F.coalesce("g", F.lit(0)) + 0.5) / (good + 1))
-    kept = of_toxic.join(of_clean, "form", "left").filter(lift >= LEAST_LIFT)
-    return {r["form"] for r in kept.select("form").collect()}
+    rows = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = rows.get(1, 0), rows.get(0, 0)
+    of_toxic = materialize(found(1).groupBy("form").agg(F.count("*").alias("b")).filter(F.col("b") >= LEAST_DOCS), "toxic-forms")
+    few = of_toxic.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    wanted = of_toxic.select("form")
+    of_clean = found(0).join(F.broadcast(wanted) if few else wanted.hint("merge"), "form", "left_semi").groupBy("form").agg(F.count("*").alias("g"))
+    lift = (F.col("b") / max(bad, 1)) / ((F.coalesce("g", F.lit(0)) + 0.5) / (good + 1))
+    return materialize(of_toxic.join(of_clean, "form", "left").filter(lift >= LEAST_LIFT).select("form"), "toxic-marks")
+
+
+def marks_among(marks: DataFrame, texts: list[str]) -> set[str]:
+    """The marking forms that the bounded sample of texts holds."""
+    held = sorted({f for t in texts for w in set(words_of(t)) for f in forms(w)})
+    if not held:
+        return set()
+    wanted = marks.sparkSession.createDataFrame(pa.table({"form": pa.array(held, pa.string())}))
+    return set(marks.join(F.broadcast(wanted), "form", "left_semi").toArrow()["form"].to_pylist())
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,20 +160,23 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, epochs: int = 4, rate: float = 0.3) -> Crf:
-    """Fit the chain and the document regression on labelled rows (text, toxic 0/1); other labels are ignored."""
+    """Fit the chain and the document regression on labelled rows (text, toxic 0/1); other labels are ignored.
+
+    Null texts are ignored. Without any row a fixed model gives every text a low score; with one class alone the
+    regression tends to that class.
+    """
     usable = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
     labelled = materialize(usable.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-labelled")
-    marks = toxic_forms(labelled)
-    short = labelled.filter(F.length("text") <= SAMPLE_CHARS)
     texts, labels = [], []
     for value in (1, 0):
-        for row in short.filter(F.col("toxic") == value).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect():
+        for row in labelled.filter(F.col("toxic") == value).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect():
             texts.append(row["text"])
             labels.append(value)
     share = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     crf = Crf(np.zeros(DIMENSIONS), -3.0, -2.0, 0.0, 0.0, np.array([0.0, 0.0, 0.0, -3.0]))
     if not texts:
         return crf
+    marks = marks_among(toxic_forms(labelled), [t for t, y in zip(texts, labels, strict=True) if y])
     cache: dict[str, tuple[tuple[int, ...], bool]] = {}
 
     def known(word: str) -> tuple[tuple[int, ...], bool]:
@@ -170,7 +184,7 @@ def train(labelled: DataFrame, epochs: int = 4, rate: float = 0.3) -> Crf:
             cache[word] = feature_ids(word), any(f in marks for f in forms(word))
         return cache[word]
 
-    words = [[known(w) for w in t.split()] for t in texts]
+    words = [[known(w) for w in words_of(t)] for t in texts]
     squares = np.full(DIMENSIONS, 1e-6)
     step = np.full(4, 1e-6)
     rng = np.random.default_rng(11)
@@ -249,7 +263,7 @@ def score(docs: DataFrame, crf: Crf, *keep) -> DataFrame:
                     cache.clear()
                 flat = [w for t in tokens for w in t]
                 for w in set(flat).difference(cache):
-                    cache[w] = m.emission(w.decode())
+                    cache[w] = m.emission(w.decode(errors="replace"))
                 e = np.fromiter(map(cache.__getitem__, flat), np.float64, len(flat))
                 lengths = np.fromiter(map(len, tokens), np.int64, hi - lo)
                 first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -261,7 +275,7 @@ def score(docs: DataFrame, crf: Crf, *keep) -> DataFrame:
                     found = [x.span() for x in SPAN.finditer(texts[i])]
                     at = np.flatnonzero(p[first[i] : first[i] + lengths[i]] >= 0.5)
                     text = texts[i]
-                    position = [(len(text[: found[k][0]].decode()), len(text[found[k][0] : found[k][1]].decode())) for k in at]
+                    position = [(len(text[: found[k][0]].decode(errors="replace")), len(text[found[k][0] : found[k][1]].decode(errors="replace"))) for k in at]
                     spans[lo + i] = ",".join(f"{s}:{s + n}" for s, n in position)
             columns = [*batch.columns[1:], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "score", "predicted", "spans"])
