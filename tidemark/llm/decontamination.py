@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name
+from tidemark.llm.common import beside, free_name
 from tidemark.storage import materialize
 
 TOKEN = re.compile(r"\w+")
@@ -24,6 +24,8 @@ MIN_TILE = 5
 THRESHOLD = 0.5
 #: Benchmarks with more seeds or characters meet the texts by a shuffle join instead of a broadcast.
 BROADCAST_SEEDS, BROADCAST_CHARS = 2_000_000, 64_000_000
+#: Text hashes of 16 bytes that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -259,4 +261,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     key = F.struct(F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1"))
     leak = free_name(docs, "leak")
     leaks = covered_items(docs.select(key.alias("kept"), text.alias("text")), items, threshold).select(F.col("kept").alias(leak)).distinct()
-    return docs.join(leaks, key == F.col(leak), "left_anti")
+    return docs.join(beside(materialize(leaks, "leaks"), BROADCAST_KEYS), key == F.col(leak), "left_anti")

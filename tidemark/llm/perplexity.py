@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import code_points, inside, segment_sums
-from tidemark.llm.common import free_name, row_keys, text_bytes
+from tidemark.llm.common import beside, free_name, row_keys, text_bytes
 from tidemark.storage import materialize
 
 ORDER = 4
@@ -36,6 +36,8 @@ BLOCK_SYMBOLS = 1 << 23
 HELD = 1 << 21
 #: Half width of the perplexity bands, in median absolute deviations (README has what it rejects by quality label).
 BAND = 4.0
+#: Row hashes of 16 bytes that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 #: Languages whose bands are broadcast at most.
 BROADCAST_BANDS = 10_000
 #: Rounding of a document's mean loss; a band is wider than this on either side.
@@ -272,5 +274,6 @@ def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept; equal rows share one verdict."""
     verdicts = judge(docs.select("doc_id", "text", "lang", *row_keys()), "k0", "k1", "lang")
     bad = verdicts.filter(~F.col("kept")).select(*[F.col(c).alias(free_name(docs, f"bad_{c}")) for c in ("k0", "k1", "lang")]).distinct()
+    bad = beside(materialize(bad, "rejected"), BROADCAST_KEYS)
     one, two = row_keys()
     return docs.join(bad, (one == bad[0]) & (two == bad[1]) & docs["lang"].eqNullSafe(bad[2]), "left_anti")

@@ -1,11 +1,12 @@
 """Personal data by fixed patterns, extended by bootstrapped contextual extraction.
 
-The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. They seed a bootstrap
-(Riloff and Jones, 1999): the words before a seed form a lexical pattern; patterns and the identifier-like tokens
-they introduce form a bipartite graph that Spark scores in rounds. A pattern's confidence for a kind is the mean
-score of the distinct instances it introduces, an instance's score the noisy-or of its patterns. Tokens introduced
-by patterns of high confidence are added as spans of that kind. Only DataFrame expressions are used; each text is
-read by one pass, and what travels afterwards are matches and their contexts.
+The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. They and tokens that look like
+keys (SECRET) seed a bootstrap (Riloff and Jones, 1999): the two words before a seed, or after it, form a lexical
+pattern; patterns and the identifier-like tokens they go with form a bipartite graph that Spark scores in rounds. A
+pattern's confidence for a kind is the mean score of the distinct instances it goes with, an instance's score the
+noisy-or of its patterns. Tokens that go with patterns of high confidence are added as spans of that kind; a token that
+looks like a key but has no such context is not. Only DataFrame expressions are used; each text is read by one pass,
+and what travels afterwards are matches and their contexts.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key
+from tidemark.llm.common import beside, row_keys
 from tidemark.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kind of the further seeds, and their form: hexadecimal digits as of a digest or key.
+LEARNT_KIND, SECRET = "secret", r"^(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 #: The stated patterns, with possessive repetition where nothing can follow (same matches, linear time, no recursion).
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -26,13 +29,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Blank-separated tokens with a digit, neighbours taken together.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)(?:\x20[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)*+"
+#: Blank-separated tokens with a digit, neighbours taken together, and quoted tokens that = or : introduces.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)(?:\x20[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)*+|(?<=[=:]|[=:]\x20)[\"'][^\x20\x09-\x0D]++"
 ROUNDS = 3
 CONFIDENCE = 0.8
 #: Distinct seed instances that a pattern needs before it may introduce new ones.
 SUPPORT = 5
-CONTEXT_CHARS = 64
+#: Blanks that a context reaches over.
+CONTEXT_BLANKS = 6
+#: Patterns that are broadcast at most.
+BROADCAST_PATTERNS = 200_000
 
 
 def _accepted(kind: Column, match: Column) -> Column:
@@ -57,33 +63,40 @@ class _Scan:
 def _scans(text: Column) -> list[_Scan]:
     digit = text.rlike("[0-9]")
     needs = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": F.contains(text, F.lit("+"))}
-    return [*(_Scan(k, PATTERNS[k], needs[k]) for k in KINDS), _Scan("", CANDIDATE, digit)]
+    return [*(_Scan(k, PATTERNS[k], needs[k]) for k in KINDS), _Scan("", CANDIDATE, digit | text.rlike("[=:]"))]
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(key, kind, start, end, value, context) of all matches, kind '' for candidates; positions in code points.
+    """(key, kind, start, end, value, before, after) of all matches, kind '' for candidates; positions in code points.
 
     A text's pieces between matches have known lengths, so running sums over a text's matches give positions.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def found(scan: _Scan) -> Column:
-        pieces = F.transform(F.split(text, scan.pattern, -1), lambda p: F.struct(F.length(p).alias("length"), F.right(p, F.lit(CONTEXT_CHARS)).alias("tail")))
+        def piece(p: Column) -> Column:
+            spaced = F.translate(p, "\t\n\x0b\f\r", "     ")
+            return F.struct(F.length(p).alias("length"), F.substring_index(spaced, " ", -CONTEXT_BLANKS).alias("tail"), F.substring_index(spaced, " ", CONTEXT_BLANKS).alias("head"))
+
+        def ends(pieces: Column) -> Column:  # of neighbouring pieces
+            rest = F.greatest(F.size(pieces) - 1, F.lit(0))
+            return F.zip_with(F.slice(pieces, 1, rest), F.slice(pieces, 2, rest), lambda p, q: F.struct(p["length"].alias("gap"), p["tail"].alias("tail"), q["head"].alias("head")))
+
+        around = F.transform(F.array(F.transform(F.split(text, scan.pattern, -1), piece)), ends)[0]
         values = F.regexp_extract_all(text, F.lit(scan.pattern), F.lit(0))
-        paired = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), values, lambda p, v: F.struct(F.lit(scan.kind).alias("kind"), p["length"].alias("gap"), p["tail"].alias("tail"), v.alias("value")))
-        return F.when(scan.needs, paired)
+        return F.when(scan.needs, F.zip_with(around, values, lambda p, v: F.struct(F.lit(scan.kind).alias("kind"), p["gap"].alias("gap"), p["tail"].alias("tail"), p["head"].alias("head"), v.alias("value"))))
 
-    arrays = docs.select(row_key().alias("key"), F.flatten(F.array_compact(F.array(*[found(s) for s in _scans(text)]))).alias("found")).filter(F.size("found") > 0)
+    arrays = docs.select(F.struct(*row_keys()).alias("key"), F.flatten(F.array_compact(F.array(*[found(s) for s in _scans(text)]))).alias("found")).filter(F.size("found") > 0)
     rows = materialize(arrays.dropDuplicates(["key"]).select("key", F.posexplode("found")).select("key", "pos", "col.*"), "pii-matches")
     so_far = Window.partitionBy("key", "kind").orderBy("pos")
     end = F.sum(F.col("gap") + F.length("value")).over(so_far)
-    return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("value")).select("key", "kind", "start", "end", "value", _context("tail").alias("context"))
+    return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("value")).select("key", "kind", "start", "end", "value", _context("tail", -2).alias("before"), _context("head", 1).alias("after"))
 
 
-def _context(tail: str) -> Column:
-    """The two words before a match, lower-cased, without digits and most punctuation."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(tail), r"[^\p{L}=:@#\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+def _context(side: str, first: int) -> Column:
+    """Two words beside a match, lower-cased, without digits and most punctuation; null where there are fewer."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(side), r"[^\p{L}=:@#\x20]+", ""), " "), lambda w: w != "")
+    return F.when(F.size(words) >= 2, F.concat(F.lit("< " if first < 0 else "> "), F.array_join(F.slice(words, first, 2), " ")))
 
 
 def _inner(rows: DataFrame) -> DataFrame:
@@ -95,51 +108,62 @@ def _inner(rows: DataFrame) -> DataFrame:
     return cut.select(
         "key", "kind", (F.col("start") + F.col("__lead")).alias("start"), (F.col("end") - F.col("__tail")).alias("end"),
         F.expr("substring(value, __lead + 1, length(value) - __lead - __tail)").alias("value"),
-        F.when(F.col("__name") != "", F.col("__name")).otherwise(F.col("context")).alias("context"),
+        F.when(F.col("__name") != "", F.col("__name")).otherwise(F.col("before")).alias("before"), "after",
     )
 
 
+def _with_contexts(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep columns and context: a row for each side that has one."""
+    return rows.select(*keep, F.explode(F.array_compact(F.array("before", "after"))).alias("context"))
+
+
 def learned_patterns(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(context, kind, confidence) of the patterns that introduce kind with at least CONFIDENCE."""
-    edges = (
-        seeds.select("context", "value", "kind").unionByName(candidates.select("context", "value", F.lit(None).cast("string").alias("kind")))
-        .filter("context is not null").groupBy("context", "value").agg(F.max("kind").alias("kind"))
-    )
-    edges = materialize(edges, "pii-edges")
-    degree = edges.groupBy("context").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).filter(F.col("seeds") >= SUPPORT)
-    edges = materialize(edges.join(degree, "context").drop("seeds"), "pii-graph")
-    score = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    """(context, kind, confidence) of the patterns that go with kind with at least CONFIDENCE, as a written table."""
+    secret = F.when(F.regexp_like("value", F.lit(SECRET)), LEARNT_KIND).alias("kind")
+    edges = _with_contexts(seeds, "value", "kind").unionByName(_with_contexts(candidates, "value").select("context", "value", secret))
+    edges = materialize(edges.groupBy("context", "value").agg(F.max("kind").alias("kind")), "pii-edges")
+    degree = materialize(edges.groupBy("context").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).filter(F.col("seeds") >= SUPPORT), "pii-degrees")
+    edges = materialize(edges.join(beside(degree, BROADCAST_PATTERNS), "context").drop("seeds"), "pii-graph")
+    given = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    score = given
     for _ in range(ROUNDS):
         patterns = edges.select("context", "value", "n").join(score, "value").groupBy("context", "kind").agg((F.sum("score") / F.max("n")).alias("confidence"))
         patterns = materialize(patterns.filter("confidence > 0.05"), "pii-patterns")
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        spread = edges.filter(F.col("kind").isNull()).select("context", "value").join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        given = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+        spread = edges.filter(F.col("kind").isNull()).select("context", "value").join(beside(patterns, BROADCAST_PATTERNS), "context").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
         score = given.unionByName(spread.join(given.select("value").distinct(), "value", "left_anti"))
-    return patterns.filter(F.col("confidence") >= CONFIDENCE)
+    return materialize(patterns.filter(F.col("confidence") >= CONFIDENCE), "pii-learned")
+
+
+def _free(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The candidates that no base span overlaps, found in one ordered pass over a text's spans."""
+    both = candidates.withColumn("base", F.lit(False)).unionByName(seeds.withColumn("base", F.lit(True)))
+    by_start = Window.partitionBy("key").orderBy("start")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    marked = both.withColumn("reach", reach).withColumn("ahead", ahead).filter(~F.col("base"))
+    clear = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))
+    return marked.filter(clear).drop("reach", "ahead", "base")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned), one row per document.
 
     Counts and base_sha256 (of kind:start:end, by start and then kind as listed, comma-joined, lowercase hex)
-    concern the base patterns; spans lists base and learned spans in the same form. Null texts are empty. Repeated
-    rows give equal result rows. Learned spans never overlap a base span.
+    concern the base patterns; spans lists base and learned spans in the same form, kind secret last. Null texts are
+    empty. Repeated rows give equal result rows. Learned spans never overlap a base span.
     """
     all_matches = matches(docs)
     seeds = materialize(all_matches.filter(F.col("kind") != "").filter(_accepted(F.col("kind"), F.col("value"))), "pii-base")
-    taken = seeds.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    free = _inner(all_matches.filter(F.col("kind") == "")).join(taken, "key", "left")
-    free = free.filter(~F.coalesce(F.exists("taken", lambda t: (t["start"] < F.col("end")) & (F.col("start") < t["end"])), F.lit(False))).drop("taken")
-    free = materialize(free, "pii-candidates")
-    patterns = learned_patterns(seeds, free)
-    best = patterns.groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    learned = free.drop("kind").join(best, "context").select("key", "kind", "start", "end", F.lit(True).alias("learned"))
+    free = materialize(_free(_inner(all_matches.filter(F.col("kind") == "")), seeds), "pii-candidates")
+    best = materialize(learned_patterns(seeds, free).groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("best")), "pii-best")
+    found = _with_contexts(free, "key", "start", "end").join(beside(best, BROADCAST_PATTERNS), "context")
+    learned = found.groupBy("key", "start", "end").agg(F.max("best")["kind"].alias("kind")).withColumn("learned", F.lit(True))
     spans = seeds.select("key", "kind", "start", "end", F.lit(False).alias("learned")).unionByName(learned)
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, (*KINDS, LEARNT_KIND))), F.col("kind"))
     item = F.struct("start", order.alias("rank"), "end", F.concat_ws(":", "kind", "start", "end").alias("span"), "learned")
     grouped = spans.groupBy("key").agg(F.array_sort(F.collect_set(item)).alias("items"))
-    rows = docs.select("doc_id", row_key().alias("key")).join(grouped, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,span:string,learned:boolean>>")))
+    rows = docs.select("doc_id", F.struct(*row_keys()).alias("key")).join(grouped, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,span:string,learned:boolean>>")))
     base = F.filter("items", lambda x: ~x["learned"])
 
     def count(rank: int) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, text_bytes
+from tidemark.llm.common import beside, free_name, text_bytes
 from tidemark.llm.components import connected_components
 from tidemark.storage import materialize
 
@@ -397,5 +397,6 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     leader = free_name(docs, "leader")
     leaders = similar_groups(docs, words, similarity).select(F.col("component_id").alias(leader)).filter(F.col(leader).isNotNull()).distinct()
+    leaders = beside(materialize(leaders, "leaders"), BROADCAST_KEYS)
     kept = docs.filter("doc_id is not null").join(leaders, F.col("doc_id") == F.col(leader), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
