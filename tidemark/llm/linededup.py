@@ -9,10 +9,12 @@ removed are reported in the original text.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import struct
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def units(text: str, unit: str, min_words: int = 1):
     for m in UNITS[unit].finditer(text):
         words = m.group(1).lower().split() if m.group(1) else ()
         if len(words) >= max(min_words, 1):
-            yield m.start(1), m.end(1), m.end(), len(words), hashlib.blake2b(" ".join(words).encode(errors="surrogatepass"), digest_size=16).digest()
+            yield m.start(1), m.end(1), m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode(errors="surrogatepass"))
 
 
 def runs(extra: list[tuple[int, int, int, int, int]], run_words: int) -> list[tuple[int, int, int]]:
@@ -62,18 +64,50 @@ def cut(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _with_firsts(found: DataFrame, total: int) -> DataFrame:
-    """found with the earliest occurrence of its digest, for digests that occur again.
+def repeated_units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """(k0, k1, again): for each row of docs (k0, k1, doc, text) with any, the digests of its units that occur again.
 
-    Digests of more than HOT_SHARE of all units are at most 1 / HOT_SHARE many, and travel to their units.
+    again: array of (d0, d1, own), own if the row holds the earliest occurrence. What is shuffled are digests and
+    numbers of rows. Where ids are not unique, equal ids are ranked by the hash of the row.
     """
-    rank = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k0", "k1", "start")
-    repeated = materialize(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1"), "repeated-units")
-    hot = F.col("n") > max(HOT_UNITS, total * HOT_SHARE)
-    marked = found.join(F.broadcast(repeated.filter(hot).select("digest", F.col("first").alias("hot_first"))), "digest", "left")
+
+    def cut_up(batches):
+        for batch in batches:
+            digests = [b"".join(u[4] for u in units(t, unit, min_words)) if t else b"" for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.binary())], names=["id", "k0", "k1", "doc", "digests"])
+
+    def spread(batches):
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            counts = np.fromiter((len(b) // 16 for b in blobs), np.int64, len(blobs))
+            row = np.repeat(np.arange(len(blobs)), counts)
+            each = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
+            order = np.lexsort((each[:, 1], each[:, 0], row))
+            row, each = row[order], each[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (each[1:] != each[:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(row)))
+            taken = pa.array(row[first])
+            columns = [pa.array(np.ascontiguousarray(each[first, k])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(times), *(c.take(taken) for c in batch.columns[1:])], names=["d0", "d1", "times", "id", "rank"])
+
+    source = docs.select(F.monotonically_increasing_id().alias("id"), "k0", "k1", "doc", "text")
+    cut_texts = materialize(source.mapInArrow(cut_up, "id long, k0 long, k1 long, doc long, digests binary"), "units")
+    figures = cut_texts.agg(F.sum(F.octet_length("digests")) / 16).first()
+    clashes = cut_texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1 or doc is null").limit(1).count()
+    rank = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k0", "k1") if clashes else F.col("doc")
+    numbered = cut_texts.select("digests", "id", rank.alias("rank"))
+    each = numbered.mapInArrow(spread, f"d0 long, d1 long, times long, id long, rank {numbered.schema['rank'].dataType.simpleString()}")
+    repeated = each.groupBy("d0", "d1").agg(F.sum("times").alias("n"), F.min("rank").alias("first")).filter("n > 1")
+    repeated = materialize(repeated, "repeated-units")
+    # Digests of more than HOT_SHARE of all units are at most 1 / HOT_SHARE many, and travel to their units.
+    hot = F.col("n") > max(HOT_UNITS, (figures[0] or 0) * HOT_SHARE)
+    marked = each.join(F.broadcast(repeated.filter(hot).select("d0", "d1", F.col("first").alias("hot_first"))), ["d0", "d1"], "left")
     common = marked.filter("hot_first is not null").withColumnRenamed("hot_first", "first")
-    rare = marked.filter("hot_first is null").drop("hot_first").join(repeated.filter(~hot).select("digest", "first").hint("merge"), "digest")
-    return common.unionByName(rare)
+    rare = marked.filter("hot_first is null").drop("hot_first").join(repeated.filter(~hot).select("d0", "d1", "first").hint("merge"), ["d0", "d1"])
+    found = common.unionByName(rare).select("id", F.struct("d0", "d1", (F.col("rank") == F.col("first")).alias("own")).alias("again"))
+    return found.groupBy("id").agg(F.collect_list("again").alias("again")).join(cut_texts.select("id", "k0", "k1"), "id").drop("id")
 
 
 def dedup(docs: DataFrame, unit: str = "clause", run_words: int = RUN_WORDS, min_words: int = 1) -> DataFrame:
@@ -83,31 +117,30 @@ def dedup(docs: DataFrame, unit: str = "clause", run_words: int = RUN_WORDS, min
     and stay null; units under min_words words are kept and count as absent. A column named removed is replaced.
     """
     docs = docs.drop("removed")
-
-    def find(batches):
-        for batch in batches:
-            rows = [(a, b, d, at, *u) for a, b, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for at, u in enumerate(units(t, unit, min_words))]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 8 else pa.int64()) for k, c in enumerate(columns)], names=["k0", "k1", "doc", "at", "start", "end", "next", "words", "digest"])
-
-    keyed = docs.select(*row_keys(), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    found = materialize(keyed.mapInArrow(find, "k0 long, k1 long, doc long, at long, start long, end long, next long, words long, digest binary"), "units")
-    first = F.struct("k0", "k1", "start") == F.struct("first.k0", "first.k1", "first.start")
-    extra = _with_firsts(found, found.count()).filter(~first)
-    extra = extra.groupBy("k0", "k1").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "next", "words"))).alias("extra"), F.sum("words").alias("n"))
-    extra = extra.filter(F.col("n") >= run_words)
+    keyed = docs.select(*row_keys(), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    again = repeated_units(keyed, unit, min_words).dropDuplicates(["k0", "k1"])
 
     fields = [f for f in docs.schema.fields if f.name != "text"]
     rows = docs.select(F.struct(*docs.columns).alias("document"), F.col("text").cast("string").alias("text"), *row_keys())
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("k0", "k1").orderBy("k0")))
-    joined = rows.join(extra, ["k0", "k1"], "left").select("text", "extra", "copy", *[F.col("document")[f.name].alias(f.name) for f in fields])
+    joined = rows.join(again, ["k0", "k1"], "left").select("text", "again", "copy", *[F.col("document")[f.name].alias(f.name) for f in fields])
+
+    def extra(text: str, again_: list[dict], copy: int) -> list[tuple[int, int, int, int, int]]:
+        """(at, start, end, next, words) of the units that are not the earliest of their digest."""
+        open_ = {struct.pack("<qq", x["d0"], x["d1"]): x["own"] and copy == 1 for x in again_}
+        out = []
+        for at, (*span, digest) in enumerate(units(text, unit, min_words)):
+            if open_.get(digest):
+                open_[digest] = False
+            elif digest in open_:
+                out.append((at, *span))
+        return out
 
     def apply(batches):
         for batch in batches:
             texts, removed = [], []
-            for text, extra_, copy in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                again = [tuple(x.values()) for x in extra_ or ()] if copy == 1 or not text else [(at, *u[:4]) for at, u in enumerate(units(text, unit, min_words))]
-                gone = runs(again, run_words)
+            for text, again_, copy in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                gone = runs(extra(text, again_, copy), run_words) if again_ and text else []
                 texts.append(cut(text, gone) if gone else text)
                 removed.append([{"start": a, "end": b} for a, b, _ in gone])
             columns = [pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *batch.columns[3:]]
