@@ -26,7 +26,7 @@ def test_ingest_drops_bots_and_replays(spark, tmp_path):
     rows = [(1, at(0), "https://s.example/p/?utm_source=google", "", "Firefox"), (1, at(0), "https://s.example/p/?utm_source=google", "", "Firefox"), (2, at(1), "https://s.example/", "https://t.co/x", "Googlebot"), (3, at(2), "https://s.example/", "https://t.co/x", "Safari")]
     df = stream(spark, rows, "event_id long, ts timestamp, url string, referrer string, agent string", str(tmp_path / "in"))
     found = finish(jobs.ingested(df), "ingested").select("event_id", "pathname", "channel").collect()
-    assert sorted(tuple(r) for r in found) == [(1, "/p", "search"), (3, "/", "social")]
+    assert sorted(tuple(r) for r in found) == [(1, "/p", "Organic Search"), (3, "/", "Social")]
 
 
 def test_rollups_of_closed_and_open_hours(spark, tmp_path):

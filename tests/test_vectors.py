@@ -132,13 +132,13 @@ def test_statistics():
 def test_web_functions(spark):
     df = spark.createDataFrame([("https://WWW.Shop.example/a/?utm_source=x&b=1", "https://notgoogle.example/", "Mozilla/5.0 (iPhone; CPU iPhone OS 17) Version/17 Mobile Safari/604.1")], "u string, r string, a string")
     row = df.select(web.host(F.col("u")), web.path(F.col("u")), web.utm(F.col("u"), "source"), web.utm(F.col("u"), "source", F.lit("y")), web.channel(F.lit(""), F.lit(""), F.col("r")), web.browser(F.col("a")), web.operating_system(F.col("a")), web.device(F.col("a")), web.is_bot(F.lit("")), web.csv_safe(F.lit("=1"))).first()
-    assert tuple(row) == ("shop.example", "/a", "x", "y", "referral", "Safari", "iOS", "mobile", True, "'=1")
+    assert tuple(row) == ("shop.example", "/a", "x", "y", "Referral", ("Safari", "17"), "iOS", "mobile", True, "'=1")
 
 
 def test_error_grouping(spark):
     df = spark.createDataFrame([("E", "user 1234567 at 10.0.0.1"), ("E", "user 7654321 at 10.9.0.1")], "t string, m string")
     assert df.select(errors.group_hash(F.col("t"), F.col("m"))).distinct().count() == 1
-    assert df.select(errors.parameterized(F.col("m"))).first()[0] == "user <num> at <ip>"
+    assert df.select(errors.parameterized(F.col("m"))).first()[0] == "user {num} at {ip}"
 
 
 def test_latest_and_members(spark):
@@ -181,6 +181,65 @@ def test_exports_and_queries(spark, tmp_path):
     assert exports.ask(spark, "SELECT b FROM t", {"t": str(tmp_path / "t")}).first()["b"] == 1
     with pytest.raises(Exception, match="(?i)parse|syntax"):
         exports.ask(spark, "DROP VIEW t", {"t": str(tmp_path / "t")})
+    own = {"t": str(tmp_path / "t")}
+    assert exports.ask(spark, "WITH x AS (SELECT b, count(*) AS n FROM t GROUP BY b) SELECT sum(n) AS s FROM x WHERE b IN (SELECT b FROM t)", own).first()["s"] == 1
+    for text in (
+        f"SELECT * FROM parquet.`{tmp_path}/t`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM t", "SELECT `java_method`('java.lang.System', 'exit') FROM t", "SELECT input_file_name() FROM t",
+        f"SELECT (SELECT max(b) FROM csv.`{tmp_path}/csv`) AS x FROM t", "SELECT * FROM other", "SELECT * FROM t WHERE b IN (SELECT reflect('a', 'b') FROM t)", "SELECT * FROM range(5)", "SELECT * FROM IDENTIFIER('other')",
+    ):
+        with pytest.raises(Exception, match="(?i)scope|parse"):
+            exports.ask(spark, text, own).collect()
+
+
+def test_log_samples_by_message(spark):
+    df = spark.createDataFrame([("a",), ("foobar",), ("",)], "message string")
+    assert [r[0] for r in df.select(logs.fnv1a(F.col("message"))).collect()] == [0xE40C292C, 0xBF9CF968, 0x811C9DC5]
+    kept = logs.pipeline(df.withColumn("attributes", F.create_map().cast("map<string,string>")), [{"type": "sample", "pattern": "^foo", "percent": 0}])
+    assert {r["message"] for r in kept.collect()} == {"a", ""}
+
+
+def test_experiment_results():
+    assert experiments.fisher_exact(3, 1, 1, 3) == pytest.approx(0.4857142857)
+    assert experiments.sample_size(0.1, 0.02) == 3841
+    assert experiments.sample_ratio([500, 500], [1, 1]) == (0.0, 1.0) and experiments.sample_ratio([600, 400], [1, 1])[1] < 1e-6
+    assert experiments.t_two_sided(2.2281388519649385, 10) == pytest.approx(0.05)
+    assert experiments.t_two_sided(12.706204736432095, 1) == pytest.approx(0.05)
+    found = experiments.welch_test(10, 5.0, 4.0, 12, 7.0, 9.0)
+    assert found["diff"] == 2.0 and found["low"] < 2.0 < found["high"] and 0 < found["p"] < 1
+    clear = experiments.results([("a", 1000, 100), ("b", 1000, 160)], [1, 1])
+    assert clear["winner"] == "b" and clear["test"] == "chi-square-yates" and clear["pairwise"][0]["low"] > 0
+    assert experiments.results([("a", 1000, 100), ("b", 500, 80)], [1, 1])["winner"] == ""
+    assert experiments.results([("a", 50, 5), ("b", 50, 25)], [1, 1])["winner"] == ""
+    assert experiments.results([("a", 10, 1), ("b", 10, 8)])["test"] == "fisher-exact"
+
+
+def test_cycles_of_aliases_end_at_their_smallest(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("y", "x"), ("m", "n")]
+    found = {tuple(r) for r in traffic.canonical(spark.createDataFrame(links, "alias string, target string")).collect()}
+    assert found == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "a"), ("y", "a"), ("m", "n")}
+
+
+@pytest.mark.parametrize(("referrer", "source", "medium", "expected"), [
+    ("", "", "", "Direct"), ("https://www.google.com/search?q=test", "", "", "Organic Search"), ("https://search.yahoo.com/search?p=test", "", "", "Organic Search"), ("https://t.co/abc123", "", "", "Social"),
+    ("https://x.com/user/status/123", "", "", "Social"), ("https://news.ycombinator.com/item?id=123", "", "", "Referral"), ("https://google.com", "", "cpc", "Paid"), ("", "newsletter", "email", "Email"), ("", "google", "cpc", "Paid"),
+    ("", "facebook", "social", "Social"), ("", "google", "", "Organic Search"), ("https://gemini.google.com/app", "", "", "AI Assistant"), ("", "chatgpt.com", "", "AI Assistant"), ("https://mail.google.com/", "", "", "Email"),
+    ("https://sandbox.company/a", "", "", "Referral"), ("https://kaolin.io/", "", "", "Referral"), ("https://google.com", "newsletter", "", "Organic Search"), ("", "newsletter", "", "Direct"),
+])
+def test_channels(spark, referrer, source, medium, expected):
+    df = spark.createDataFrame([(referrer, source, medium)], "r string, s string, m string")
+    assert df.select(web.channel(F.col("s"), F.col("m"), F.col("r"))).first()[0] == expected
+
+
+@pytest.mark.parametrize(("agent", "expected"), [
+    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.6099.109 Safari/537.36", ("Chrome", "120.0", "Windows", "desktop")),
+    ("Mozilla/5.0 (Linux; Android 13; SM-X900) AppleWebKit/537.36 Chrome/119.0.0.0 Safari/537.36", ("Chrome", "119.0", "Android", "tablet")),
+    ("Mozilla/5.0 (Linux; Android 13; SM-S918B) AppleWebKit/537.36 SamsungBrowser/23.0 Chrome/115.0.0.0 Mobile Safari/537.36", ("Samsung Browser", "23.0", "Android", "mobile")),
+    ("Mozilla/5.0 (iPad; CPU OS 17_1 like Mac OS X) Version/17.1 Mobile/15E148 Safari/604.1", ("Safari", "17.1", "iOS", "tablet")),
+    ("Mozilla/5.0 (X11; Linux x86_64) Edg/118.0.2088.46", ("Edge", "118.0", "Linux", "desktop")), ("Mozilla/5.0 (Windows NT 6.1; Trident/7.0; rv:11.0)", ("IE", "11", "Windows", "desktop")), ("", ("", "", "", "")),
+])
+def test_user_agents(spark, agent, expected):
+    df = spark.createDataFrame([(agent,)], "a string").select(web.browser(F.col("a")).alias("b"), web.operating_system(F.col("a")).alias("o"), web.device(F.col("a")).alias("d"))
+    assert tuple(df.select("b.name", "b.version", "o", "d").first()) == expected
 
 
 def test_aliases_and_pages(spark):

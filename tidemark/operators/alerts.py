@@ -27,5 +27,5 @@ def states(evaluations: DataFrame, threshold: float, min_samples: int) -> DataFr
     changed = marked.withColumn("before", before)
     return changed.select(
         "rule", "ts_ms", "value", "samples", "state",
-        ((F.col("sure") == "firing") & (F.col("before") == "healthy")).alias("opens"), ((F.col("sure") == "healthy") & (F.col("before") == "firing")).alias("closes"),
+        ((F.col("state") == "firing") & (F.col("before") == "healthy")).alias("opens"), ((F.col("state") == "healthy") & (F.col("before") == "firing")).alias("closes"),
     )

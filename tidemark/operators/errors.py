@@ -9,12 +9,15 @@ from tidemark.sources.model import DAY_MS
 
 # What a message's variable parts are replaced by, in this order.
 VARIABLE_PARTS = (
-    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
-    (r"https?://[^\s\"']+", "<url>"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
-    (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<ip>"),
-    (r"\b[0-9a-fA-F]{16,}\b", "<hash>"),
-    (r"\b[0-9]{6,}\b", "<num>"),
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "{uuid}"),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "{ip}"),
+    (r"\b[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4}){7}\b", "{ipv6}"),
+    (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "{email}"),
+    (r"https?://[^\s\"'>]+", "{url}"),
+    (r"\b[0-9a-fA-F]{32,}\b", "{hash}"),
+    (r"\b\d{6,}\b", "{num}"),
+    (r"\"[^\"]{20,}\"", '"{str}"'),
+    (r"'[^']{20,}'", "'{str}'"),
 )
 # BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -26,14 +29,39 @@ def parameterized(message: Column) -> Column:
     return message
 
 
+def _file(frame: Column) -> Column:
+    """Last part of a frame's file name, without query and fragment."""
+    return F.regexp_replace(F.regexp_extract(frame["filename"], r"([^/]*)/*$", 1), r"[?#].*$", "")
+
+
 def group_hash(error_type: Column, message: Column, frames: Column | None = None, custom: Column | None = None) -> Column:
     """Custom fingerprint, else type and in-app frames (filename, function, in_app), else type and parameterised message."""
-    by_message = F.md5(F.concat_ws("\n", error_type, parameterized(message)).cast("binary"))
+    out = F.md5(F.concat_ws("|", error_type, parameterized(message)).cast("binary"))
     if frames is not None:
         own = F.filter(frames, lambda f: f["in_app"])
-        by_frames = F.md5(F.concat_ws("\n", error_type, F.array_join(F.transform(own, lambda f: F.concat_ws(":", f["filename"], f["function"])), "\n")).cast("binary"))
-        by_message = F.when(F.size(own) > 0, by_frames).otherwise(by_message)
-    return F.coalesce(F.nullif(custom, F.lit("")), by_message) if custom is not None else by_message
+        parts = F.transform(own, lambda f: F.concat(_file(f), F.lit(":"), F.coalesce(F.nullif(f["function"], F.lit("")), F.lit("<anonymous>"))))
+        out = F.when(F.size(own) > 0, F.md5(F.concat_ws("|", error_type, F.array_join(parts, "|")).cast("binary"))).otherwise(out)
+    return F.coalesce(F.nullif(custom, F.lit("")), out) if custom is not None else out
+
+
+def rage_click_hash(url: Column, selector: Column) -> Column:
+    """Group of rage clicks on one element of a page, whatever the page's query."""
+    return F.md5(F.concat_ws("|", F.lit("RageClick"), F.regexp_replace(url, r"[?#].*$", ""), selector).cast("binary"))
+
+
+def title(error_type: Column, message: Column) -> Column:
+    """Type and message, up to 120 characters."""
+    kind, text = F.coalesce(error_type, F.lit("")), F.coalesce(message, F.lit(""))
+    both = F.when(kind == "", text).when(text == "", kind).otherwise(F.concat_ws(": ", kind, text))
+    return F.when(both == "", "Unknown Error").otherwise(F.substring(both, 1, 120))
+
+
+def culprit(frames: Column) -> Column:
+    """Function and file of the first in-app frame, else of the first; empty without frames."""
+    own = F.filter(frames, lambda f: f["in_app"])
+    first = F.get(F.when(F.size(own) > 0, own).otherwise(frames), F.lit(0))
+    base = F.regexp_extract(first["filename"], r"([^/]*)/*$", 1)
+    return F.coalesce(F.when(F.coalesce(first["function"], F.lit("")) != "", F.concat_ws(" in ", first["function"], base)).otherwise(base), F.lit(""))
 
 
 def grouped(errors: DataFrame) -> DataFrame:
@@ -80,15 +108,35 @@ def spike_limited(errors: DataFrame, by: str, limit: int, one_in: int = 10) -> D
     return errors.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= limit) | ((F.col("n") - limit) % one_in == 0)).drop("n")
 
 
-def bursts(errors: DataFrame, width_ms: int = 300_000, least: int = 30, factor: float = 4.0, trailing: int = 12) -> DataFrame:
-    """(bucket_ms, events, mean): buckets with at least `least` events and factor times the mean of those before.
+def bursts(errors: DataFrame, by: str, width_ms: int = 300_000, least: int = 30, factor: float = 4.0, trailing: int = 12, quiet: int = 12) -> DataFrame:
+    """(by, bucket_ms, events, mean): an issue's buckets with `least` events and factor times the mean of those before.
 
-    The mean is over `trailing` buckets, empty ones included.
+    The mean is over `trailing` buckets, empty ones included. After one that counts, the next `quiet` - 1 do not.
     """
-    counts = errors.groupBy(F.expr(f"ts_ms div {width_ms}").alias("b")).agg(F.count("*").alias("events"))
-    before = Window.orderBy("b").rangeBetween(-trailing, -1)
+    counts = errors.groupBy(by, F.expr(f"ts_ms div {width_ms}").alias("b")).agg(F.count("*").alias("events"))
+    before = Window.partitionBy(by).orderBy("b").rangeBetween(-trailing, -1)
     marked = counts.withColumn("mean", F.coalesce(F.sum("events").over(before), F.lit(0)) / trailing)
-    return marked.filter((F.col("events") >= least) & (F.col("events") >= factor * F.col("mean"))).select((F.col("b") * width_ms).alias("bucket_ms"), "events", "mean")
+    crossed = marked.filter((F.col("events") >= least) & (F.col("events") >= factor * F.col("mean")))
+    ordered = crossed.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("b", "events", "mean"))).alias("all"))
+    apart = F.aggregate("all", F.slice("all", 1, 1), lambda kept, x: F.when(x["b"] >= F.element_at(kept, -1)["b"] + quiet, F.concat(kept, F.array(x))).otherwise(kept))
+    return ordered.select(by, F.explode(apart).alias("x")).select(by, (F.col("x.b") * width_ms).alias("bucket_ms"), "x.events", "x.mean")
+
+
+def releases_of(errors: DataFrame) -> DataFrame:
+    """(group_hash, release, events, first_ms, last_ms): the releases that each issue was seen in."""
+    keyed = errors.withColumn("group_hash", group_hash(F.col("error_type"), F.col("message"))).filter("release <> ''")
+    return keyed.groupBy("group_hash", "release").agg(F.count("*").alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+def counted_since(errors: DataFrame, since_ms: int) -> DataFrame:
+    """(group_hash, events, users) of the errors from a time on."""
+    keyed = errors.filter(F.col("ts_ms") >= since_ms).withColumn("group_hash", group_hash(F.col("error_type"), F.col("message")))
+    return keyed.groupBy("group_hash").agg(F.count("*").alias("events"), F.count_distinct(F.when(F.col("distinct_id") != "", F.col("distinct_id"))).alias("users"))
+
+
+def release_sparkline(errors: DataFrame, step_ms: int) -> DataFrame:
+    """(release, bucket_ms, events) of the steps with an error."""
+    return errors.filter("release <> ''").groupBy("release", (F.expr(f"ts_ms div {step_ms}") * step_ms).alias("bucket_ms")).agg(F.count("*").alias("events"))
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:

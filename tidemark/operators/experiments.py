@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -121,3 +122,119 @@ def beats_control(arms_: dict[str, tuple[int, int]], control: str, draws: int =
     rng = np.random.default_rng(seed)
     drawn = {name: rng.beta(1 + k, 1 + n - k, draws) for name, (n, k) in arms_.items()}
     return {name: float((x > drawn[control]).mean()) for name, x in drawn.items() if name != control}
+
+
+def fisher_exact(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided p of the table (a, b), (c, d): all tables with its margins that are no likelier than it."""
+    rows, column, n = (a + b, c + d), a + c, a + b + c + d
+    if not n:
+        return 1.0
+    everything = math.lgamma(n + 1) - math.lgamma(column + 1) - math.lgamma(n - column + 1)
+
+    def log_choose(m: int, k: int) -> float:
+        return math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
+
+    def chance(x: int) -> float:
+        return math.exp(log_choose(rows[0], x) + log_choose(rows[1], column - x) - everything)
+
+    observed = chance(a) * (1 + 1e-9)
+    return min(1.0, sum(p for x in range(max(0, column - rows[1]), min(rows[0], column) + 1) if (p := chance(x)) <= observed))
+
+
+def sample_ratio(exposures: list[int], weights: list[float]) -> tuple[float, float]:
+    """(statistic, p) of the arms' exposures against their allocation."""
+    n, total = sum(exposures), sum(weights)
+    if not n or total <= 0:
+        return 0.0, 1.0
+    stat = sum((x - n * w / total) ** 2 / (n * w / total) for x, w in zip(exposures, weights, strict=True) if w > 0)
+    return stat, upper_gamma((len(exposures) - 1) / 2, stat / 2)
+
+
+def sample_size(share: float, lift: float, alpha: float = 0.05, power: float = 0.8) -> int:
+    """Exposures per arm that show an absolute lift over a share; 0 where there is none to show."""
+    if not (0 < share < 1 and lift > 0 and share + lift < 1):
+        return 0
+    normal, other = statistics.NormalDist(), share + lift
+    middle = (share + other) / 2
+    root = normal.inv_cdf(1 - alpha / 2) * math.sqrt(2 * middle * (1 - middle)) + normal.inv_cdf(power) * math.sqrt(share * (1 - share) + other * (1 - other))
+    return math.ceil((root / lift) ** 2)
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by the continued fraction of its nearer side (Lentz's evaluation)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + step * d) or 1e-300)
+        c = (1 + step / c) or 1e-300
+        f *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * (f - 1)
+
+
+def t_two_sided(t: float, df: float) -> float:
+    """p of Student's t in both directions."""
+    return beta_cdf(df / (df + t * t), df / 2, 0.5)
+
+
+def t_quantile(p: float, df: float) -> float:
+    """Quantile above one half of Student's t, by bisection."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1 - t_two_sided(middle, df) / 2 < p else (low, middle)
+    return (low + high) / 2
+
+
+def welch_test(n1: int, m1: float, v1: float, n2: int, m2: float, v2: float, alpha: float = 0.05) -> dict[str, float]:
+    """Welch's test of two arms, second minus first: diff, t, df, p and the interval low, high."""
+    if min(n1, n2) < 2 or v1 / n1 + v2 / n2 <= 0:
+        return {"diff": m2 - m1, "t": 0.0, "df": 0.0, "p": 1.0, "low": m2 - m1, "high": m2 - m1}
+    diff, t, df = welch(n1, m1, v1, n2, m2, v2)
+    reach = t_quantile(1 - alpha / 2, df) * math.sqrt(v1 / n1 + v2 / n2)
+    return {"diff": diff, "t": t, "df": df, "p": t_two_sided(t, df), "low": diff - reach, "high": diff + reach}
+
+
+#: Significance of the tests, and of a broken allocation.
+ALPHA, ALPHA_RATIO = 0.05, 0.001
+
+
+def results(arm_rows: list[tuple[str, int, int]], weights: list[float] | None = None, required: int = 100) -> dict:
+    """Verdict over arms (variant, exposures, conversions), the control first.
+
+    A chi-square test over all arms (corrected for two), Fisher's exact test where two arms have an expected count
+    below 5, none where more have; each arm against the control with Newcombe intervals and Holm's correction. A winner
+    needs every arm at the horizon of required exposures, an allocation as declared, a significant test, and the best
+    share to survive Holm with a lift.
+    """
+    names, n, hits = [a[0] for a in arm_rows], [a[1] for a in arm_rows], [a[2] for a in arm_rows]
+    out = {"test": "none", "p": 1.0, "horizon_met": bool(n) and min(n) >= required, "ratio_p": 1.0, "ratio_broken": False, "pairwise": [], "winner": ""}
+    if len(arm_rows) < 2 or min(n) < 1:
+        return out
+    if weights and len(weights) == len(n):
+        out["ratio_p"] = sample_ratio(n, weights)[1]
+        out["ratio_broken"] = out["ratio_p"] < ALPHA_RATIO
+    share = sum(hits) / sum(n)
+    small = min(x * s for x in n for s in (share, 1 - share)) < 5
+    if small and len(n) == 2:
+        out |= {"test": "fisher-exact", "p": fisher_exact(hits[0], n[0] - hits[0], hits[1], n[1] - hits[1])}
+    elif not small:
+        out |= {"test": "chi-square-yates" if len(n) == 2 else "chi-square", "p": chi_square(list(zip(n, hits, strict=True)))[1]}
+    alone = [chi_square([(n[0], hits[0]), (n[i], hits[i])])[1] if not small else fisher_exact(hits[0], n[0] - hits[0], hits[i], n[i] - hits[i]) for i in range(1, len(n))]
+    for i, adjusted in enumerate(holm(alone), 1):
+        low, high = newcombe(hits[0], n[0], hits[i], n[i])
+        out["pairwise"].append({"variant": names[i], "lift": hits[i] / n[i] - hits[0] / n[0], "low": low, "high": high, "p": alone[i - 1], "adjusted_p": adjusted, "significant": adjusted <= ALPHA})
+    best = max(range(len(n)), key=lambda i: hits[i] / n[i])
+    clear = out["horizon_met"] and not out["ratio_broken"] and out["p"] <= ALPHA
+    if clear and best > 0 and out["pairwise"][best - 1]["significant"]:
+        out["winner"] = names[best]
+    elif clear and best == 0 and all(x["significant"] for x in out["pairwise"]):
+        out["winner"] = names[0]
+    return out

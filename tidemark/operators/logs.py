@@ -87,12 +87,21 @@ def pipeline(logs: DataFrame, rules: Sequence[dict]) -> DataFrame:
         elif kind == "drop":
             logs = logs.filter(~known(F.col(name).rlike(rule["pattern"])))
         elif kind == "sample":
-            logs = logs.filter(F.pmod(F.xxhash64("message"), F.lit(100)) < rule["percent"])
+            chosen = F.lit(True) if not rule.get("pattern") else known(F.col("message").rlike(rule["pattern"]))
+            logs = logs.filter(~chosen | (fnv1a(F.col("message")) % 100 < rule["percent"]))
         else:
             raise ValueError(kind)
     return logs
 
 
+def fnv1a(text: Column) -> Column:
+    """Unsigned 32-bit FNV-1a of a text's UTF-8 bytes."""
+    digits = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    at = F.filter(F.sequence(F.lit(1), F.length(digits) + 1, F.lit(2)), lambda i: i < F.length(digits))
+    octets = F.transform(at, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
+    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def _put(key: str, value: Column) -> Column:
     others = F.map_filter("attributes", lambda k, _: k != key)
     return F.map_concat(others, F.create_map(F.lit(key), value))

@@ -14,7 +14,8 @@ def price_of(calls: DataFrame, prices: DataFrame, key: str, now_ms: int) -> Data
     """
     current = prices.filter(F.col("valid_from_ms") <= now_ms).groupBy(F.col("provider").alias("p_provider"), "prefix").agg(F.max_by("price", "valid_from_ms").alias("price"))
     models = calls.select("model").distinct()
-    cut = models.select("model", F.explode(F.transform(F.sequence(F.lit(1), F.length("model")), lambda n: F.substring("model", F.lit(1), n))).alias("prefix"))
+    lengths = [r["n"] for r in current.select(F.length("prefix").alias("n")).distinct().collect()]  # a few: names are short
+    cut = models.select("model", F.explode(F.array_distinct(F.array(*[F.substring("model", 1, n) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>"))).alias("prefix"))
     found = calls.join(cut, "model").join(current, "prefix").filter(F.col("p_provider").isNull() | (F.col("p_provider") == F.col("provider")))
     best = found.groupBy(key).agg(F.max_by("price", F.struct(F.col("p_provider").isNotNull().alias("own"), F.length("prefix"))).alias("price"))
     return calls.join(best, key, "left")

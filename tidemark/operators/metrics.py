@@ -16,6 +16,33 @@ def reduced(points: DataFrame, how: str, step_ms: int, *by: str) -> DataFrame:
     return points.groupBy(*by, _bucket(step_ms)).agg(value.alias("value"))
 
 
+def labelled(points: DataFrame, equals: dict[str, str] | None = None, any_of: dict[str, list[str]] | None = None) -> DataFrame:
+    """Points whose attributes (a map) have these values; an absent label is empty."""
+    for key, values in ({k: [v] for k, v in (equals or {}).items()} | (any_of or {})).items():
+        points = points.filter(F.coalesce(F.col("attributes")[key], F.lit("")).isin(values))
+    return points
+
+
+def with_labels(points: DataFrame, *labels: str) -> DataFrame:
+    """Points with some of their labels as columns, to group by; an absent label is empty."""
+    return points.withColumns({k: F.coalesce(F.col("attributes")[k], F.lit("")) for k in labels})
+
+
+def latest(points: DataFrame, *by: str) -> DataFrame:
+    """(by, value, ts_ms): the newest point of each group, the last by event_id among equal times."""
+    return points.groupBy(*by).agg(F.max_by("value", F.struct("ts_ms", "event_id")).alias("value"), F.max("ts_ms").alias("ts_ms"))
+
+
+def listed(points: DataFrame) -> DataFrame:
+    """(metric, points, streams, first_ms, last_ms) of the metrics there are."""
+    return points.groupBy("metric").agg(F.count("*").alias("points"), F.count_distinct("stream").alias("streams"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+def label_values(points: DataFrame) -> DataFrame:
+    """(metric, label, value, points) of all labels with a value."""
+    return points.select("metric", F.explode("attributes").alias("label", "value")).filter("value <> ''").groupBy("metric", "label", "value").agg(F.count("*").alias("points"))
+
+
 def counter_rate(points: DataFrame, step_ms: int, *by: str) -> DataFrame:
     """(bucket_ms, rate) of cumulative counters, summed over streams.
 

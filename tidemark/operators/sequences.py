@@ -112,20 +112,27 @@ def attribution(events: DataFrame, model: str) -> DataFrame:
     return some.join(share, "session_id").unionByName(direct).groupBy("source").agg(F.sum("credit").alias("credit"))
 
 
-def correlation(events: DataFrame, dimensions: list[str], target: str, min_sessions: int = 5) -> DataFrame:
-    """(dimension, value, sessions, conversions, uplift, z): conversion of sessions by their last value of a dimension.
+def correlation(events: DataFrame, dimensions: list[str], target: str, min_sessions: int = 5, n: int = 20) -> DataFrame:
+    """(property, value, occurrences, conversions, rate, baseline_rate, uplift, significant): the n largest uplifts.
 
-    uplift is the rate's distance to the overall rate, z its pooled two-proportion score against the other sessions.
+    A session counts once for its last value of each dimension and of each property in props (JSON). Rates are in
+    percent; uplift is the rate's distance to that of all sessions, in percent of it. significant: at least 10 sessions
+    of 20, and a pooled two-proportion score above 1.96 against the others.
     """
-    last = [F.max_by(F.col(d), _at()).alias(d) for d in dimensions]
-    per = events.groupBy("session_id").agg(*last, F.bool_or(F.col("event_type") == target).cast("long").alias("hit"))
-    each = per.select("hit", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])).alias("x")).select("hit", "x.*")
-    total = per.agg(F.count("*").alias("all_n"), F.sum("hit").alias("all_hits"))
-    found = each.filter("value <> ''").groupBy("dimension", "value").agg(F.count("*").alias("sessions"), F.sum("hit").alias("conversions")).filter(F.col("sessions") >= min_sessions)
+    named = [F.struct(F.lit(d).alias("property"), F.col(d).cast("string").alias("value")) for d in dimensions]
+    of_json = F.transform(F.map_entries(F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("property"), e["value"].alias("value")))
+    each = events.select("session_id", _at().alias("at"), F.explode(F.concat(F.array(*named), of_json)).alias("x")).filter("x.value <> ''")
+    last = each.groupBy("session_id", F.col("x.property").alias("property")).agg(F.max_by("x.value", "at").alias("value"))
+    sessions = events.groupBy("session_id").agg(F.bool_or(F.col("event_type") == target).cast("long").alias("hit"))
+    total = sessions.agg(F.count("*").alias("all_n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("all_hits"))
+    found = last.join(sessions, "session_id").groupBy("property", "value").agg(F.count("*").alias("occurrences"), F.sum("hit").alias("conversions")).filter(F.col("occurrences") >= min_sessions)
     both = found.join(F.broadcast(total))  # one row
-    n1, n2, k1 = F.col("sessions"), F.col("all_n") - F.col("sessions"), F.col("conversions")
-    p = F.col("all_hits") / F.col("all_n")
-    spread = F.sqrt(p * (1 - p) * (1 / n1 + F.try_divide(F.lit(1.0), n2)))
-    z = F.try_divide(k1 / n1 - F.try_divide(F.col("all_hits") - k1, n2), spread)
-    return both.select("dimension", "value", "sessions", "conversions", (k1 / n1 - p).alias("uplift"), z.alias("z"))
-
+    n1, n2, k1 = F.col("occurrences"), F.col("all_n") - F.col("occurrences"), F.col("conversions")
+    p, rate = F.col("all_hits") / F.col("all_n"), k1 / n1
+    z = F.try_divide(F.abs(rate - F.try_divide(F.col("all_hits") - k1, n2)), F.sqrt(p * (1 - p) * (1 / n1 + F.try_divide(F.lit(1.0), n2))))
+    uplift = F.round(F.when(p > 0, (rate - p) / p * 100).otherwise(0.0), 1)
+    out = both.select(
+        "property", "value", "occurrences", "conversions", F.round(rate * 100, 1).alias("rate"), F.round(p * 100, 1).alias("baseline_rate"), uplift.alias("uplift"),
+        ((n1 >= 10) & (F.col("all_n") >= 20) & F.coalesce(z > 1.96, F.lit(False))).alias("significant"),
+    )
+    return out.orderBy(F.desc(F.abs("uplift")), "property", "value").limit(n)

@@ -46,31 +46,53 @@ def trace_funnel(spans: DataFrame, operations: list[str]) -> DataFrame:
 
 
 def fingerprint(statement: Column) -> Column:
-    """A statement with literals and numbers replaced and blanks collapsed."""
+    """A query or change of data with literals and numbers replaced and blanks collapsed; null for other statements."""
     bare = F.regexp_replace(F.regexp_replace(statement, r"'(?:[^'\\]|\\.|'')*'", "?"), r"\b\d+(?:\.\d+)?\b", "?")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.when(statement.rlike(r"^\s*(?i:select|insert|update|delete|with|replace|merge)\b"), F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def repeated_queries(spans: DataFrame, least: int = 4) -> DataFrame:
-    """(trace_id, parent_span_id, fingerprint, longest): runs of consecutive siblings with one statement."""
+    """(trace_id, parent_span_id, fingerprint, longest): the longest run of consecutive database siblings with one statement.
+
+    Of equal runs the first counts; a statement without a fingerprint ends a run. One window per parent.
+    """
     order = Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id")
-    siblings = spans.filter("parent_span_id is not null").withColumn("fingerprint", fingerprint(F.col("statement")))
-    alike = Window.partitionBy("trace_id", "parent_span_id", "fingerprint").orderBy("start_ms", "span_id")
-    runs = siblings.withColumn("island", F.row_number().over(order) - F.row_number().over(alike))
-    lengths = runs.groupBy("trace_id", "parent_span_id", "fingerprint", "island").agg(F.count("*").alias("n"))
-    return lengths.groupBy("trace_id", "parent_span_id", "fingerprint").agg(F.max("n").alias("longest")).filter(F.col("longest") >= least)
+    siblings = spans.filter("parent_span_id is not null and statement <> ''").select("trace_id", "parent_span_id", "start_ms", "span_id", fingerprint(F.col("statement")).alias("fingerprint"))
+    new = (~F.coalesce(F.col("fingerprint") == F.lag("fingerprint").over(order), F.lit(False))).cast("int")
+    runs = siblings.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lengths = runs.filter("fingerprint is not null").groupBy("trace_id", "parent_span_id", "run").agg(F.count("*").alias("n"), F.first("fingerprint").alias("fingerprint")).filter(F.col("n") >= least)
+    best = lengths.groupBy("trace_id", "parent_span_id").agg(F.max(F.struct("n", -F.col("run"), "fingerprint")).alias("best"))
+    return best.select("trace_id", "parent_span_id", "best.fingerprint", F.col("best.n").alias("longest"))
 
 
 def serial_queries(spans: DataFrame, least: int = 3, least_ms: int = 100) -> DataFrame:
-    """(trace_id, parent_span_id, spans, total_ms): runs of siblings that do not overlap."""
-    order = Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id")
-    siblings = spans.filter("parent_span_id is not null")
+    """(trace_id, parent_span_id, spans, total_ms): runs of database siblings that do not overlap."""
+    order = Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "end_ms", "span_id")
+    siblings = spans.filter("parent_span_id is not null and statement <> ''").select("trace_id", "parent_span_id", "start_ms", "end_ms", "span_id", "duration_ms")
     marked = siblings.withColumn("new", F.coalesce((F.col("start_ms") < F.lag("end_ms").over(order)).cast("int"), F.lit(1)))
     runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     totals = runs.groupBy("trace_id", "parent_span_id", "run").agg(F.count("*").alias("spans"), F.sum("duration_ms").alias("total_ms"))
     return totals.filter((F.col("spans") >= least) & (F.col("total_ms") >= least_ms)).drop("run")
 
 
+def trace(spans: DataFrame, trace_id: Column | int | str) -> DataFrame:
+    """The spans of one trace, with their depth order left to the reader: by start and id."""
+    return spans.filter(F.col("trace_id") == trace_id).orderBy("start_ms", "span_id")
+
+
+def span_issues(repeated: DataFrame, serial: DataFrame, slow_: DataFrame) -> DataFrame:
+    """(kind, fingerprint, traces, events, last_trace): what the detectors found, by kind and what was repeated."""
+    each = repeated.select(F.lit("n_plus_one").alias("kind"), "fingerprint", "trace_id").unionByName(serial.select(F.lit("serial_db").alias("kind"), F.lit("").alias("fingerprint"), "trace_id"))
+    each = each.unionByName(slow_.select(F.lit("slow").alias("kind"), F.col("severity").alias("fingerprint"), "trace_id"))
+    return each.groupBy("kind", "fingerprint").agg(F.count_distinct("trace_id").alias("traces"), F.count("*").alias("events"), F.max("trace_id").alias("last_trace"))
+
+
+def minute_percentiles(spans: DataFrame) -> DataFrame:
+    """(service, operation, bucket_ms, p50_ms, p95_ms, p99_ms): the value at the floored index of the ordered durations."""
+    ordered = spans.groupBy("service", "operation", (F.expr("start_ms div 60000") * 60000).alias("bucket_ms")).agg(F.array_sort(F.collect_list("duration_ms")).alias("d"))
+    return ordered.select("service", "operation", "bucket_ms", *[F.element_at("d", F.floor((F.size("d") - 1) * q).cast("int") + 1).alias(f"p{round(q * 100)}_ms") for q in (0.5, 0.95, 0.99)])
+
+
 def slow(spans: DataFrame, least_ms: int) -> DataFrame:
     """(trace_id, span_id, duration_ms, severity): five times the threshold is an error."""
     found = spans.filter(F.col("duration_ms") >= least_ms)

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.web import channel
+from tidemark.storage import materialize
+
+#: Longest period of a bounded query.
+WINDOW_DAYS = 186
 
 
 def where(events: DataFrame, equals: dict[str, str] | None = None, any_of: dict[str, list[str]] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
@@ -151,13 +155,52 @@ def persons(events: DataFrame) -> DataFrame:
     )
 
 
-def canonical(aliases: DataFrame, rounds: int = 8) -> DataFrame:
-    """(alias, canonical): each alias of (alias, target) followed to its end, at most 2 ** rounds links away."""
-    current = aliases.select("alias", F.col("target").alias("canonical"))
-    for _ in range(rounds):
-        onward = current.select(F.col("alias").alias("from_"), F.col("canonical").alias("to_"))
-        current = current.join(onward, F.col("canonical") == F.col("from_"), "left").select("alias", F.coalesce("to_", "canonical").alias("canonical"))
-    return current
+def session_events(events: DataFrame, session_id: str) -> DataFrame:
+    """The events of one session in order, with the time since its first."""
+    mine = events.filter(F.col("session_id") == session_id)
+    return mine.withColumn("since_ms", F.col("ts_ms") - F.min("ts_ms").over(Window.partitionBy("session_id"))).orderBy("ts_ms", "event_id")
+
+
+def sessions_with_errors(events: DataFrame) -> DataFrame:
+    """(session_id, events, errors, first_error_ms) of sessions, recorded ones say, in which an error occurred."""
+    bad = F.col("event_type") == "error"
+    return events.groupBy("session_id").agg(F.count("*").alias("events"), F.count_if(bad).alias("errors"), F.min(F.when(bad, F.col("ts_ms"))).alias("first_error_ms")).filter("errors > 0")
+
+
+def page_goal(events: DataFrame, path: str, value_minor: int = 0) -> DataFrame:
+    """(conversions, events, rate_pct, value_minor) of views of a path, or of a beginning that ends in *; each is worth value_minor."""
+    on_path = F.startswith("pathname", F.lit(path[:-1])) if path.endswith("*") else F.col("pathname") == path
+    hit = (F.col("event_type") == "pageview") & on_path
+    return events.agg(
+        F.count_distinct(F.when(hit, F.col("session_id"))).alias("conversions"), F.count_if(hit).alias("events"),
+        F.try_divide(100.0 * F.count_distinct(F.when(hit, F.col("session_id"))), F.count_distinct("session_id")).alias("rate_pct"), (value_minor * F.count_if(hit)).alias("value_minor"),
+    )
+
+
+def bounded(events: DataFrame, start_ms: int, end_ms: int, n: int) -> DataFrame:
+    """The first n rows of [start, end) in order of time and id; periods over WINDOW_DAYS days are refused."""
+    if end_ms - start_ms > WINDOW_DAYS * 86_400_000:
+        raise ValueError(f"periods are limited to {WINDOW_DAYS} days")
+    return events.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms)).orderBy("ts_ms", "event_id").limit(n)
+
+
+def canonical(aliases: DataFrame, rounds: int = 40) -> DataFrame:
+    """(alias, canonical): each alias of (alias, target) followed to its end, at most 2 ** rounds links away.
+
+    Each round is written and doubles the links followed; it ends when all are at an end, or, where there are cycles,
+    when the links followed are as many as aliases. The members of a cycle and what leads into it end at its smallest
+    member. Of several targets of an alias the smallest counts.
+    """
+    single = aliases.filter("alias <> target").groupBy("alias").agg(F.min("target").alias("canonical"))
+    current = materialize(single.withColumn("least", F.least("alias", "canonical")), "aliases")
+    ends = current.select(F.col("alias").alias("end_"), F.col("canonical").alias("to_"), F.col("least").alias("least_"))
+    for _ in range(min(rounds, current.count().bit_length() + 1)):
+        met = current.join(ends, F.col("canonical") == F.col("end_"), "left")
+        if not met.filter("end_ is not null").limit(1).count():
+            break
+        current = materialize(met.select("alias", F.coalesce("to_", "canonical").alias("canonical"), F.least("least", "least_").alias("least")), "aliases")
+        ends = current.select(F.col("alias").alias("end_"), F.col("canonical").alias("to_"), F.col("least").alias("least_"))
+    return current.join(ends, F.col("canonical") == F.col("end_"), "left").select("alias", F.coalesce("least_", "canonical").alias("canonical"))
 
 
 def folded(people: DataFrame, aliases: DataFrame) -> DataFrame:

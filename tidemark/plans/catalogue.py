@@ -76,7 +76,7 @@ def _top_pages(ev: DataFrame) -> DataFrame:
     return traffic.top_pages(ev)
 
 
-for _dim in ("browser", "country", "utm_source", "referrer", "release"):
+for _dim in ("browser", "country", "utm_source", "referrer", "release", "os", "device", "language", "screen", "utm_medium", "utm_campaign"):
     query(f"breakdown_{_dim}", "events", f"SELECT {_dim} AS name, count(DISTINCT session_id) AS visitors, count(*) AS events FROM ev WHERE {_dim} <> '' GROUP BY 1")(lambda ev, d=_dim: traffic.breakdown(ev, d))
 
 query("filtered_timeseries", "events", f"""SELECT ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, count(*) AS pageviews, count(DISTINCT session_id) AS visitors FROM ev
@@ -85,10 +85,23 @@ WHERE event_type = 'pageview' AND browser IN ('Chrome', 'Safari') AND country =
 )
 query("filter_empty_list", "events", "SELECT event_id FROM ev WHERE 1 = 0")(lambda ev: traffic.where(ev, any_of={"browser": []}).select("event_id"))
 
-CHANNEL_SQL = """CASE WHEN utm_source = 'google' THEN 'search' WHEN utm_source IN ('facebook', 'twitter') THEN 'social' WHEN utm_source <> '' THEN 'campaign'
-  WHEN referrer LIKE 'https://chatgpt.com%' THEN 'ai' WHEN referrer LIKE 'https://www.google.%' THEN 'search' WHEN referrer LIKE 'https://t.co/%' THEN 'social' WHEN referrer <> '' THEN 'referral' ELSE 'direct' END"""
+CHANNEL_SQL = """CASE WHEN utm_source = 'google' THEN 'Organic Search' WHEN utm_source IN ('facebook', 'twitter') THEN 'Social' WHEN referrer = '' THEN 'Direct'
+  WHEN referrer LIKE 'https://chatgpt.com%' THEN 'AI Assistant' WHEN referrer LIKE 'https://www.google.%' THEN 'Organic Search' WHEN referrer LIKE 'https://t.co/%' THEN 'Social' ELSE 'Referral' END"""
 query("channels", "events", f"SELECT {CHANNEL_SQL} AS channel, count(DISTINCT session_id) AS visitors FROM ev GROUP BY 1")(traffic.channels)
-query("channel_filter", "events", f"SELECT event_id FROM ev WHERE {CHANNEL_SQL} = 'ai'")(lambda ev: ev.filter(channel(F.col("utm_source"), F.lit(""), F.col("referrer")) == "ai").select("event_id"))
+query("channel_filter", "events", f"SELECT event_id FROM ev WHERE {CHANNEL_SQL} = 'AI Assistant'")(lambda ev: ev.filter(channel(F.col("utm_source"), F.lit(""), F.col("referrer")) == "AI Assistant").select("event_id"))
+query("session_detail", "events", f"""SELECT event_id, ts_ms, event_type, pathname, ts_ms - min(ts_ms) OVER () AS since_ms FROM ev WHERE session_id = (SELECT min(session_id) FROM ev)""")(
+    lambda ev: traffic.session_events(ev, ev.agg(F.min("session_id")).first()[0]).select("event_id", "ts_ms", "event_type", "pathname", "since_ms")
+)
+query("sessions_with_errors", "events", """SELECT session_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, min(ts_ms) FILTER (event_type = 'error') AS first_error_ms FROM ev GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0""")(traffic.sessions_with_errors)
+query("page_goal", "events", """SELECT count(DISTINCT session_id) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) AS conversions, count(*) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) AS events,
+  round(100 * count(DISTINCT session_id) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) / count(DISTINCT session_id), 6) AS rate_pct, 250 * count(*) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) AS value_minor FROM ev""")(
+    lambda ev: rounded(traffic.page_goal(ev, "/4*", 250), rate_pct=6)
+)
+query("bounded_scan", "events", f"SELECT event_id, ts_ms FROM ev WHERE ts_ms >= {START_MS} AND ts_ms < {START_MS + DAY_MS} ORDER BY ts_ms, event_id LIMIT 50")(lambda ev: traffic.bounded(ev, START_MS, START_MS + DAY_MS, 50).select("event_id", "ts_ms"))
+query("persons_count", "events", "SELECT count(DISTINCT distinct_id) AS persons FROM ev WHERE distinct_id <> ''")(lambda ev: traffic.persons(ev).agg(F.count("*").alias("persons")))
+query("person_timeline", "events", "SELECT event_id, ts_ms, session_id, event_type FROM ev WHERE distinct_id = '7' ORDER BY ts_ms DESC, event_id DESC LIMIT 100")(
+    lambda ev: ev.filter("distinct_id = '7'").orderBy(F.desc("ts_ms"), F.desc("event_id")).limit(100).select("event_id", "ts_ms", "session_id", "event_type")
+)
 query("custom_events", "events", "SELECT event_type, count(*) AS events, count(DISTINCT session_id) AS visitors FROM ev WHERE event_type <> 'pageview' GROUP BY 1")(traffic.custom_events)
 query("properties", "events", "SELECT 'k' AS key, json_extract_string(props, '$.k') AS value, count(*) AS events, count(DISTINCT session_id) AS visitors FROM ev GROUP BY 2")(traffic.properties)
 query("property_keys", "events", "SELECT 'k' AS key, count(*) AS events FROM ev WHERE json_extract_string(props, '$.k') IS NOT NULL")(traffic.property_keys)
@@ -173,13 +186,13 @@ query("attribution_linear", "events", """, s AS (SELECT DISTINCT session_id, utm
 SELECT source, round(sum(credit), 6) AS credit FROM (SELECT source, credit FROM s JOIN c USING (session_id) UNION ALL SELECT '(direct)', 1.0 FROM (SELECT DISTINCT session_id FROM ev) WHERE session_id NOT IN (SELECT session_id FROM s)) GROUP BY 1""")(
     lambda ev: rounded(sequences.attribution(ev, "linear"), credit=6)
 )
-query("correlation", "events", """, s AS (SELECT session_id, arg_max(browser, (ts_ms, event_id)) AS browser, arg_max(country, (ts_ms, event_id)) AS country, CAST(bool_or(event_type = 'purchase') AS BIGINT) AS hit FROM ev GROUP BY 1),
-  x AS (SELECT 'browser' AS dimension, browser AS value, hit FROM s UNION ALL SELECT 'country', country, hit FROM s), t AS (SELECT count(*) AS n, sum(hit)::BIGINT AS k FROM s),
-  g AS (SELECT dimension, value, count(*) AS sessions, sum(hit)::BIGINT AS conversions FROM x WHERE value <> '' GROUP BY 1, 2 HAVING count(*) >= 5)
-SELECT dimension, value, sessions, conversions, round(conversions / sessions - k / n, 6) AS uplift,
-  round((conversions / sessions - CASE WHEN n = sessions THEN NULL ELSE (k - conversions) / (n - sessions) END) / nullif(sqrt(k / n * (1 - k / n) * (1 / sessions + 1 / nullif(n - sessions, 0))), 0), 6) AS z FROM g, t""")(
-    lambda ev: rounded(sequences.correlation(ev, ["browser", "country"], "purchase"), uplift=6, z=6)
-)
+query("correlation", "events", """, h AS (SELECT session_id, bool_or(event_type = 'purchase')::BIGINT AS hit FROM ev GROUP BY 1),
+  e AS (SELECT session_id, ts_ms, event_id, unnest(['browser', 'country', 'k']) AS property, unnest([browser, country, json_extract_string(props, '$.k')]) AS value FROM ev),
+  l AS (SELECT session_id, property, arg_max(value, (ts_ms, event_id)) AS value FROM e WHERE value <> '' GROUP BY 1, 2), t AS (SELECT count(*) AS n, sum(hit)::BIGINT AS k FROM h),
+  g AS (SELECT property, value, count(*) AS occurrences, sum(hit)::BIGINT AS conversions FROM l JOIN h USING (session_id) GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT property, value, occurrences, conversions, round(conversions / occurrences * 100, 1) AS rate, round(k / n * 100, 1) AS baseline_rate, round(CASE WHEN k > 0 THEN (conversions / occurrences - k / n) / (k / n) * 100 ELSE 0 END, 1) AS uplift,
+  occurrences >= 10 AND n >= 20 AND coalesce(abs(conversions / occurrences - (k - conversions) / nullif(n - occurrences, 0)) / nullif(sqrt(k / n * (1 - k / n) * (1 / occurrences + 1 / nullif(n - occurrences, 0))), 0) > 1.96, false) AS significant
+FROM g, t ORDER BY abs(round(CASE WHEN k > 0 THEN (conversions / occurrences - k / n) / (k / n) * 100 ELSE 0 END, 1)) DESC, property, value LIMIT 20""")(lambda ev: sequences.correlation(ev, ["browser", "country"], "purchase"))
 
 # --- cohorts -------------------------------------------------------------------------------------------------------
 
@@ -209,16 +222,28 @@ query("span_minutes", "spans", "SELECT service, operation, start_ms // 60000 * 6
 query("service_deps", "spans", "SELECT p.service AS caller, c.service AS callee, count(*) AS calls, count(*) FILTER (c.is_error) AS errors, round(avg(c.duration_ms), 6) AS avg_ms FROM sp c JOIN sp p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE p.service <> c.service GROUP BY 1, 2")(lambda sp: rounded(tracing.dependencies(sp), avg_ms=6))
 query("trace_funnel", "spans", """, s1 AS (SELECT trace_id, min(start_ms) AS a FROM sp WHERE operation = 'op1' GROUP BY 1), s2 AS (SELECT n.trace_id, min(start_ms) AS a FROM s1 JOIN sp n ON n.trace_id = s1.trace_id AND n.operation = 'op2' AND n.start_ms > s1.a GROUP BY 1),
   s3 AS (SELECT n.trace_id, min(start_ms) AS a FROM s2 JOIN sp n ON n.trace_id = s2.trace_id AND n.operation = 'op3' AND n.start_ms > s2.a GROUP BY 1) """ + _COUNT_STEPS.replace("entities", "traces"))(lambda sp: tracing.trace_funnel(sp, ["op1", "op2", "op3"]))
-query("n_plus_one", "spans", """, f AS (SELECT *, regexp_replace(statement, '\\b\\d+\\b', '?', 'g') AS fingerprint FROM sp WHERE parent_span_id IS NOT NULL),
-  i AS (SELECT *, row_number() OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, span_id, statement) - row_number() OVER (PARTITION BY trace_id, parent_span_id, fingerprint ORDER BY start_ms, span_id, statement) AS island FROM f),
-  r AS (SELECT trace_id, parent_span_id, fingerprint, island, count(*) AS n FROM i GROUP BY ALL) SELECT trace_id, parent_span_id, fingerprint, max(n) AS longest FROM r GROUP BY 1, 2, 3 HAVING max(n) >= 2""")(
-    lambda sp: tracing.repeated_queries(sp.withColumn("span_id", F.struct("span_id", "statement")), 2)
-)
-query("serial_db", "spans", """, m AS (SELECT *, coalesce(CAST(start_ms < lag(end_ms) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, end_ms, span_id) AS INT), 1) AS new FROM (SELECT DISTINCT trace_id, parent_span_id, span_id, start_ms, end_ms, duration_ms FROM sp WHERE parent_span_id IS NOT NULL)),
-  r AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, end_ms, span_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
-SELECT trace_id, parent_span_id, count(*) AS spans, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM r GROUP BY trace_id, parent_span_id, run HAVING count(*) >= 2 AND sum(duration_ms) >= 100""")(
-    lambda sp: tracing.serial_queries(sp.select("trace_id", "parent_span_id", F.struct("end_ms", "span_id").alias("span_id"), "start_ms", "end_ms", "duration_ms").distinct(), 2)
-)
+_N1 = """, f AS (SELECT *, regexp_replace(statement, '\\b\\d+\\b', '?', 'g') AS fingerprint FROM sp WHERE parent_span_id IS NOT NULL),
+  m AS (SELECT *, CASE WHEN fingerprint = lag(fingerprint) OVER w THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, span_id, statement)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, span_id, statement ROWS UNBOUNDED PRECEDING) AS run FROM m),
+  g AS (SELECT trace_id, parent_span_id, run, min(fingerprint) AS fingerprint, count(*) AS n FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+  n1 AS (SELECT trace_id, parent_span_id, arg_max(fingerprint, (n, -run)) AS fingerprint, max(n) AS longest FROM g GROUP BY 1, 2)"""
+_SERIAL = """, s AS (SELECT *, coalesce(CAST(start_ms < lag(end_ms) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, end_ms, span_id) AS INT), 1) AS new FROM sp WHERE parent_span_id IS NOT NULL),
+  q AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, end_ms, span_id ROWS UNBOUNDED PRECEDING) AS run FROM s),
+  sd AS (SELECT trace_id, parent_span_id, count(*) AS spans, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM q GROUP BY trace_id, parent_span_id, run HAVING count(*) >= 2 AND sum(duration_ms) >= 100)"""
+
+
+def _repeated(sp: DataFrame) -> DataFrame:
+    return tracing.repeated_queries(sp.withColumn("span_id", F.struct("span_id", "statement")), 2)
+
+
+query("n_plus_one", "spans", _N1 + " SELECT * FROM n1")(_repeated)
+query("serial_db", "spans", _SERIAL + " SELECT * FROM sd")(lambda sp: tracing.serial_queries(sp, 2))
+query("span_issues", "spans", _N1 + _SERIAL + """, x AS (SELECT 'n_plus_one' AS kind, fingerprint, trace_id FROM n1 UNION ALL SELECT 'serial_db', '', trace_id FROM sd
+  UNION ALL SELECT 'slow', CASE WHEN duration_ms >= 4500 THEN 'error' ELSE 'warning' END, trace_id FROM sp WHERE duration_ms >= 900)
+SELECT kind, fingerprint, count(DISTINCT trace_id) AS traces, count(*) AS events, max(trace_id) AS last_trace FROM x GROUP BY 1, 2""")(lambda sp: tracing.span_issues(_repeated(sp), tracing.serial_queries(sp, 2), tracing.slow(sp, 900)))
+query("minute_percentiles", "spans", """, o AS (SELECT service, operation, start_ms // 60000 * 60000 AS bucket_ms, list_sort(list(duration_ms)) AS d FROM sp GROUP BY ALL)
+SELECT service, operation, bucket_ms, d[CAST(floor((len(d) - 1) * 0.5) AS INT) + 1] AS p50_ms, d[CAST(floor((len(d) - 1) * 0.95) AS INT) + 1] AS p95_ms, d[CAST(floor((len(d) - 1) * 0.99) AS INT) + 1] AS p99_ms FROM o""")(tracing.minute_percentiles)
+query("trace_detail", "spans", "SELECT span_id, parent_span_id, service, operation, start_ms, duration_ms, is_error FROM sp WHERE trace_id = 7")(lambda sp: tracing.trace(sp, 7).select("span_id", "parent_span_id", "service", "operation", "start_ms", "duration_ms", "is_error"))
 query("slow_spans", "spans", "SELECT trace_id, span_id, duration_ms, CASE WHEN duration_ms >= 4500 THEN 'error' ELSE 'warning' END AS severity FROM sp WHERE duration_ms >= 900")(lambda sp: tracing.slow(sp, 900))
 query("traces", "spans", "SELECT trace_id, count(*) AS spans, min(start_ms) AS start_ms, max(end_ms) - min(start_ms) AS duration_ms, bool_or(is_error) AS has_error, arg_min(service, (start_ms, span_id, service)) FILTER (parent_span_id IS NULL) AS root_service FROM sp GROUP BY 1")(
     lambda sp: tracing.traces(sp.withColumn("span_id", F.struct("span_id", "service")))
@@ -269,15 +294,35 @@ query("log_pipeline", "logs", _LOGS + " SELECT log_id, lower(level) AS level, co
     lambda lg: logs.pipeline(lg, _RULES).select("log_id", "level", "message", F.col("attributes")["page"].alias("page"), F.col("attributes")["key"].alias("key"), F.col("attributes")["env"].alias("env"))
 )
 
+_MP = ", mp AS (SELECT concat(event_type, '/', CAST(distinct_id AS BIGINT) % 3) AS stream, event_type AS metric, CAST(CAST(distinct_id AS BIGINT) % 3 AS VARCHAR) AS shard, browser, ts_ms, event_id, k::DOUBLE AS value FROM ev)"
+query("host_latest", "labelled_points", _MP + " SELECT shard, metric, arg_max(value, (ts_ms, event_id)) AS value, max(ts_ms) AS ts_ms FROM mp GROUP BY 1, 2")(lambda mp: metrics.latest(metrics.with_labels(mp, "shard"), "shard", "metric"))
+query("host_history", "labelled_points", _MP + f" SELECT shard, ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, round(avg(value), 6) AS value FROM mp WHERE shard = '1' AND metric = 'click' GROUP BY 1, 2")(
+    lambda mp: rounded(metrics.reduced(metrics.with_labels(metrics.labelled(mp.filter("metric = 'click'"), {"shard": "1"}), "shard"), "avg", DAY_MS, "shard"), value=6)
+)
+query("metric_by_label", "labelled_points", _MP + f" SELECT browser, shard, ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, sum(value) AS value FROM mp GROUP BY 1, 2, 3")(lambda mp: metrics.reduced(metrics.with_labels(mp, "browser", "shard"), "sum", DAY_MS, "browser", "shard"))
+query("metric_label_filter", "labelled_points", _MP + f" SELECT ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, max(value) AS value FROM mp WHERE shard = '2' AND browser IN ('Chrome', 'Edge') GROUP BY 1")(
+    lambda mp: metrics.reduced(metrics.labelled(mp, {"shard": "2"}, {"browser": ["Chrome", "Edge"]}), "max", DAY_MS)
+)
+query("metric_list", "labelled_points", _MP + " SELECT metric, count(*) AS points, count(DISTINCT stream) AS streams, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM mp GROUP BY 1")(metrics.listed)
+query("metric_labels", "labelled_points", _MP + " SELECT metric, 'browser' AS label, browser AS value, count(*) AS points FROM mp WHERE browser <> '' GROUP BY ALL UNION ALL SELECT metric, 'shard', shard, count(*) FROM mp GROUP BY ALL")(metrics.label_values)
+
 # --- errors --------------------------------------------------------------------------------------------------------
 
 _ERR = """, er AS (SELECT event_id, ts_ms, session_id, distinct_id, release, concat('E', k // 20) AS error_type, concat('cannot load item 1000', k, ' for user', CAST(distinct_id AS BIGINT) % 5) AS message FROM ev WHERE event_type = 'error'),
-  eh AS (SELECT *, md5(concat(error_type, chr(10), regexp_replace(message, '\\b[0-9]{6,}\\b', '<num>', 'g'))) AS group_hash FROM er)"""
+  eh AS (SELECT *, md5(concat(error_type, '|', regexp_replace(message, '\\b[0-9]{6,}\\b', '{num}', 'g'))) AS group_hash FROM er)"""
 query("error_groups", "errors", _ERR + " SELECT group_hash, count(*) AS events, count(DISTINCT distinct_id) AS users, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, arg_max(message, (ts_ms, event_id)) AS message FROM eh GROUP BY 1")(errors.grouped)
 query("error_days", "errors", _ERR + f" SELECT d * {DAY_MS} AS day_ms, count(er.event_id) AS events FROM range({START_MS // DAY_MS - 2}, {START_MS // DAY_MS + 33}) t(d) LEFT JOIN er ON er.ts_ms // {DAY_MS} = d GROUP BY 1")(lambda er: errors.daily(er, START_MS // DAY_MS - 2, 35))
 query("error_spikes", "errors", _ERR + f", n AS (SELECT *, row_number() OVER (PARTITION BY error_type, ts_ms // 60000 ORDER BY ts_ms, event_id) AS n FROM er) SELECT event_id FROM n WHERE n <= 1 OR (n - 1) % 2 = 0")(lambda er: errors.spike_limited(er, "error_type", 1, 2).select("event_id"))
-query("error_bursts", "errors", _ERR + f""", c AS (SELECT ts_ms // {6 * HOUR_MS} AS b, count(*) AS events FROM er GROUP BY 1), m AS (SELECT b, events, coalesce(sum(events) OVER (ORDER BY b RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING), 0) / 12 AS mean FROM c)
-SELECT b * {6 * HOUR_MS} AS bucket_ms, events, round(mean, 6) AS mean FROM m WHERE events >= 5 AND events >= 1.2 * mean""")(lambda er: rounded(errors.bursts(er, 6 * HOUR_MS, 5, 1.2), mean=6))
+query("error_bursts", "errors", _ERR + f""", c AS (SELECT error_type, ts_ms // {6 * HOUR_MS} AS b, count(*) AS events FROM er GROUP BY 1, 2),
+  m AS (SELECT *, coalesce(sum(events) OVER (PARTITION BY error_type ORDER BY b RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING), 0) / 12 AS mean FROM c),
+  x AS (SELECT * FROM m WHERE events >= 3 AND events >= 1.2 * mean),
+  k AS (SELECT error_type, min(b) AS b FROM x GROUP BY 1 UNION ALL SELECT error_type, b FROM (SELECT k.error_type, min(x.b) AS b FROM k JOIN x ON x.error_type = k.error_type AND x.b >= k.b + 4 GROUP BY k.error_type))
+SELECT error_type, b * {6 * HOUR_MS} AS bucket_ms, events, round(mean, 6) AS mean FROM k JOIN x USING (error_type, b)""")(lambda er: rounded(errors.bursts(er, "error_type", 6 * HOUR_MS, 3, 1.2, quiet=4), mean=6))
+ORACLE_SQL["error_bursts"] = ORACLE_SQL["error_bursts"].replace("WITH ", "WITH RECURSIVE ", 1)
+query("issue_releases", "errors", _ERR + " SELECT group_hash, release, count(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM eh WHERE release <> '' GROUP BY 1, 2")(errors.releases_of)
+query("issue_since", "errors", _ERR + f" SELECT group_hash, count(*) AS events, count(DISTINCT distinct_id) AS users FROM eh WHERE ts_ms >= {START_MS + 20 * DAY_MS} GROUP BY 1")(lambda er: errors.counted_since(er, START_MS + 20 * DAY_MS))
+query("release_sparkline", "errors", _ERR + f" SELECT release, ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, count(*) AS events FROM er WHERE release <> '' GROUP BY 1, 2")(lambda er: errors.release_sparkline(er, DAY_MS))
+query("issue_titles", "errors", _ERR + " SELECT DISTINCT group_hash, left(concat(error_type, ': ', message), 120) AS title FROM eh")(lambda er: er.select(errors.group_hash(F.col("error_type"), F.col("message")).alias("group_hash"), errors.title(F.col("error_type"), F.col("message")).alias("title")).distinct())
 
 
 def release_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,8 +396,7 @@ SELECT 'pageviews' AS figure, CAST(count(*) FILTER (event_type = 'pageview') AS
 UNION ALL SELECT 'error_rate', round(avg((event_type = 'error')::DOUBLE), 6) FROM ev UNION ALL SELECT 'trace_error_rate', round(avg(is_error::DOUBLE), 6) FROM sp UNION ALL SELECT 'trace_p95_ms', round(quantile_cont(duration_ms, 0.95), 6) FROM sp"""
 query("alert_states", "events", f""", e AS (SELECT event_type AS rule, ts_ms // {DAY_MS} * {DAY_MS} AS ts_ms, avg(k) AS value, count(*) AS samples FROM ev GROUP BY 1, 2), s AS (SELECT *, CASE WHEN samples < 5 THEN 'no_data' WHEN value > 50 THEN 'firing' ELSE 'healthy' END AS state FROM e),
   b AS (SELECT *, coalesce(last_value(CASE WHEN state <> 'no_data' THEN state END IGNORE NULLS) OVER (PARTITION BY rule ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'healthy') AS before FROM s)
-SELECT rule, ts_ms, round(value, 6) AS value, samples, state, CASE WHEN state <> 'no_data' THEN state = 'firing' AND before = 'healthy' WHEN before = 'healthy' THEN NULL ELSE false END AS opens,
-  CASE WHEN state <> 'no_data' THEN state = 'healthy' AND before = 'firing' WHEN before = 'firing' THEN NULL ELSE false END AS closes FROM b""")(
+SELECT rule, ts_ms, round(value, 6) AS value, samples, state, state = 'firing' AND before = 'healthy' AS opens, state = 'healthy' AND before = 'firing' AS closes FROM b""")(
     lambda ev: rounded(alerts.states(ev.groupBy(F.col("event_type").alias("rule"), F.expr(f"(ts_ms div {DAY_MS}) * {DAY_MS}").alias("ts_ms")).agg(F.avg("k").alias("value"), F.count("*").alias("samples")), 50.0, 5), value=6)
 )
 
@@ -362,7 +406,7 @@ def collapse_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.latest(model.table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-def host_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by host."""
     return model.table(spark, sf_dir, "pages").groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.max_by("url", "page_id").alias("newest_url"))
 
@@ -400,11 +444,11 @@ def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.ranked(joined.groupBy("c_mktsegment", "c_custkey").agg(F.count("*").alias("orders")), "c_mktsegment", "orders", 3)
 
 
-for _f in (collapse_latest, host_latest, order_as_of_ship, prices_in_ranges, model_prices, turns, top_customers):
+for _f in (collapse_latest, pages_by_host, order_as_of_ship, prices_in_ranges, model_prices, turns, top_customers):
     QUERIES[_f.__name__] = _f
 ORACLE_SQL |= {
     "collapse_latest": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1",
-    "host_latest": "SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS pages, arg_max(url, page_id) AS newest_url FROM pages GROUP BY 1",
+    "pages_by_host": "SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS pages, arg_max(url, page_id) AS newest_url FROM pages GROUP BY 1",
     "order_as_of_ship": "SELECT o.o_orderkey, o.o_orderkey % 10 AS l_suppkey, o.o_orderdate AS l_shipdate, l.l_quantity FROM orders o ASOF LEFT JOIN (SELECT l_suppkey, l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) l ON l.l_suppkey = o.o_orderkey % 10 AND o.o_orderdate >= l.l_shipdate",
     "prices_in_ranges": "SELECT concat('band', i) AS band, count(*) AS orders FROM orders JOIN range(12) t(i) ON o_totalprice BETWEEN i * 50000.0 AND i * 50000.0 + 49999.99 GROUP BY 1",
     "model_prices": """WITH p AS (SELECT * FROM (VALUES (NULL, 'S', 1.0), (NULL, 'STANDARD', 8.0), (NULL, 'ECONOMY', 7.0), (NULL, 'E', 7.0), (NULL, 'PROMO', 5.0), ('Brand#11', 'S', 99.0)) t(provider, prefix, price)),

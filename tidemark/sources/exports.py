@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,13 +24,57 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+# Functions that a query may call.
+FUNCTIONS = frozenset(
+    """abs any any_value approx_count_distinct array array_agg array_contains array_join avg between bool_and bool_or ceil ceiling coalesce collect_list collect_set concat concat_ws contains corr count count_if
+    date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dense_rank element_at endswith every exp explode extract filter first first_value floor from_unixtime get_json_object greatest hour if ifnull
+    instr isnotnull isnull lag last last_value lead least left length like ln log lower lpad ltrim max max_by md5 mean median min min_by minute mod month nullif ntile nvl percent_rank percentile percentile_approx pmod pow
+    power quarter rank regexp_extract regexp_like regexp_replace replace right rlike round row_number rpad rtrim second sha2 sign size some split sqrt startswith std stddev stddev_pop stddev_samp substr substring sum timestamp
+    to_date to_timestamp transform trim try_cast try_divide unix_millis unix_timestamp upper var_pop var_samp variance week weekofyear when xxhash64 year
+    and or not + - * / % = == < > <= >= <> != <=> ||""".split()
+)
+
+
+def _unscoped(plan: str, tables: set[str]) -> str | None:
+    """What a parsed plan (JSON) names beyond tables, its own common table expressions and FUNCTIONS."""
+    found: list[tuple[str, str]] = []
+    own: set[str] = set()
+
+    def walk(node: object) -> None:
+        if isinstance(node, list):
+            for x in node:
+                walk(x)
+        elif isinstance(node, dict):
+            kind = str(node.get("class", "")).rsplit(".", 1)[-1]
+            names = [x.strip().lower() for x in str(node.get("multipartIdentifier", node.get("nameParts", node.get("name", "")))).strip("[]").split(",")]
+            if kind in ("UnresolvedRelation", "UnresolvedFunction"):
+                found.append((kind, ".".join(names)))
+            elif kind in ("UnresolvedTableValuedFunction", "UnresolvedTableSpec", "UnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier", "ScriptTransformation", "UnresolvedInlineTable"):
+                found.append((kind, kind))
+            own.update(str(x["_1"]).lower() for x in node.get("cteRelations", ()))
+            for x in node.values():
+                walk(x)
+
+    walk(json.loads(plan))
+    for kind, name in found:
+        if name not in (tables | own if kind == "UnresolvedRelation" else FUNCTIONS):
+            return name
+    return None
+
+
 def ask(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100) -> DataFrame:
     """At most limit rows of a query over Parquet tables, given by name and path.
 
     The query is wrapped as a subquery, which Spark's own parser accepts for queries alone, in a session of its own
-    that knows no other view.
+    that reads no files by path. What the parsed query names must be among the tables, its common table expressions
+    and FUNCTIONS; anything else is refused before anything runs.
     """
     own = spark.newSession()
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    text = f"SELECT * FROM ({query}\n) LIMIT {int(limit)}"
+    plan = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if other := _unscoped(plan.toJSON(), {t.lower() for t in tables}):
+        raise ValueError(f"not in scope: {other}")
     for name, path in tables.items():
         own.read.parquet(path).createOrReplaceTempView(name)
-    return own.sql(f"SELECT * FROM ({query}\n) LIMIT {int(limit)}")
+    return own.sql(text)

@@ -9,6 +9,11 @@ BROWSERS = ("Chrome", "Firefox", "Safari", "Edge", "")
 COUNTRIES = ("DE", "FR", "US", "")
 SOURCES = ("", "google", "twitter", "facebook", "")
 REFERRERS = ("", "https://www.google.com/search", "https://t.co/x", "https://news.example.org/a", "https://chatgpt.com/")
+#: Further dimensions: values, and the number that picks one.
+MORE = {
+    "os": (("Windows", "macOS", "iOS", "Android", "Linux", ""), "user_id"), "device": (("desktop", "mobile", "tablet"), "user_id"), "language": (("de", "fr", "en", ""), "user_id"),
+    "screen": (("1920x1080", "390x844", "", "820x1180"), "user_id"), "utm_medium": (("", "cpc", "email", "organic", "", "social", "newsletter"), "event_id"), "utm_campaign": (("", "spring", "launch"), "event_id"),
+}
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 
 
@@ -36,7 +41,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("distinct_id"), F.when(F.col("event_type") == "view", "pageview").otherwise(F.col("event_type")).alias("event_type"),
         F.concat(F.lit("/"), F.expr("cast(get_json_object(props, '$.k') as bigint) div 10")).alias("pathname"), k.alias("k"), "value", "props",
         one_of(BROWSERS, "user_id").alias("browser"), one_of(COUNTRIES, "user_id").alias("country"), one_of(SOURCES, "event_id").alias("utm_source"), one_of(REFERRERS, "event_id").alias("referrer"),
-        F.concat(F.lit("1."), F.expr("dayofmonth(ts) div 10")).alias("release"),
+        F.concat(F.lit("1."), F.expr("dayofmonth(ts) div 10")).alias("release"), *[one_of(values, number).alias(name) for name, (values, number) in MORE.items()],
     )
 
 
@@ -59,6 +64,13 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.concat_ws("/", "event_type", F.col("distinct_id").cast("long") % 3).alias("stream"), F.col("event_type").alias("metric"), "ts_ms", "event_id", F.col("k").cast("double").alias("value"))
 
 
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metric_points with their labels: the third of the users as shard, and the browser."""
+    shard = (F.col("distinct_id").cast("long") % 3).cast("string")
+    labels = F.map_from_arrays(F.array(F.lit("shard"), F.lit("browser")), F.array(shard, F.col("browser")))
+    return events(spark, sf_dir).select(F.concat_ws("/", "event_type", shard).alias("stream"), F.col("event_type").alias("metric"), "ts_ms", "event_id", F.col("k").cast("double").alias("value"), labels.alias("attributes"))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: its type gives the level, user and page the message, properties the attributes."""
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "WARN").when(F.col("event_type") == "click", "debug").otherwise("info")
@@ -81,7 +93,7 @@ SQL_EVENTS = """ev AS (
     (['Chrome', 'Firefox', 'Safari', 'Edge', ''])[user_id % 5 + 1] AS browser, (['DE', 'FR', 'US', ''])[user_id % 4 + 1] AS country,
     (['', 'google', 'twitter', 'facebook', ''])[event_id % 5 + 1] AS utm_source,
     (['', 'https://www.google.com/search', 'https://t.co/x', 'https://news.example.org/a', 'https://chatgpt.com/'])[event_id % 5 + 1] AS referrer,
-    concat('1.', day(ts) // 10) AS release
+    concat('1.', day(ts) // 10) AS release, """ + ", ".join(f"({list(values)})[{number} % {len(values)} + 1] AS {name}" for name, (values, number) in MORE.items()) + """
   FROM events)"""
 SQL_SPANS = """sp AS (
   SELECT l_orderkey AS trace_id, l_orderkey * 10 + l_linenumber AS span_id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + l_linenumber // 2 END AS parent_span_id,
