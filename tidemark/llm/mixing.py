@@ -129,17 +129,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document taken whole and once keeps its text as it is; one that is not taken is left out.
     """
     payload = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("document"))
-    rows, sources, offsets = _laid_out(payload, "text", "document")
+    rows, sources, offsets = _laid_out(payload, "document")
     drawn = draws(sources).select("sid", "block", "pass_no")
     pieces = _pieces(offsets).join(drawn.hint("merge"), ["sid", "block"])
     taken = pieces.groupBy("tie").agg(F.array_sort(F.collect_list(F.struct("pass_no", "first", "words"))).alias("taken"), F.sum("words").alias("n"), F.max("pass_no").alias("passes"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    text = F.col("document")["text"].cast("string")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
     def pieces_of(w: Column) -> Column:
         return F.array_join(F.flatten(F.transform("taken", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
 
     picked = F.transform(F.array(words), pieces_of)[0]  # one array of the words, cut into once per row
     once = (F.col("n") == F.col("size")) & (F.col("passes") == 0)
-    joined = rows.join(taken, "tie").withColumn("text", F.when(once, F.col("text")).otherwise(picked))
+    joined = rows.join(taken, "tie").withColumn("text", F.when(once, text).otherwise(picked))
     out = {c: F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col("document")[c] for c in docs.columns}
     return joined.select(*[expr.alias(c) for c, expr in out.items()])
