@@ -113,8 +113,9 @@ def words_of(text: str) -> list[str]:
 def toxic_forms(labelled: DataFrame) -> DataFrame:
     """(form) of the forms that mark toxic tokens, from all rows of labelled (text, toxic).
 
-    Forms are counted once per document; those in at least LEAST_DOCS toxic documents and LEAST_LIFT times commoner
-    there stay. The forms of a table without toxic rows are none.
+    Forms are counted once per document, and once for equal toxic texts, so that the words of one text that was copied
+    do not count as many; those in at least LEAST_DOCS toxic texts and LEAST_LIFT times commoner there stay. The forms
+    of a table without toxic rows are none.
     """
 
     def cut(batches):
@@ -130,8 +131,9 @@ def toxic_forms(labelled: DataFrame) -> DataFrame:
     def found(value: int) -> DataFrame:
         return labelled.filter(F.col("toxic") == value).select("text", F.col("toxic").cast("int")).mapInArrow(cut, "form string, toxic int")
 
-    rows = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = rows.get(1, 0), rows.get(0, 0)
+    bad = labelled.filter("toxic = 1").select(F.xxhash64("text").alias("h")).distinct().count()
+    good = labelled.filter("toxic = 0").count()
+    labelled = labelled.filter("toxic = 0").unionByName(labelled.filter("toxic = 1").dropDuplicates(["text"]))
     of_toxic = materialize(found(1).groupBy("form").agg(F.count("*").alias("b")).filter(F.col("b") >= LEAST_DOCS), "toxic-forms")
     few = of_toxic.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     wanted = of_toxic.select("form")
