@@ -245,3 +245,19 @@ def test_user_agents(spark, agent, expected):
 def test_aliases_and_pages(spark):
     aliases = traffic.canonical(spark.createDataFrame([("c", "b"), ("b", "a"), ("d", "c")], "alias string, target string"), 2)
     assert {tuple(r) for r in aliases.collect()} == {("c", "a"), ("b", "a"), ("d", "a")}
+
+
+@pytest.mark.parametrize(
+    ("ip", "expected"),
+    [
+        ("1.2.3.4", (False, 0x01020304)), ("255.255.255.255", (False, 0xFFFFFFFF)), ("::ffff:1.2.3.4", (False, 0x01020304)), ("::FFFF:102:304", (False, 0x01020304)),
+        ("2001:db8::1", (True, 0x20010DB800000000)), ("::1", (True, 0)), ("::", (True, 0)), ("1:2:3:4:5:6:7:8", (True, 0x0001000200030004)), ("1:2:3:4:5:6:7::", (True, 0x0001000200030004)),
+        ("64:ff9b::1.2.3.4", (True, 0x0064FF9B00000000)), ("01.2.3.4", None), ("256.1.1.1", None), ("1.2.3", None), ("1:2:3:4:5:6:7", None), ("1:2:3:4::5:6:7:8", None), ("1::2::3", None), (":::", None),
+        ("fe80::1%eth0", None), ("12345::", None), ("", None), ("host", None), (None, None),
+    ],
+)
+def test_addresses(spark, ip, expected):
+    from tidemark.functions.addresses import address
+
+    found = spark.createDataFrame([(ip,)], "ip string").select(address(F.col("ip")).alias("a")).first()["a"]
+    assert (found and tuple(found)) == expected

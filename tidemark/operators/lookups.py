@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.addresses import address
+
 
 def price_of(calls: DataFrame, prices: DataFrame, key: str, now_ms: int) -> DataFrame:
     """calls (key, model, provider) with the valid price of the longest model prefix; the provider's own come first.
@@ -36,6 +38,21 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, width: int) -> Data
     return points.withColumn("cell", F.floor(F.col(at) / width)).join(cells, "cell").filter(F.col(at).between(F.col("lo"), F.col("hi"))).drop("cell")
 
 
+def country_of(visits: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
+    """visits with the country of their address, empty where it is no address or lies in no range.
+
+    ranges (v6, lo, hi, country) don't overlap; IPv6 bounds are of the first 64 bits, and those from 2^63 on are
+    delegated to nobody. Ranges meet addresses by equality on their first 16 bits (IPv4) or 20 bits (IPv6), so the
+    widest delegations, of 8 and 12 bits, stand in 256 cells.
+    """
+    cells = ranges.filter("not v6").withColumn("cell", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    cells = cells.unionByName(ranges.filter("v6").withColumn("cell", F.explode(F.sequence(F.shiftright("lo", 44), F.shiftright("hi", 44)))))
+    at = visits.withColumn("net", address(F.col(ip))).withColumn("net_cell", F.shiftright("net.at", 16))
+    at = at.withColumn("net_cell", F.when(F.col("net.v6"), F.shiftright("net.at", 44)).otherwise(F.col("net_cell")))
+    held = (F.col("net.v6") == F.col("v6")) & (F.col("net_cell") == F.col("cell")) & F.col("net.at").between(F.col("lo"), F.col("hi"))
+    return at.join(cells, held, "left").withColumn("country", F.coalesce("country", F.lit(""))).drop("net", "net_cell", "v6", "lo", "hi", "cell")
+
+
 def missed(checkins: DataFrame, now_ms: int, every_ms: int, grace_ms: int) -> DataFrame:
     """Monitors (monitor, ts_ms) whose last check-in is older than schedule and grace."""
     return checkins.groupBy("monitor").agg(F.max("ts_ms").alias("last_ms")).filter(F.col("last_ms") + every_ms + grace_ms < now_ms)
