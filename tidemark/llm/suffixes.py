@@ -2,7 +2,7 @@
 
 Sorting every suffix is not needed to find strings of `length` bytes that occur twice. Each string of that length is
 owned by one suffix: the one that starts at the smallest hash of a GRAM-byte gram among its first WINDOW positions.
-Equal strings have their owners at equal places, so it is enough to sort the owners (one suffix in about 64), and of
+Equal strings have their owners at equal places, so it is enough to sort the owners (one suffix in about 128), and of
 these only those whose first length - WINDOW + 1 bytes have a hash that occurs twice in the corpus.
 
 The owners of a task are sorted into a run and cut into segments, so that suffixes with equal beginnings reach the
@@ -11,10 +11,12 @@ merges its segments with a loser tree that keeps, for each loser, the length it
 comparisons start behind that length, so no known prefix is compared again. The merged order comes with the lengths
 shared by neighbours, and from those and the few bytes before each owner follow the repeated strings.
 
-Owners whose whole stretch (all strings they own) occurs twice need no order: all their strings are repeated. One of
-them stands for the others where the same beginning goes on in different ways. A beginning that goes on in more than
-HOT_KINDS ways is not brought together: the strings of its owners are digested, and the digests are counted by a
-plain aggregate, combined inside tasks first.
+Digests choose what is sorted and where, and decide nothing: an owner whose beginning has a hash of its own shares no
+string with another, all others are sorted and compared byte by byte. Equal stretches of a run fall together when it is
+sorted and travel once, with their number, so a passage that many documents share reaches its part once a run. A
+beginning that goes on in more than HOT_KINDS ways is not brought together: its owners stand for narrower ranges of
+offsets, whose strings have more bytes in common, and are dealt by the hash of these; in the end each offset alone, where
+what is dealt together are equal strings.
 """
 
 from __future__ import annotations
@@ -23,17 +25,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, text_bytes
+from tidemark.llm.common import beside, chunks, text_bytes
 from tidemark.storage import materialize
 
 LENGTH = 400
-WINDOW = 128
+WINDOW = 256
 GRAM = 32
-#: Different stretches that share a beginning, from which on their strings are counted by digests.
+#: Different stretches that share a beginning, above which its owners are dealt by narrower ranges of offsets.
 HOT_KINDS = 50_000
+#: Offsets in a range, from one split to the next.
+WIDTHS = (16, 1)
+#: Crowded beginnings that may travel to the rows.
+SMALL_ROWS = 100_000
 #: Suffixes that one part merges, on average, and bytes of suffixes that a task sorts into one run.
 PART_SUFFIXES = 20_000
 RUN_BYTES = 32 << 20
@@ -182,13 +189,15 @@ def merge(runs: list[Run]):
         winner, lcp = going
 
 
-def repeated_strings(lcp: np.ndarray, least: np.ndarray, most: np.ndarray, before: np.ndarray, length: int) -> np.ndarray:
+def repeated_strings(lcp: np.ndarray, count: np.ndarray, least: np.ndarray, most: np.ndarray, before: np.ndarray, length: int) -> np.ndarray:
     """hits[i, o]: the string that starts o bytes before the i-th suffix occurs again among these.
 
-    lcp: of each suffix with the one before it in order; before[i, o]: the byte o + 1 places before suffix i.
+    lcp: of each suffix with the one before it in order; count: how many stretches it stands for; before[i, o]: the
+    byte o + 1 places before suffix i.
     """
     n = len(lcp)
-    hits = np.zeros((n, WINDOW), bool)
+    offsets = np.arange(WINDOW)
+    hits = (count > 1)[:, None] & (least[:, None] <= offsets) & (offsets <= most[:, None])
     names = np.zeros(n, np.int64)
     near = np.maximum(lcp, np.append(lcp[1:], 0))
     alive = near >= length - most
@@ -204,10 +213,8 @@ def repeated_strings(lcp: np.ndarray, least: np.ndarray, most: np.ndarray, befor
         group = np.cumsum(lcp < length - o)[mine] * n + names[mine]
         order = np.argsort(group, kind="stable")
         same = group[order][1:] == group[order][:-1]
-        again = np.zeros(len(mine), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        hits[mine, o] = again
+        hits[mine[order[1:][same]], o] = True
+        hits[mine[order[:-1][same]], o] = True
     return hits
 
 
@@ -234,12 +241,8 @@ def _beginnings(docs: DataFrame, length: int) -> DataFrame:
     return each.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "begins")).alias("one")).select("key", "copies", "one.*")
 
 
-def _shared_beginnings(texts: DataFrame, hot: int) -> DataFrame:
-    """(id, whole, owners, hot_owners): ordinals of a text's owners whose beginning occurs again.
-
-    whole: those whose stretch occurs again; owners and hot_owners: one of each stretch, where a beginning goes on in
-    different ways, up to hot of them or above.
-    """
+def _listed(texts: DataFrame) -> DataFrame:
+    """(core, stretch, id, ordinal, slot, width): the owners of the texts, by the hash of their beginning."""
 
     def run(batches):
         for batch in batches:
@@ -249,133 +252,190 @@ def _shared_beginnings(texts: DataFrame, hot: int) -> DataFrame:
             hashes = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1])), pa.array(np.repeat(ids, counts)), pa.array(ordinal.astype(np.int32))],
-                names=["begin", "stretch", "id", "ordinal"],
+                names=["core", "stretch", "id", "ordinal"],
             )
 
-    each = texts.filter("octet_length(begins) > 0").select("id", "begins").mapInArrow(run, "begin long, stretch long, id long, ordinal int")
-    twice = each.groupBy("begin").agg(F.count("*").alias("n"), (F.min("stretch") < F.max("stretch")).alias("mixed")).filter("n > 1").drop("n")
-    again = materialize(each.join(twice, "begin"), "suffix-shared")
-    mixed = again.filter("mixed")
-    kinds = mixed.groupBy("begin", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("id", "ordinal")).alias("one"))
-    crowd = kinds.groupBy("begin").agg((F.count("*") > hot).alias("hot"))
-    sorted_ = kinds.select("begin", "one.*").join(crowd, "begin").select("id", F.when(F.col("hot"), "hot").otherwise("sort").alias("role"), "ordinal")
-    of_many = mixed.join(kinds.filter("n > 1").select("begin", "stretch"), ["begin", "stretch"]).select("id", F.lit("whole").alias("role"), "ordinal")
-    whole = again.filter("not mixed").select("id", F.lit("whole").alias("role"), "ordinal")
+    each = texts.filter("octet_length(begins) > 0").select("id", "begins").mapInArrow(run, "core long, stretch long, id long, ordinal int")
+    return each.select("*", F.lit(0).alias("slot"), F.lit(WINDOW).alias("width"))
+
+
+def _narrowed(hot: DataFrame, width: int, length: int) -> DataFrame:
+    """The owners of hot (id, text, items) by ranges of width offsets, with the hash of what a range's strings share.
+
+    Slot s holds the offsets from s * width; only the slots inside an item's own range count.
+    """
+
+    def run(batches):
+        for batch in batches:
+            starts, data = text_bytes(batch.column("text"))
+            raw, ids = data.data, batch.column("id").to_pylist()
+            for r, a, least, most, item in _cut(batch, length):
+                found = []
+                from_o, to_o = item["slot"] * item["width"], (item["slot"] + 1) * item["width"] - 1
+                for slot in range(max(least, from_o) // width, min(most, to_o) // width + 1):
+                    lo, hi = slot * width, (slot + 1) * width - 1
+                    core = raw[max(a - lo, 0) : a + length - hi]
+                    stretch = raw[a - min(most, hi) : a + length - max(least, lo)]
+                    found.append((_digest(core), _digest(stretch), ids[r], item["ordinal"], slot, width))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["core", "stretch", "id", "ordinal", "slot", "width"])
+
+    return hot.select("id", "text", "items").mapInArrow(run, "core long, stretch long, id long, ordinal int, slot int, width int")
+
+
+def _digest(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
-    def ordinals(role: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("ordinal"))))
 
-    roles = sorted_.unionByName(of_many).unionByName(whole)
-    return roles.groupBy("id").agg(ordinals("whole").alias("whole"), ordinals("sort").alias("owners"), ordinals("hot").alias("hot_owners"))
+def _items(rows: DataFrame) -> DataFrame:
+    """(id, items): what is sorted of a text, in the order of its owners."""
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "slot", "width", "core"))).alias("items"))
 
 
-def _cut(batch: pa.RecordBatch, column: str, length: int):
-    """(row, owner's byte position, least, most, beginning) of the listed owners of each text; columns text and column."""
+def _shared_cores(texts: DataFrame, with_text, hot: int, length: int) -> DataFrame:
+    """(id, items): the owners of a text that may share a string with another owner.
+
+    with_text joins the texts to such a table. What shares a core is at most hot kinds of stretches, or equal strings.
+    """
+    level, sorted_ = _listed(texts), None
+    for width in (*WIDTHS, None):
+        twice = level.groupBy("slot", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        again = materialize(level.join(twice, ["slot", "core"]), "suffix-shared")
+        kinds = again.groupBy("slot", "core", "stretch").agg(F.lit(1)).groupBy("slot", "core").agg(F.count("*").alias("n"))
+        crowded = materialize(kinds.filter(F.col("n") > hot).drop("n"), "suffix-crowded")
+        if width is None or crowded.isEmpty():
+            return _items(again if sorted_ is None else sorted_.unionByName(again))
+        crowded = beside(crowded, SMALL_ROWS)
+        calm = again.join(crowded, ["slot", "core"], "left_anti")
+        sorted_ = calm if sorted_ is None else sorted_.unionByName(calm)
+        level = materialize(_narrowed(with_text(_items(again.join(crowded, ["slot", "core"], "left_semi"))), width, length), "suffix-narrowed")
+
+
+def _cut(batch: pa.RecordBatch, length: int):
+    """(row, owner's byte position in the batch, least, most, item) of the listed items; columns text and items."""
     starts, data = text_bytes(batch.column("text"))
-    lists = batch.column(column)
+    lists = batch.column("items")
     for lo, hi in chunks(starts):
         base = starts[lo]
-        text, position, least, most, begin, _ = owners(data[base : starts[hi]], starts[lo : hi + 1] - base, length)
-        first = np.searchsorted(text, np.arange(hi - lo + 1))
-        pick = np.concatenate([np.zeros(0, np.int64), *(first[i] + np.array(lists[lo + i].as_py(), np.int64) for i in range(hi - lo))])
-        yield lo + text[pick], base + position[pick], least[pick], most[pick], begin[pick]
+        text, position, least, most, _, _ = owners(data[base : starts[hi]], starts[lo : hi + 1] - base, length)
+        first = np.searchsorted(text, np.arange(hi - lo))
+        for row in range(lo, hi):
+            for item in lists[row].as_py():
+                at = first[row - lo] + item["ordinal"]
+                yield row, int(base + position[at]), int(least[at]), int(most[at]), item
 
 
 def _runs(candidates: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, front-coded segment, and for each suffix its text, place, bytes before it)."""
-    names = ["part", "prefix", "rests", "sizes", "ids", "places", "least", "most", "before"]
-
-    def flush(found: list[tuple]):
-        found.sort(key=lambda x: (x[0], x[1]))
-        edges = np.flatnonzero(np.diff([x[0] for x in found], prepend=-1))
-        rows = []
-        for a, b in zip(edges, np.append(edges[1:], len(found)), strict=True):
-            part = found[a:b]
-            prefix, rests, sizes = front_code([x[1] for x in part])
-            ids, places, least, most = (np.array([x[k] for x in part], kind).tobytes() for k, kind in ((2, "<i8"), (3, "<i8"), (4, np.uint8), (5, np.uint8)))
-            rows.append((part[0][0], prefix.tobytes(), rests, sizes.tobytes(), ids, places, least, most, b"".join(x[6] for x in part)))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+    """(part, serial, front-coded segment, and for each different stretch the bytes before it and where it stands).
+
+    A stretch stands for all its equals in the run: count of them, ids and places.
+    """
+    names = ["part", "serial", "prefix", "rests", "sizes", "least", "most", "before", "count", "ids", "places"]
+
+    def flush(found: list[tuple], serial: int):
+        found.sort()
+        rows, a = [], 0
+        while a < len(found):
+            part, strings, places = found[a][0], [], []
+            while a < len(found) and found[a][0] == part:
+                b = a + 1
+                while b < len(found) and found[b][:5] == found[a][:5]:
+                    b += 1
+                strings.append((*found[a][1:5], b - a))
+                places += found[a:b]
+                a = b
+            prefix, rests, sizes = front_code([x[0] for x in strings])
+            least, most = (np.array([x[k] for x in strings], np.uint8).tobytes() for k in (1, 2))
+            count = np.array([x[4] for x in strings], "<i4").tobytes()
+            ids, at = (np.array([x[k] for x in places], "<i8").tobytes() for k in (5, 6))
+            before = b"".join(x[3] for x in strings)
+            rows.append((part, serial + len(rows), prefix.tobytes(), packed(rests), sizes.tobytes(), least, most, packed(before), count, ids, at))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 9)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
+        serial = TaskContext.get().partitionId() << 32
         found: list[tuple] = []
         held = 0
         for batch in batches:
             starts, data = text_bytes(batch.column("text"))
-            raw, ids = data.data, batch.column("id").to_pylist()
-            for cut in _cut(batch, "owners", length):
-                row, position, least, most, begin = cut
-                part = (begin % np.uint64(parts)).tolist()
-                for i, (r, a, lo, hi) in enumerate(zip(row.tolist(), position.tolist(), least.tolist(), most.tolist(), strict=True)):
-                    found.append((part[i], bytes(raw[a : a + length - lo]), ids[r], a - int(starts[r]), lo, hi, bytes(raw[a - hi : a])))
-                held += (length + WINDOW) * len(row)
+            raw, ids, starts = data.data, batch.column("id").to_pylist(), starts.tolist()
+            for r, a, least, most, item in _cut(batch, length):
+                slot, width = item["slot"], item["width"]
+                least, most = max(least, slot * width), min(most, (slot + 1) * width - 1)
+                part = (item["core"] + slot * ODD) % parts
+                found.append((part, bytes(raw[a : a + length - least]), least, most, bytes(raw[a - most : a]), ids[r], a - starts[r]))
+                held += length + WINDOW
                 if held > RUN_BYTES:
-                    yield flush(found)
+                    segments = flush(found, serial)
+                    yield segments
+                    serial += segments.num_rows
                     found, held = [], 0
         if found:
-            yield flush(found)
+            yield flush(found, serial)
+
+    return candidates.select("id", "text", "items").mapInArrow(run, "part int, serial long, " + ", ".join(f"{c} binary" for c in names[2:]))
+
+
+def packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
 
-    return candidates.select("id", "text", "owners").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in names[1:]))
+def unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True) if raw else b""
 
 
 def _merged(runs: DataFrame, length: int) -> DataFrame:
-    """(id, start, end): bytes of a text that repeated strings cover, by owner."""
+    """(serial, hits): of each segment, (entry, first offset, last offset) of strings that occur again, as integers."""
 
     def run(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).to_pylist() for c in table.column_names}
-        segments = [Run(np.frombuffer(p, np.int16), r, np.frombuffer(s, np.int16)) for p, r, s in zip(column["prefix"], column["rests"], column["sizes"], strict=True)]
-        offset = np.concatenate(([0], np.cumsum([len(s.prefix) for s in segments])))
+        segments = [Run(np.frombuffer(p, np.int16), unpacked(r), np.frombuffer(s, np.int16)) for p, r, s in zip(column["prefix"], column["rests"], column["sizes"], strict=True)]
+        sizes = [len(s.prefix) for s in segments]
+        offset = np.concatenate(([0], np.cumsum(sizes)))
         merged = list(merge(segments))
-        order = np.array([offset[r] + i for r, i, _ in merged], np.int64)
-        lcp = np.array([x[2] for x in merged], np.int64)
-        ids, places = (np.frombuffer(b"".join(column[c]), "<i8")[order] for c in ("ids", "places"))
+        source = np.array([r for r, _, _ in merged], np.int64)
+        entry = np.array([i for _, i, _ in merged], np.int64)
+        lcp = np.array([k for _, _, k in merged], np.int64)
+        order = offset[source] + entry
+        count = np.frombuffer(b"".join(column["count"]), "<i4")[order]
         least, most = (np.frombuffer(b"".join(column[c]), np.uint8).astype(np.int64) for c in ("least", "most"))
         ends = np.cumsum(most)[order]
         least, most = least[order], most[order]
-        flat = np.frombuffer(b"".join(column["before"]), np.uint8)
-        back = ends[:, None] - 1 - np.arange(WINDOW - 1)
-        before = np.where(np.arange(WINDOW - 1) < most[:, None], flat[np.maximum(back, 0)] if len(flat) else 0, 0).astype(np.int64)
-        hits = repeated_strings(lcp, least, most, before, length)
+        flat = np.frombuffer(b"".join(map(unpacked, column["before"])), np.uint8)
+        before = np.zeros((len(order), WINDOW - 1), np.uint8)
+        for o in range(WINDOW - 1):
+            has = np.flatnonzero(most > o)
+            before[has, o] = flat[ends[has] - 1 - o]
+        hits = repeated_strings(lcp, count, least, most, before, length)
         edge = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, from_o = np.nonzero(edge == 1)
         _, to_o = np.nonzero(edge == -1)
-        return pa.table({"id": ids[row], "start": places[row] - (to_o - 1), "end": places[row] - from_o + length})
-
-    return runs.groupBy("part").applyInArrow(run, "id long, start long, end long")
+        by = np.argsort(source[row], kind="stable")
+        found = np.column_stack((entry[row], from_o, to_o - 1))[by].astype("<i4")
+        cut = np.searchsorted(source[row][by], np.arange(len(segments) + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table({"serial": pa.array([column["serial"][i] for i in some], pa.int64()), "hits": pa.array([found[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())})
 
+    return runs.select("part", "serial", "prefix", "rests", "sizes", "least", "most", "before", "count").groupBy("part").applyInArrow(run, "serial long, hits binary")
 
-def _whole(candidates: DataFrame, length: int) -> DataFrame:
-    """(id, start, end) of stretches that occur again, neighbours joined."""
 
-    def run(batches):
-        for batch in batches:
-            starts, _ = text_bytes(batch.column("text"))
-            ids = batch.column("id").to_numpy()
-            for row, position, least, most, _ in _cut(batch, "whole", length):
-                start, end = position - most - starts[row], position - least + length - starts[row]
-                new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > end[:-1]))) if len(row) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(row))[: len(first)] - 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(start[first]), pa.array(end[last])], names=["id", "start", "end"])
-
-    return candidates.filter("size(whole) > 0").select("id", "text", "whole").mapInArrow(run, "id long, start long, end long")
-
-
-def _counted(candidates: DataFrame, length: int) -> DataFrame:
-    """(id, start, end) of the strings of hot owners that occur again, found by digests."""
+def _placed(runs: DataFrame, merged: DataFrame, length: int) -> DataFrame:
+    """(id, start, end): bytes of a text that repeated strings cover, by owner."""
 
     def run(batches):
         for batch in batches:
-            starts, data = text_bytes(batch.column("text"))
-            raw, ids = data.data, batch.column("id").to_pylist()
-            for row, position, least, most, _ in _cut(batch, "hot_owners", length):
-                for r, a, lo, hi in zip(row.tolist(), position.tolist(), least.tolist(), most.tolist(), strict=True):
-                    at = range(a - hi, a - lo + 1)
-                    digests = [hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([ids[r]] * len(at), pa.int64()), pa.array([p - int(starts[r]) for p in at], pa.int64())], names=["digest", "id", "start"])
+            for count, ids, places, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count = np.frombuffer(count, "<i4").astype(np.int64)
+                entry, from_o, to_o = np.frombuffer(hits, "<i4").reshape(-1, 3).T.astype(np.int64)
+                many = count[entry]
+                which = np.repeat((np.cumsum(count) - count)[entry], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                place = np.frombuffer(places, "<i8")[which]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(ids, "<i8")[which]), pa.array(place - np.repeat(to_o, many)), pa.array(place - np.repeat(from_o, many) + length)], names=["id", "start", "end"]
+                )
 
-    each = candidates.filter("size(hot_owners) > 0").select("id", "text", "hot_owners").mapInArrow(run, "digest binary, id long, start long")
-    twice = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    return each.join(twice, "digest").select("id", "start", (F.col("start") + length).alias("end"))
+    return runs.select("serial", "count", "ids", "places").join(merged, "serial").select("count", "ids", "places", "hits").mapInArrow(run, "id long, start long, end long")
 
 
 def _kept(candidates: DataFrame, spans: DataFrame) -> DataFrame:
@@ -401,7 +461,7 @@ def _kept(candidates: DataFrame, spans: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    by_text = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    by_text = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     return candidates.select("id", "key", "text").join(by_text, "id").select("key", "text", "found").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
@@ -412,22 +472,24 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT_KINDS)
     row included, or elsewhere in the same text. spans lists start:end of the maximal removed runs, in bytes. Null
     texts are empty; texts under `length` bytes keep everything; an empty table gives an empty result.
     """
-    if length < 2 * WINDOW + GRAM or length >= 1 << 15:
-        raise ValueError(f"length must be from {2 * WINDOW + GRAM} to {(1 << 15) - 1}")
+    if length < WINDOW + GRAM or length >= 1 << 15:
+        raise ValueError(f"length must be from {WINDOW + GRAM} to {(1 << 15) - 1}")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), body.alias("text"))
     keyed = docs.withColumn("key", text_key(F.col("text")))
     texts = materialize(_beginnings(keyed.filter(F.octet_length("text") >= length), length), "suffix-texts")
     texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "suffix-ids")
-    found = _shared_beginnings(texts, hot)
-    listed = found.join(texts.select("id", "key", F.col("doc").alias("d"), F.col("copies")), "id").withColumnRenamed("key", "k")
-    candidates = materialize(
-        keyed.join(listed, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))).select("id", "key", "copies", "text", "whole", "owners", "hot_owners"), "suffix-candidates"
-    )
-    suffixes = candidates.agg(F.coalesce(F.sum(F.size("owners")), F.lit(0))).first()[0]
+
+    def with_text(items: DataFrame) -> DataFrame:
+        """items with the text of one row of each different text."""
+        listed = items.join(texts.select("id", F.col("key").alias("k"), F.col("doc").alias("d"), "copies"), "id")
+        return keyed.join(listed, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))).select("id", "key", "copies", "text", "items")
+
+    candidates = materialize(with_text(_shared_cores(texts, with_text, hot, length)), "suffix-candidates")
+    suffixes = candidates.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // PART_SUFFIXES))
-    runs = materialize(_runs(candidates.filter("size(owners) > 0"), parts, length), "suffix-runs")
-    spans = _whole(candidates.filter("copies = 1"), length).unionByName(_merged(runs, length)).unionByName(_counted(candidates, length))
+    runs = materialize(_runs(candidates, parts, length), "suffix-runs")
+    spans = _placed(runs, _merged(runs, length), length)
     changed = _kept(candidates.filter("copies = 1"), spans)
     whole = texts.filter("copies > 1").select("key", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit(None).cast("string").alias("spans"))
     base = keyed.select("doc", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
