@@ -68,3 +68,33 @@ def test_loser_tree_orders_and_knows_prefixes():
     assert [s for s, _ in merged] == sorted(s for r in runs for s in r)
     for (a, _), (b, lcp) in zip(merged, merged[1:], strict=False):
         assert lcp == suffixes.shared(a, b, 0)
+
+
+def test_a_passage_that_many_documents_share(spark):
+    """One passage in 300 of 400 rows over 16 partitions, cut at other places in each, and rows that repeat others."""
+    rng = random.Random(11)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    passage = noise(900)
+    rows = [(k, noise(rng.randrange(500)) + (passage[k % 7 * 30 : 900 - k % 5 * 40] if k % 4 else noise(200)) + noise(rng.randrange(500))) for k in range(400)]
+    rows += [rows[1], rows[1], (900, rows[2][1]), (901, rows[3][1] + rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert order(result(suffixes.repeated_bytes(docs))) == order(brute(rows, 400))
+
+
+def test_a_text_of_megabytes(spark):
+    """Random letters hold no other long repeats: what goes is the planted passage, and where a third text holds its end."""
+    rng = np.random.default_rng(4)
+    letters = "".join(map(chr, rng.integers(97, 123, 3_000_000, dtype=np.uint8)))
+    passage = letters[1_000_000:1_000_600]
+    text = letters[:2_500_000] + "-" + passage + "+" + letters[2_500_000:]
+    docs = spark.createDataFrame([(1, text), (2, "!" + passage[-450:] + "?"), (3, letters[:399])], "doc_id long, text string")
+    found = {r[0]: r[1:4] for r in result(suffixes.repeated_bytes(docs))}
+    assert found == {1: (3_000_602, 1200, 2), 2: (452, 450, 1), 3: (399, 0, 0)}
+
+
+def test_segments_are_packed_whole():
+    for raw in (b"", b"a", bytes(range(256)) * 900):
+        assert suffixes.unpacked(suffixes.packed(raw)) == raw
