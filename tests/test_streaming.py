@@ -39,6 +39,13 @@ def test_rollups_of_closed_and_open_hours(spark, tmp_path):
     assert finish(jobs.idle_sessions(df, "10 minutes"), "idle").count() >= 1
 
 
+def test_evaluations_are_kept_once(spark, tmp_path):
+    rows = [(at(0), "s", "f", "on", "u"), (at(5), "s", "f", "on", "u"), (at(6), "s", "f", "off", "u"), (at(7), "s", "f", "on", "v"), (at(8), "s", "f", "on", "v")]
+    df = stream(spark, rows, "ts timestamp, site_id string, flag_key string, variant string, user_id string", str(tmp_path / "in"))
+    found = finish(jobs.evaluations(df), "evaluations").select("variant", "user_id").collect()
+    assert sorted(map(tuple, found)) == [("off", "u"), ("on", "u"), ("on", "v")]
+
+
 def test_upsert_is_idempotent(spark, tmp_path):
     write = jobs.upsert(str(tmp_path / "out"), ["id"])
     batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, v string")

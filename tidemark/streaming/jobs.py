@@ -30,6 +30,11 @@ def idle_sessions(events: DataFrame, gap: str, late: str = "2 hours") -> DataFra
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("events"))
 
 
+def evaluations(raw: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Flag evaluations (ts, site_id, flag_key, variant, user_id), one per key while the watermark is within window of it."""
+    return raw.withWatermark("ts", window).dropDuplicatesWithinWatermark(["site_id", "flag_key", "variant", "user_id"])
+
+
 def upsert(path_: str, keys: list[str]):
     """A foreachBatch sink that appends each batch under its number, once: a repeated batch replaces itself."""
 
