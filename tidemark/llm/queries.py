@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, langid, linededup, mixing, perplexity, pii, sharding, simhash, suffixes, toxicity
+from tidemark.llm import codes, decontamination, langid, linededup, lineindex, middle, mixing, oracles, perplexity, pii, sharding, simhash, suffixes, toxicity
 from tidemark.llm.common import fold01, read_table
 
 
@@ -69,11 +69,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id", (fold01("doc_id", 4) == 2).alias("held_out"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, sizes and digests of every document's rearranged text and of the text rebuilt from it; null texts are empty."""
+    moved = middle.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", percent=100, spm_percent=50, seed=7)
+    digest = [F.sha2(c.cast("binary"), 256) for c in (F.col("text"), middle.restored(F.col("text"), F.col("form")))]
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them an earlier document holds, and a digest of the rest; null texts are empty."""
+    kept = lineindex.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10, min_docs=2)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every vector without null or non-finite components, with a digest of the codebooks."""
+    coded, books = codes.compress(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_benchmark_decontamination, op3_toxicity, op4_simhash_near_dedup, op5_substring_dedup, op6_sharding, op7_mixing,
-        op8_quality_rules, op9_pii, op10_language_id,
+        op8_quality_rules, op9_pii, op10_language_id, op11_fill_in_middle, op12_line_dedup, op13_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_fill_in_middle": oracles.OP11, "op12_line_dedup": oracles.OP12, "op13_vector_codes": oracles.OP13}
