@@ -194,7 +194,7 @@ def test_exports_and_queries(spark, tmp_path):
 def test_log_samples_by_message(spark):
     df = spark.createDataFrame([("a",), ("foobar",), ("",)], "message string")
     assert [r[0] for r in df.select(logs.fnv1a(F.col("message"))).collect()] == [0xE40C292C, 0xBF9CF968, 0x811C9DC5]
-    kept = logs.pipeline(df.withColumn("attributes", F.create_map().cast("map<string,string>")), [{"type": "sample", "pattern": "^foo", "percent": 0}])
+    kept = logs.pipeline(df.withColumn("attributes", F.create_map().cast("map<string,string>")), [{"type": "sample", "pattern": "^foo", "value": "0"}])
     assert {r["message"] for r in kept.collect()} == {"a", ""}
 
 

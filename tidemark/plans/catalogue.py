@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.web import channel, host, stable_bucket
 from tidemark.operators import alerts, cohorts, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
-from tidemark.plans import records, schedules, views
+from tidemark.plans import logsearch, records, schedules, views
 from tidemark.sources import model
 from tidemark.sources.model import DAY_MS, HOUR_MS, SQL_EVENTS, SQL_SPANS
 
@@ -286,14 +286,6 @@ query("log_histogram", "logs", _LOGS + f" SELECT ts_ms // {DAY_MS} * {DAY_MS} AS
 query("log_search", "logs", _LOGS + " SELECT log_id, ts_ms, level, message FROM lg WHERE (level IN ('warn', 'WARN', 'Warn') OR contains(lower(message), 'user 7 ')) AND NOT k > 50 ORDER BY ts_ms DESC, log_id DESC LIMIT 200")(
     lambda lg: logs.search(lg, logs.all_of(logs.any_of(logs.level_is("warn"), logs.message_has("USER 7 ")), logs.none_of(logs.attribute("k", ">", "50")))).select("log_id", "ts_ms", "level", "message")
 )
-_RULES = [
-    {"type": "lowercase", "field": "level"}, {"type": "mask", "pattern": r"\d+\.\d+\.\d+\.\d+", "value": "<ip>"}, {"type": "regex_extract", "pattern": r"visited (/\d+)", "to": "page"},
-    {"type": "rename_field", "field": "k", "to": "key"}, {"type": "set_field", "field": "env", "value": "prod"}, {"type": "add_prefix", "value": "app: "}, {"type": "drop", "field": "service", "pattern": "^Edge$"},
-]
-query("log_pipeline", "logs", _LOGS + " SELECT log_id, lower(level) AS level, concat('app: ', regexp_replace(message, '\\d+\\.\\d+\\.\\d+\\.\\d+', '<ip>', 'g')) AS message, regexp_extract(message, 'visited (/\\d+)', 1) AS page, CAST(k AS VARCHAR) AS key, 'prod' AS env FROM lg WHERE service <> 'Edge'")(
-    lambda lg: logs.pipeline(lg, _RULES).select("log_id", "level", "message", F.col("attributes")["page"].alias("page"), F.col("attributes")["key"].alias("key"), F.col("attributes")["env"].alias("env"))
-)
-
 _MP = ", mp AS (SELECT concat(event_type, '/', CAST(distinct_id AS BIGINT) % 3) AS stream, event_type AS metric, CAST(CAST(distinct_id AS BIGINT) % 3 AS VARCHAR) AS shard, browser, ts_ms, event_id, k::DOUBLE AS value FROM ev)"
 query("host_latest", "labelled_points", _MP + " SELECT shard, metric, arg_max(value, (ts_ms, event_id)) AS value, max(ts_ms) AS ts_ms FROM mp GROUP BY 1, 2")(lambda mp: metrics.latest(metrics.with_labels(mp, "shard"), "shard", "metric"))
 query("host_history", "labelled_points", _MP + f" SELECT shard, ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, round(avg(value), 6) AS value FROM mp WHERE shard = '1' AND metric = 'click' GROUP BY 1, 2")(
@@ -458,5 +450,5 @@ SELECT part.p_partkey, p_type AS model, p_brand AS provider, CAST(price AS DOUBL
   e AS (SELECT role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM v) SELECT source, target, count(*) AS transitions FROM e WHERE target IS NOT NULL GROUP BY 1, 2""",
     "top_customers": "WITH n AS (SELECT c_mktsegment, c_custkey, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_mktsegment, c_custkey, orders, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY orders DESC, c_custkey) AS INT) AS rank FROM n QUALIFY rank <= 3",
 }
-QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL
+QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL

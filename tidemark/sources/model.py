@@ -72,10 +72,16 @@ def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: its type gives the level, user and page the message, properties the attributes."""
+    """One row per event: its type gives the level, user and page the message, its session the trace; properties and, for
+    some, a status and an environment are the attributes."""
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "WARN").when(F.col("event_type") == "click", "debug").otherwise("info")
     message = F.concat(F.lit("User "), F.col("distinct_id"), F.lit(" visited "), F.col("pathname"), F.lit(" from 10.0.0."), F.col("k"))
-    return events(spark, sf_dir).select(F.col("event_id").alias("log_id"), "ts_ms", level.alias("level"), message.alias("message"), F.col("browser").alias("service"), F.map_from_arrays(F.array(F.lit("k")), F.array(F.col("k").cast("string"))).alias("attributes"))
+    status = F.when(F.col("event_type") == "error", F.col("k") % 5 + 500).when(F.col("event_type") == "click", F.lit(200)).cast("string")
+    pairs = F.map_from_arrays(F.array(*map(F.lit, ("k", "http.status", "env"))), F.array(F.col("k").cast("string"), status, F.nullif("device", F.lit("desktop"))))
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("log_id"), "ts_ms", level.alias("level"), message.alias("message"), F.col("browser").alias("service"), F.col("session_id").alias("trace_id"),
+        F.concat(F.lit("s"), "event_id").alias("span_id"), F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("attributes"),
+    )
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
