@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, part long, start long, id long, tie long, n long, cell long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, part long, start long, id long, tie long, n long, cell long, copy long, again string, document string, k0 long, row long, leader string, leak string, block long, found string, kept string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
@@ -22,7 +22,7 @@ def odd_docs(spark):
         (10, "déjà vu été " * 60, "fr", "c"), (11, prose(6, 90), "en", "c"), (11, prose(6, 90), "en", "c"), (12, "one", "en", "a"), (None, None, None, None),
         (13, "line one is here again\nline one is here again\n" + prose(7, 60), "de", "d"), (14, "!!! 123 ... 456", "en", "a"),
     ]
-    rows = [(i, t, lang, s, None if t is None else len(t), "x", 1, 2, 3, 4, 5, 6) for i, t, lang, s in texts]
+    rows = [(i, t, lang, s, None if t is None else len(t), "x", 1, 2, 3, 4, 5, 6, 7, "a", "d", 8, 9, "l", "m", 10, "f", "k") for i, t, lang, s in texts]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

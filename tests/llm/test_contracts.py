@@ -610,6 +610,23 @@ def test_odd_rows_everywhere(spark, odd_docs):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and (1 in ids) and (2 not in ids)
 
 
+def test_invalid_utf8_everywhere(spark, odd_docs):
+    """Texts with bytes that are no UTF-8 crash nothing; what reads characters sees U+FFFD instead."""
+    bad = spark.sql("select 90L doc_id, cast(X'41FF20C320E28220' || cast(repeat('word two three. ', 40) as binary) as string) text union all select 91L, cast(X'FFFE' as string)")
+    docs = odd_docs.unionByName(bad, allowMissingColumns=True)
+    n = docs.count()
+    slices, crf = models(docs)
+    counts = [
+        langid.predict(docs, slices, "doc_id").count(), toxicity.score(docs, crf, "doc_id").count(), simhash.near_duplicates(docs).count(), sharding.shard(docs).count(), mixing.mix(docs).count(),
+        perplexity.judge(docs, "doc_id").count(), pii.personal_data(docs).count(), linededup.dedup(docs).count(),
+    ]
+    assert counts == [n] * len(counts)
+    item = spark.createDataFrame([(1, "word two three " * 4)], "item_id long, text string")
+    broken = spark.sql("select 2L item_id, cast(X'FF41' as string) text")
+    assert 90 in {r["doc_id"] for r in decontamination.contamination(docs, item.union(broken)).collect()}
+    assert decontamination.decontaminate(docs, item).filter("doc_id = 90").count() == 0
+
+
 def test_empty_tables_everywhere(spark, no_docs):
     slices, crf = models(no_docs)
     frames = [langid.predict(no_docs, slices, "doc_id"), toxicity.score(no_docs, crf, "doc_id"), simhash.near_duplicates(no_docs), simhash.similar_groups(no_docs), sharding.shard(no_docs), sharding.sharded_documents(no_docs), mixing.mix(no_docs), mixing.mixed_documents(no_docs), perplexity.judge(no_docs, "doc_id"), perplexity.accepted(no_docs), pii.personal_data(no_docs), linededup.dedup(no_docs), simhash.deduplicate(no_docs)]

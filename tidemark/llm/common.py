@@ -36,6 +36,11 @@ def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column
     return tuple(F.xxhash64(F.lit(i), F.col(doc_id), F.col(text).isNull(), F.col(text)).alias(f"k{i}") for i in range(2))
 
 
+def valid_text(name: str = "text") -> Column:
+    """The text with what is not valid UTF-8 replaced by U+FFFD, for tasks that read it as characters."""
+    return F.make_valid_utf8(F.col(name).cast("string"))
+
+
 def beside(df: DataFrame, rows: int) -> DataFrame:
     """df, a written table, for a join with a larger one: it travels if it has at most rows rows, else both are sorted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

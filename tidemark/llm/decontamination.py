@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import beside, free_name
+from tidemark.llm.common import beside, free_name, valid_text
 from tidemark.storage import materialize
 
 TOKEN = re.compile(r"\w+")
@@ -145,7 +145,7 @@ def covered_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     Larger ones meet the texts' seeds in a shuffle; then rows and items travel as numbers, and each pair is tiled for
     itself.
     """
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), valid_text().alias("text")).filter("text is not null")
 
     def cut(batches):
         for batch in batches:
@@ -234,10 +234,10 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """(doc_id, item_id, item_tokens, covered, coverage, n_tiles, longest) of pairs covered to the threshold.
 
     items has item_id and text; other columns on either side are ignored. Null or empty texts on either side match
-    nothing; items shorter than MIN_TILE tokens must appear whole. Repeated document rows give repeated result rows;
+    nothing; what is not valid UTF-8 reads as U+FFFD; items shorter than MIN_TILE tokens must appear whole. Repeated document rows give repeated result rows;
     the item rows of a repeated item_id are tiled each for itself.
     """
-    found = covered_items(docs.select(F.col("doc_id").cast("long").alias("kept"), F.col("text").cast("string").alias("text")), items, threshold)
+    found = covered_items(docs.select(F.col("doc_id").cast("long").alias("kept"), valid_text().alias("text")), items, threshold)
     return found.withColumnRenamed("kept", "doc_id")
 
 
@@ -257,7 +257,7 @@ def _near_seeds(a: list[int], b: list[int], least: int) -> list[int]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose text holds a benchmark item to the threshold, whatever their id; other rows stay."""
-    text = F.col("text").cast("string")
+    text = valid_text()
     key = F.struct(F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1"))
     leak = free_name(docs, "leak")
     leaks = covered_items(docs.select(key.alias("kept"), text.alias("text")), items, threshold).select(F.col("kept").alias(leak)).distinct()

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import row_keys
+from tidemark.llm.common import row_keys, valid_text
 from tidemark.storage import materialize
 
 #: A unit and what parts it from the next.
@@ -114,16 +115,17 @@ def dedup(docs: DataFrame, unit: str = "clause", run_words: int = RUN_WORDS, min
     """All columns of docs with text replaced by what is kept, plus removed: array of (start, end) in the original.
 
     Ranks are (doc_id, offset), null ids last; of repeated rows one counts as the earlier. Null texts have no units
-    and stay null; units under min_words words are kept and count as absent. A column named removed is replaced.
+    and stay null; units under min_words words are kept and count as absent. What is not valid UTF-8 becomes U+FFFD. A
+    column named removed is replaced, all others pass through under any name.
     """
     docs = docs.drop("removed")
-    keyed = docs.select(*row_keys(), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(*row_keys(), F.col("doc_id").cast("long").alias("doc"), valid_text().alias("text"))
     again = repeated_units(keyed, unit, min_words).dropDuplicates(["k0", "k1"])
 
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    rows = docs.select(F.struct(*docs.columns).alias("document"), F.col("text").cast("string").alias("text"), *row_keys())
+    others = [c for c in docs.columns if c.lower() != "text"]
+    rows = docs.select(*row_keys(), valid_text().alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("k0", "k1").orderBy("k0")))
-    joined = rows.join(again, ["k0", "k1"], "left").select("text", "again", "copy", *[F.col("document")[f.name].alias(f.name) for f in fields])
+    joined = rows.join(again, ["k0", "k1"], "left").select("text", "again", "copy", *[f"c{k}" for k in range(len(others))])
 
     def extra(text: str, again_: list[dict], copy: int) -> list[tuple[int, int, int, int, int]]:
         """(at, start, end, next, words) of the units that are not the earliest of their digest."""
@@ -146,5 +148,8 @@ def dedup(docs: DataFrame, unit: str = "clause", run_words: int = RUN_WORDS, min
             columns = [pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=["text", "removed", *batch.schema.names[3:]])
 
-    schema = "text string, removed array<struct<start: long, end: long>>" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.mapInArrow(apply, schema).select(*[F.col(f"`{c}`") for c in docs.columns], "removed")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    fields = [T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(span)), *joined.schema.fields[3:]]
+    out = joined.mapInArrow(apply, T.StructType(fields))
+    back = {c: F.col(f"c{k}") for k, c in enumerate(others)}
+    return out.select(*[back.get(c, F.col("text")).alias(c) for c in docs.columns], "removed")

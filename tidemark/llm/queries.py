@@ -12,17 +12,27 @@ from tidemark.llm.common import fold01, read_table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that 400-byte strings cover which start anywhere else too."""
+    """Bytes of every document that 400-byte strings cover which start anywhere else too.
+
+    Null texts are empty; repeated rows are documents of their own, so that each covers the other.
+    """
     return suffixes.repeated_bytes(read_table(spark, sf_dir, "documents"), length=400)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of document and benchmark item whose tiles cover at least half of the item."""
+    """Pairs of document and benchmark item whose tiles cover at least half of the item.
+
+    Null and empty texts match nothing, repeated rows give repeated pairs, and invalid UTF-8 reads as U+FFFD.
+    """
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document, learnt from labels whose id's crc32 modulo 5 is not 0."""
+    """Score of every document, learnt from labels whose id's crc32 modulo 5 is not 0.
+
+    Null and empty texts score like a text without a toxic token; null ids count as empty text in the fold; without any
+    label all scores are low. Of equal hashes of texts the sample takes the smaller text first.
+    """
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").filter(fold01("doc_id", 5) != 0).select("doc_id", "toxic")
     crf = toxicity.train(toxicity.with_labels(docs, labels))
@@ -36,7 +46,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What line deduplication removes of every document: count, offsets and a digest of the text that stays."""
+    """What line deduplication removes of every document: count, offsets and a digest of the text that stays.
+
+    Null texts have no units and the digest of an empty text; of repeated rows one counts as the earlier.
+    """
     kept = linededup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return kept.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -53,7 +66,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base figures, base verdict and the perplexity verdict of every document."""
+    """Base figures, base verdict and the perplexity verdict of every document.
+
+    Null and empty texts have no words and fail the base rules; null languages are a language of their own.
+    """
     return perplexity.judge(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
@@ -63,7 +79,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learnt from documents whose id's crc32 modulo 4 is not 2."""
+    """Language of every document, learnt from documents whose id's crc32 modulo 4 is not 2.
+
+    Null texts and texts without a letter are `und` with score 0; of equally likely languages the first by code point
+    counts; without any labelled row every text is `und`.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(fold01("doc_id", 4) != 2).select("text", "lang"))
     return langid.predict(docs, model, "doc_id", (fold01("doc_id", 4) == 2).alias("held_out"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, text_bytes
+from tidemark.llm.common import chunks, text_bytes, valid_text
 from tidemark.storage import materialize
 
 SAMPLE_ROWS = 1200
@@ -164,11 +164,11 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, epochs: int = 4, rate: float = 0.3) -> Crf:
     """Fit the chain and the document regression on labelled rows (text, toxic 0/1); other labels are ignored.
 
-    Null texts are ignored. Without any row a fixed model gives every text a low score; with one class alone the
+    Null texts are ignored, and what is not valid UTF-8 reads as U+FFFD. Without any row a fixed model gives every text a low score; with one class alone the
     regression tends to that class.
     """
     usable = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
-    labelled = materialize(usable.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-labelled")
+    labelled = materialize(usable.select(valid_text().alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-labelled")
     texts, labels = [], []
     for value in (1, 0):
         for row in labelled.filter(F.col("toxic") == value).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect():
