@@ -11,27 +11,30 @@ from tidemark.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
+    """Documents that pass the base rules and lie in their language's perplexity band; null and empty texts fail."""
     return perplexity.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more; the smallest id stays.
+
+    Texts without words are alike, null ids come last, and of repeated rows one stays.
+    """
     return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item to half or more."""
+    """Documents that hold no benchmark item to half or more; null and empty texts hold none."""
     return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them."""
+    """Documents as the mix takes them: those it takes no word of go; null sources are one source."""
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
+    """Documents with their shard and slot; repeated rows have slots of their own."""
     return sharding.sharded_documents(docs, shards=16)
 
 
