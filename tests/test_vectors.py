@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import web
-from tidemark.operators import alerts, cohorts, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
+from tidemark.operators import alerts, cohorts, detectors, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
 from tidemark.sources import exports
 
 EVENTS = "ts_ms long, event_id long, session_id string, event_type string"
@@ -101,7 +101,7 @@ def test_trace_funnel(spark):
 
 def test_statement_fingerprints_and_missing_attributes(spark):
     df = spark.createDataFrame([("SELECT a  FROM t WHERE x = 'it''s' AND y = 42", {"a": "1"}), ("SELECT 1", {})], "s string, attributes map<string,string>")
-    assert df.select(tracing.fingerprint(F.col("s"))).first()[0] == "SELECT a FROM t WHERE x = ? AND y = ?"
+    assert df.select(detectors.fingerprint(F.col("s"))).first()[0] == "SELECT a FROM t WHERE x = ?? AND y = ?"
     assert tracing.with_attribute(df, "a", "neq", "2").count() == 1
     assert df.filter(logs.none_of(logs.attribute("a", ":", "1"))).count() == 1
 
@@ -191,6 +191,39 @@ def test_exports_and_queries(spark, tmp_path):
             exports.ask(spark, text, own).collect()
 
 
+def test_queries_stay_in_scope(spark, tmp_path):
+    """Views of all sessions and tables of the catalogue stay hidden, whatever table expressions elsewhere are called."""
+    df = spark.createDataFrame([(1, "x", 2.0)], "a int, b string, c double")
+    df.write.parquet(str(tmp_path / "t"))
+    df.createOrReplaceGlobalTempView("secret")
+    spark.sql("DROP TABLE IF EXISTS hidden")
+    df.write.saveAsTable("hidden")
+    own = {"t": str(tmp_path / "t")}
+    for text in (
+        "SELECT * FROM (WITH `global_temp.secret` AS (SELECT 1 a) SELECT * FROM `global_temp.secret`) x CROSS JOIN global_temp.secret", "SELECT * FROM (WITH hidden AS (SELECT 1 a) SELECT * FROM hidden) x CROSS JOIN hidden",
+        "SELECT * FROM t WHERE a IN (WITH hidden AS (SELECT 1 a) SELECT a FROM hidden) AND a IN (SELECT a FROM hidden)", "WITH x AS (SELECT * FROM hidden), hidden AS (SELECT 1 a) SELECT * FROM x",
+        "SELECT * FROM spark_catalog.default.hidden", "SELECT * FROM default.hidden", "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden", "SELECT (SELECT max(a) FROM hidden) m FROM t", "SELECT * FROM t VERSION AS OF 1", "TABLE hidden",
+        "SELECT a FROM t UNION ALL (WITH t2 AS (SELECT a FROM t) SELECT a FROM t2) UNION ALL SELECT a FROM t2", "SELECT * FROM t LATERAL VIEW explode(array(reflect('a', 'b'))) e", "SELECT * FROM t JOIN LATERAL (SELECT * FROM hidden) y", "SELECT transform(a) USING 'cat' FROM t",
+    ):
+        with pytest.raises(Exception, match="(?i)scope|parse|syntax"):
+            exports.ask(spark, text, own).collect()
+    good = {
+        "WITH x AS (SELECT a FROM t), y AS (SELECT a + 1 AS a FROM x) SELECT sum(a) FROM (SELECT * FROM x UNION ALL SELECT * FROM y)": 3, "SELECT (WITH z AS (SELECT max(a) m FROM t) SELECT m FROM z) FROM t": 1,
+        "WITH t AS (SELECT 5 a) SELECT a FROM t": 5, "SELECT count(*) FROM t AS u JOIN t AS v ON u.a = v.a WHERE EXISTS (SELECT 1 FROM t WHERE t.a = u.a)": 1, "SELECT a FROM T": 1,
+    }
+    assert {q: exports.ask(spark, q, own).first()[0] for q in good} == good
+    assert exports.ask(spark, "SELECT * FROM t", own, columns={"t": ["a", "b"]}).columns == ["a", "b"]
+    with pytest.raises(Exception, match="(?i)resolved|column"):
+        exports.ask(spark, "SELECT c FROM t", own, columns={"t": ["a", "b"]})
+    assert "Scan parquet" in exports.explained(spark, "SELECT a FROM t", own)
+    assert exports.answered(spark, "SELECT a FROM t", own)[0]["a"] == 1
+    spark.range(300).write.parquet(str(tmp_path / "n"))
+    with pytest.raises(Exception, match="(?i)cancel|interrupt"):
+        exports.answered(spark, "SELECT count(*) FROM n x, n y, n z WHERE sha2(concat(x.id, y.id, z.id), 512) = 'q'", {"n": str(tmp_path / "n")}, seconds=0.3)
+    spark.sql("DROP TABLE hidden")
+    spark.catalog.dropGlobalTempView("secret")
+
+
 def test_log_samples_by_message(spark):
     df = spark.createDataFrame([("a",), ("foobar",), ("",)], "message string")
     assert [r[0] for r in df.select(logs.fnv1a(F.col("message"))).collect()] == [0xE40C292C, 0xBF9CF968, 0x811C9DC5]
@@ -211,6 +244,18 @@ def test_experiment_results():
     assert experiments.results([("a", 1000, 100), ("b", 500, 80)], [1, 1])["winner"] == ""
     assert experiments.results([("a", 50, 5), ("b", 50, 25)], [1, 1])["winner"] == ""
     assert experiments.results([("a", 10, 1), ("b", 10, 8)])["test"] == "fisher-exact"
+    losing = experiments.results([("a", 1000, 300), ("b", 1000, 100), ("c", 1000, 120)], [1, 1, 1])
+    assert losing["winner"] == "" and losing["p"] < 1e-9 and all(x["significant"] for x in losing["pairwise"])
+    mixed = experiments.results([("a", 1000, 100), ("b", 1000, 160), ("c", 100, 2)], None, 100)
+    assert [x["exact"] for x in mixed["pairwise"]] == [False, False] and mixed["winner"] == "b"
+    assert [x["exact"] for x in experiments.results([("a", 100, 6), ("b", 2000, 400), ("c", 60, 2)], None, 50)["pairwise"]] == [False, True]
+    assert experiments.results([("a", 0, 0), ("b", 100, 10)])["pairwise"][0]["p"] == 1.0 and experiments.results([("a", 5, 1)])["test"] == "none"
+    assert experiments.required_exposures(100, 500) == 500 and experiments.required_exposures(100, 500, override=True) == 100 and experiments.required_exposures(10, 0, 30, True) == 30
+    means = experiments.continuous_results([("a", 200, 5.0, 4.0), ("b", 200, 5.6, 4.0), ("c", 200, 5.1, 4.0)], [200, 200, 200], [1, 1, 1], 100)
+    assert means["winner"] == "b" and means["test"] == "welch-t" and means["p"] == pytest.approx(2 * means["pairwise"][0]["p"]) and not means["pairwise"][1]["significant"]
+    assert experiments.continuous_results([("a", 200, 5.0, 4.0), ("b", 200, 4.0, 4.0)], [200, 200])["winner"] == "" and experiments.continuous_results([("a", 20, 5.0, 4.0), ("b", 20, 50.0, 4.0)], [20, 20], None, 5)["winner"] == ""
+    constant = experiments.continuous_results([("a", 50, 1.0, 0.0), ("b", 50, 2.0, 0.0)], [50, 50], None, 40)
+    assert constant["p"] == 0.0 and constant["winner"] == "b" and constant["pairwise"][0]["df"] == 98.0
 
 
 def test_cycles_of_aliases_end_at_their_smallest(spark):

@@ -128,15 +128,41 @@ def releases_of(errors: DataFrame) -> DataFrame:
     return keyed.groupBy("group_hash", "release").agg(F.count("*").alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
-def counted_since(errors: DataFrame, since_ms: int) -> DataFrame:
-    """(group_hash, events, users) of the errors from a time on."""
-    keyed = errors.filter(F.col("ts_ms") >= since_ms).withColumn("group_hash", group_hash(F.col("error_type"), F.col("message")))
-    return keyed.groupBy("group_hash").agg(F.count("*").alias("events"), F.count_distinct(F.when(F.col("distinct_id") != "", F.col("distinct_id"))).alias("users"))
+def counted_since(errors: DataFrame, statuses: DataFrame, merges: DataFrame, since_ms: int, release: str) -> DataFrame:
+    """(issue, status, events_since, events_since_in_release, last_ms, latest_release) of the issues of statuses.
+
+    Errors count for the issue that theirs was merged into; merges is (alias, canonical), followed to the end, statuses
+    (issue, status). Last are time and release of the newest error, of equally new ones that of the smallest id; they are
+    null where an issue has none.
+    """
+    keyed = errors.select("ts_ms", "event_id", "release", group_hash(F.col("error_type"), F.col("message")).alias("group_hash"))
+    named = keyed.join(merges, F.col("group_hash") == F.col("alias"), "left").withColumn("issue", F.coalesce("canonical", "group_hash"))
+    since = F.col("ts_ms") >= since_ms
+    counts = named.groupBy("issue").agg(
+        F.count_if(since).alias("events_since"), F.count_if(since & (F.col("release") == release)).alias("events_since_in_release"),
+        F.max("ts_ms").alias("last_ms"), F.min_by("release", F.struct(-F.col("ts_ms"), F.col("event_id"))).alias("latest_release"),
+    )
+    targets = statuses.join(merges, F.col("issue") == F.col("alias"), "left_anti")
+    shown = targets.join(counts, "issue", "left")
+    return shown.select("issue", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("events_since", "events_since_in_release")], "last_ms", "latest_release")
 
 
-def release_sparkline(errors: DataFrame, step_ms: int) -> DataFrame:
-    """(release, bucket_ms, events) of the steps with an error."""
-    return errors.filter("release <> ''").groupBy("release", (F.expr(f"ts_ms div {step_ms}") * step_ms).alias("bucket_ms")).agg(F.count("*").alias("events"))
+def release_sparkline(errors: DataFrame, sessions: DataFrame, release: str, today_ms: int, days: int = 14) -> DataFrame:
+    """(day_ms, sessions, crashed, crash_free_pct) of the last days of a release, today included, empty days with zeros.
+
+    A session (session_id, release, first_ms) belongs to the day it began. It crashed if an error of level error or
+    fatal names it within these days. Other numbers of days than 1 to 90 count as 14.
+    """
+    days = days if 0 < days <= 90 else 14
+    last = today_ms // DAY_MS
+    inside = lambda c: (F.col(c) >= (last - days + 1) * DAY_MS) & (F.col(c) < (last + 1) * DAY_MS)
+    mine = sessions.filter((F.col("release") == release) & inside("first_ms")).select("session_id", F.expr(f"first_ms div {DAY_MS}").alias("day"))
+    bad = errors.filter(F.col("level").isin("error", "fatal") & (F.col("session_id") != "") & inside("ts_ms")).select("session_id", F.lit(True).alias("crashed")).distinct()
+    counts = mine.join(bad, "session_id", "left").groupBy("day").agg(F.count("*").alias("sessions"), F.count("crashed").alias("crashed"))
+    spine = errors.sparkSession.range(last - days + 1, last + 1).withColumnRenamed("id", "day")
+    share = F.when(F.col("sessions") > 0, (F.col("sessions") - F.col("crashed")) * 100.0 / F.col("sessions")).otherwise(0.0)
+    shown = spine.join(F.broadcast(counts), "day", "left").select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sessions", "crashed")])  # a row per day
+    return shown.select((F.col("day") * DAY_MS).alias("day_ms"), "sessions", "crashed", share.alias("crash_free_pct"))
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:

@@ -194,9 +194,15 @@ def t_quantile(p: float, df: float) -> float:
 
 
 def welch_test(n1: int, m1: float, v1: float, n2: int, m2: float, v2: float, alpha: float = 0.05) -> dict[str, float]:
-    """Welch's test of two arms, second minus first: diff, t, df, p and the interval low, high."""
-    if min(n1, n2) < 2 or v1 / n1 + v2 / n2 <= 0:
-        return {"diff": m2 - m1, "t": 0.0, "df": 0.0, "p": 1.0, "low": m2 - m1, "high": m2 - m1}
+    """Welch's test of two arms, second minus first: diff, t, df, p and the interval low, high.
+
+    Arms of one row are no evidence; two arms without spread are certain evidence where their means differ.
+    """
+    out = {"diff": m2 - m1, "t": 0.0, "df": 0.0, "p": 1.0, "low": m2 - m1, "high": m2 - m1}
+    if min(n1, n2) < 2:
+        return out
+    if v1 / n1 + v2 / n2 <= 0:
+        return out | {"df": float(n1 + n2 - 2), "p": float(m1 == m2)}
     diff, t, df = welch(n1, m1, v1, n2, m2, v2)
     reach = t_quantile(1 - alpha / 2, df) * math.sqrt(v1 / n1 + v2 / n2)
     return {"diff": diff, "t": t, "df": df, "p": t_two_sided(t, df), "low": diff - reach, "high": diff + reach}
@@ -206,35 +212,112 @@ def welch_test(n1: int, m1: float, v1: float, n2: int, m2: float, v2: float, alp
 ALPHA, ALPHA_RATIO = 0.05, 0.001
 
 
+#: Least exposures of an arm for a metric of counts or sums.
+LEAST_CONTINUOUS = 30
+
+
+def required_exposures(least: int, planned: int = 0, floor: int = 0, override: bool = False) -> int:
+    """Exposures that every arm needs: the greatest of the three, of which an override waives the planned one."""
+    return max(least, floor, 0 if override else planned)
+
+
+def omnibus(n: list[int], hits: list[int]) -> tuple[float, float, bool]:
+    """(statistic, p, small) of all arms against equal shares, two corrected for continuity; small where an expected
+    count is below 5. Arms without exposures and cells that expect nothing are left out."""
+    total = sum(n)
+    if len(n) < 2 or not total:
+        return 0.0, 1.0, False
+    share, stat, small = sum(hits) / total, 0.0, False
+    for exposures, k in zip(n, hits, strict=True):
+        for observed, expected in ((k, exposures * share), (exposures - k, exposures * (1 - share))):
+            if expected > 0:
+                small = small or expected < 5
+                stat += max(0.0, abs(observed - expected) - (0.5 if len(n) == 2 else 0.0)) ** 2 / expected
+    return stat, upper_gamma((len(n) - 1) / 2, stat / 2), small
+
+
+def _gates(n: list[int], weights: list[float] | None, required: int) -> dict:
+    out = {"test": "none", "p": 1.0, "horizon_met": len(n) > 1 and min(n) >= required, "required": required, "ratio_p": 1.0, "ratio_broken": False, "pairwise": [], "winner": ""}
+    if weights and len(weights) == len(n) > 1:
+        out["ratio_p"] = sample_ratio(n, weights)[1]
+        out["ratio_broken"] = out["ratio_p"] < ALPHA_RATIO
+    return out
+
+
+def _winner(out: dict, names: list[str], scores: list[float]) -> str:
+    """The arm with the best score if it beats the control's and its own comparison survives; never the control."""
+    if not out["horizon_met"] or out["ratio_broken"] or out["test"] == "none" or out["p"] >= ALPHA:
+        return ""
+    best = max(range(1, len(names)), key=lambda i: scores[i])
+    return names[best] if scores[best] > scores[0] and out["pairwise"][best - 1]["significant"] else ""
+
+
 def results(arm_rows: list[tuple[str, int, int]], weights: list[float] | None = None, required: int = 100) -> dict:
     """Verdict over arms (variant, exposures, conversions), the control first.
 
     A chi-square test over all arms (corrected for two), Fisher's exact test where two arms have an expected count
-    below 5, none where more have; each arm against the control with Newcombe intervals and Holm's correction. A winner
-    needs every arm at the horizon of required exposures, an allocation as declared, a significant test, and the best
-    share to survive Holm with a lift.
+    below 5, none where more have; each arm against the control, exactly where their own table has such a count, with
+    Newcombe intervals and Holm's correction. A winner needs every arm at the horizon of required exposures, an
+    allocation as declared, a test with p below ALPHA, and the best arm above the control to survive Holm.
     """
     names, n, hits = [a[0] for a in arm_rows], [a[1] for a in arm_rows], [a[2] for a in arm_rows]
-    out = {"test": "none", "p": 1.0, "horizon_met": bool(n) and min(n) >= required, "ratio_p": 1.0, "ratio_broken": False, "pairwise": [], "winner": ""}
-    if len(arm_rows) < 2 or min(n) < 1:
+    out = _gates(n, weights, required)
+    if len(n) < 2:
         return out
-    if weights and len(weights) == len(n):
-        out["ratio_p"] = sample_ratio(n, weights)[1]
-        out["ratio_broken"] = out["ratio_p"] < ALPHA_RATIO
-    share = sum(hits) / sum(n)
-    small = min(x * s for x in n for s in (share, 1 - share)) < 5
+    _, p, small = omnibus(n, hits)
     if small and len(n) == 2:
         out |= {"test": "fisher-exact", "p": fisher_exact(hits[0], n[0] - hits[0], hits[1], n[1] - hits[1])}
     elif not small:
-        out |= {"test": "chi-square-yates" if len(n) == 2 else "chi-square", "p": chi_square(list(zip(n, hits, strict=True)))[1]}
-    alone = [chi_square([(n[0], hits[0]), (n[i], hits[i])])[1] if not small else fisher_exact(hits[0], n[0] - hits[0], hits[i], n[i] - hits[i]) for i in range(1, len(n))]
+        out |= {"test": "chi-square-yates" if len(n) == 2 else "chi-square", "p": p}
+    alone, exact = [], []
+    for m, k in zip(n[1:], hits[1:], strict=True):
+        _, p, few = omnibus([n[0], m], [hits[0], k])
+        few = few and n[0] > 0 and m > 0
+        alone.append(1.0 if not (n[0] and m) else fisher_exact(hits[0], n[0] - hits[0], k, m - k) if few else p)
+        exact.append(few)
+    shares = [k / m if m else 0.0 for m, k in zip(n, hits, strict=True)]
     for i, adjusted in enumerate(holm(alone), 1):
-        low, high = newcombe(hits[0], n[0], hits[i], n[i])
-        out["pairwise"].append({"variant": names[i], "lift": hits[i] / n[i] - hits[0] / n[0], "low": low, "high": high, "p": alone[i - 1], "adjusted_p": adjusted, "significant": adjusted <= ALPHA})
-    best = max(range(len(n)), key=lambda i: hits[i] / n[i])
-    clear = out["horizon_met"] and not out["ratio_broken"] and out["p"] <= ALPHA
-    if clear and best > 0 and out["pairwise"][best - 1]["significant"]:
-        out["winner"] = names[best]
-    elif clear and best == 0 and all(x["significant"] for x in out["pairwise"]):
-        out["winner"] = names[0]
-    return out
+        low, high = newcombe(hits[0], n[0], hits[i], n[i]) if n[0] and n[i] else (0.0, 0.0)
+        relative = (shares[i] - shares[0]) / shares[0] if shares[0] else 0.0
+        out["pairwise"].append({"variant": names[i], "lift": shares[i] - shares[0], "relative": relative, "low": low, "high": high, "p": alone[i - 1], "adjusted_p": adjusted, "significant": adjusted <= ALPHA, "exact": exact[i - 1]})
+    return out | {"winner": _winner(out, names, shares)}
+
+
+def continuous_results(arm_rows: list[tuple[str, int, float, float]], exposures: list[int], weights: list[float] | None = None, required: int = 100) -> dict:
+    """Verdict over arms (variant, n, mean, variance) of a count or a sum, the control first; exposures per arm.
+
+    Welch's test of each arm against the control with Holm's correction; p is the smallest corrected one. The horizon is
+    at least LEAST_CONTINUOUS. Otherwise as results().
+    """
+    out = _gates(exposures, weights, max(required, LEAST_CONTINUOUS))
+    if len(arm_rows) < 2:
+        return out
+    names, means = [a[0] for a in arm_rows], [a[2] for a in arm_rows]
+    tests = [welch_test(*arm_rows[0][1:], *arm[1:], ALPHA) for arm in arm_rows[1:]]
+    for i, adjusted in enumerate(holm([t["p"] for t in tests]), 1):
+        t = tests[i - 1]
+        out["pairwise"].append({"variant": names[i], "lift": t["diff"], "relative": t["diff"] / means[0] if means[0] else 0.0, "low": t["low"], "high": t["high"], "p": t["p"], "adjusted_p": adjusted, "significant": adjusted <= ALPHA, "t": t["t"], "df": t["df"]})
+    out |= {"test": "welch-t", "p": min(1.0, *(x["adjusted_p"] for x in out["pairwise"]))}
+    return out | {"winner": _winner(out, names, means)}
+
+
+def verdict(arm_table: DataFrame, control: str, weights: dict[str, float] | None = None, required: int = 100, binary: bool = True) -> DataFrame:
+    """(variant, n, mean, lift, low, high, p, adjusted_p, significant, winner, test, horizon_met, ratio_broken) of arms().
+
+    An arm table has a row for each variant, which the driver reads; the control comes first, then by name.
+    """
+    rows = sorted(arm_table.collect(), key=lambda r: (r["variant"] != control, r["variant"]))  # a row per variant
+    names, n = [r["variant"] for r in rows], [r["n"] for r in rows]
+    shares = [weights.get(v, 0.0) for v in names] if weights else None
+    if binary:
+        out = results([(r["variant"], r["n"], round(r["n"] * r["mean"])) for r in rows], shares, required)
+    else:
+        out = continuous_results([(r["variant"], r["n"], r["mean"], r["variance"] or 0.0) for r in rows], n, shares, required)
+    pairs = {x["variant"]: x for x in out["pairwise"]}
+    table = [
+        (r["variant"], r["n"], r["mean"], *(pairs.get(r["variant"], {}).get(k) for k in ("lift", "low", "high", "p", "adjusted_p", "significant")), r["variant"] == out["winner"], out["test"], out["horizon_met"], out["ratio_broken"])
+        for r in rows
+    ]
+    return arm_table.sparkSession.createDataFrame(
+        table, "variant string, n long, mean double, lift double, low double, high double, p double, adjusted_p double, significant boolean, winner boolean, test string, horizon_met boolean, ratio_broken boolean"
+    )

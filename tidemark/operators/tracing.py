@@ -1,10 +1,12 @@
-"""Figures over spans: rates, errors and durations, dependencies, funnels, searches and span-pattern detectors."""
+"""Figures over spans: rates, errors and durations, dependencies, funnels and searches. Detectors are in detectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import floored_ranks
+
 APDEX_MS = 500
 
 
@@ -35,44 +37,29 @@ def dependencies(spans: DataFrame) -> DataFrame:
 
 
 def trace_funnel(spans: DataFrame, operations: list[str]) -> DataFrame:
-    """(step, traces): traces in which the operations follow each other at strictly later starts."""
-    state = spans.filter(F.col("operation") == operations[0]).groupBy("trace_id").agg(F.min("start_ms").alias("at")).withColumn("depth", F.lit(1))
-    for i, name in enumerate(operations[1:], 1):
-        later = spans.filter(F.col("operation") == name).select(F.col("trace_id").alias("t"), F.col("start_ms").alias("x"))
-        met = state.join(later, (F.col("trace_id") == F.col("t")) & (F.col("depth") == i) & (F.col("x") > F.col("at")), "left").groupBy("trace_id", "at", "depth").agg(F.min("x").alias("x"))
-        state = met.select("trace_id", F.coalesce("x", "at").alias("at"), (F.col("depth") + F.col("x").isNotNull().cast("int")).alias("depth"))
-    counts = state.agg(*[F.count_if(F.col("depth") >= i).alias(str(i)) for i in range(1, len(operations) + 1)])
-    return counts.select(F.posexplode(F.array(*counts.columns)).alias("step", "traces")).withColumn("step", F.col("step") + 1)
-
+    """(step, operation, traces, conversion_pct, median_gap_ms, p95_gap_ms, of_traces): how far traces get.
 
-def fingerprint(statement: Column) -> Column:
-    """A query or change of data with literals and numbers replaced and blanks collapsed; null for other statements."""
-    bare = F.regexp_replace(F.regexp_replace(statement, r"'(?:[^'\\]|\\.|'')*'", "?"), r"\b\d+(?:\.\d+)?\b", "?")
-    return F.when(statement.rlike(r"^\s*(?i:select|insert|update|delete|with|replace|merge)\b"), F.trim(F.regexp_replace(bare, r"\s+", " ")))
-
-
-def repeated_queries(spans: DataFrame, least: int = 4) -> DataFrame:
-    """(trace_id, parent_span_id, fingerprint, longest): the longest run of consecutive database siblings with one statement.
-
-    Of equal runs the first counts; a statement without a fingerprint ends a run. One window per parent.
+    Operations follow each other at strictly later starts, each at its first. The conversion is from the step before
+    (100 at the first, 0 without any), gaps are those to the step before, and of_traces counts the traces that have any
+    of the operations.
     """
-    order = Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id")
-    siblings = spans.filter("parent_span_id is not null and statement <> ''").select("trace_id", "parent_span_id", "start_ms", "span_id", fingerprint(F.col("statement")).alias("fingerprint"))
-    new = (~F.coalesce(F.col("fingerprint") == F.lag("fingerprint").over(order), F.lit(False))).cast("int")
-    runs = siblings.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lengths = runs.filter("fingerprint is not null").groupBy("trace_id", "parent_span_id", "run").agg(F.count("*").alias("n"), F.first("fingerprint").alias("fingerprint")).filter(F.col("n") >= least)
-    best = lengths.groupBy("trace_id", "parent_span_id").agg(F.max(F.struct("n", -F.col("run"), "fingerprint")).alias("best"))
-    return best.select("trace_id", "parent_span_id", "best.fingerprint", F.col("best.n").alias("longest"))
-
-
-def serial_queries(spans: DataFrame, least: int = 3, least_ms: int = 100) -> DataFrame:
-    """(trace_id, parent_span_id, spans, total_ms): runs of database siblings that do not overlap."""
-    order = Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "end_ms", "span_id")
-    siblings = spans.filter("parent_span_id is not null and statement <> ''").select("trace_id", "parent_span_id", "start_ms", "end_ms", "span_id", "duration_ms")
-    marked = siblings.withColumn("new", F.coalesce((F.col("start_ms") < F.lag("end_ms").over(order)).cast("int"), F.lit(1)))
-    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = runs.groupBy("trace_id", "parent_span_id", "run").agg(F.count("*").alias("spans"), F.sum("duration_ms").alias("total_ms"))
-    return totals.filter((F.col("spans") >= least) & (F.col("total_ms") >= least_ms)).drop("run")
+    own = spans.filter(F.col("operation").isin(operations))
+    first = F.min(F.when(F.col("operation") == operations[0], F.col("start_ms"))).alias("at")
+    state = own.groupBy("trace_id").agg(first).withColumn("depth", F.col("at").isNotNull().cast("int"))
+    gaps: list[str] = []
+    for i, name in enumerate(operations[1:], 1):
+        later = spans.filter(F.col("operation") == name).select(F.col("trace_id").alias("t"), F.col("start_ms").alias("x"))
+        met = state.join(later, (F.col("trace_id") == F.col("t")) & (F.col("depth") == i) & (F.col("x") > F.col("at")), "left").groupBy("trace_id", "at", "depth", *gaps).agg(F.min("x").alias("x"))
+        state = met.select("trace_id", F.coalesce("x", "at").alias("at"), (F.col("depth") + F.col("x").isNotNull().cast("int")).alias("depth"), *gaps, (F.col("x") - F.col("at")).alias(f"gap{i}"))
+        gaps.append(f"gap{i}")
+    steps = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("operation"), (F.col(f"gap{i - 1}") if i > 1 else F.lit(None).cast("long")).alias("gap")) for i, name in enumerate(operations, 1)]
+    each = state.select("depth", F.explode(F.array(*steps)).alias("s")).select("depth", "s.*")
+    counts = each.groupBy("step", "operation").agg(F.count_if(F.col("depth") >= F.col("step")).alias("traces"), F.count("*").alias("of_traces"))
+    ranks = floored_ranks(each, ["step"], "gap", {"median_gap_ms": 0.5, "p95_gap_ms": 0.95})
+    before = F.lag("traces").over(Window.orderBy("step"))  # a row per step
+    conversion = F.when(F.col("step") == 1, F.when(F.col("traces") > 0, 100.0).otherwise(0.0)).otherwise(F.coalesce(F.try_divide(F.col("traces") * 1.0, before) * 100, F.lit(0.0)))
+    shown = counts.join(F.broadcast(ranks), "step", "left")  # a row per step
+    return shown.select("step", "operation", "traces", conversion.alias("conversion_pct"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("median_gap_ms", "p95_gap_ms")], "of_traces")
 
 
 def trace(spans: DataFrame, trace_id: Column | int | str) -> DataFrame:
@@ -80,23 +67,10 @@ def trace(spans: DataFrame, trace_id: Column | int | str) -> DataFrame:
     return spans.filter(F.col("trace_id") == trace_id).orderBy("start_ms", "span_id")
 
 
-def span_issues(repeated: DataFrame, serial: DataFrame, slow_: DataFrame) -> DataFrame:
-    """(kind, fingerprint, traces, events, last_trace): what the detectors found, by kind and what was repeated."""
-    each = repeated.select(F.lit("n_plus_one").alias("kind"), "fingerprint", "trace_id").unionByName(serial.select(F.lit("serial_db").alias("kind"), F.lit("").alias("fingerprint"), "trace_id"))
-    each = each.unionByName(slow_.select(F.lit("slow").alias("kind"), F.col("severity").alias("fingerprint"), "trace_id"))
-    return each.groupBy("kind", "fingerprint").agg(F.count_distinct("trace_id").alias("traces"), F.count("*").alias("events"), F.max("trace_id").alias("last_trace"))
-
-
 def minute_percentiles(spans: DataFrame) -> DataFrame:
     """(service, operation, bucket_ms, p50_ms, p95_ms, p99_ms): the value at the floored index of the ordered durations."""
-    ordered = spans.groupBy("service", "operation", (F.expr("start_ms div 60000") * 60000).alias("bucket_ms")).agg(F.array_sort(F.collect_list("duration_ms")).alias("d"))
-    return ordered.select("service", "operation", "bucket_ms", *[F.element_at("d", F.floor((F.size("d") - 1) * q).cast("int") + 1).alias(f"p{round(q * 100)}_ms") for q in (0.5, 0.95, 0.99)])
-
-
-def slow(spans: DataFrame, least_ms: int) -> DataFrame:
-    """(trace_id, span_id, duration_ms, severity): five times the threshold is an error."""
-    found = spans.filter(F.col("duration_ms") >= least_ms)
-    return found.select("trace_id", "span_id", "duration_ms", F.when(F.col("duration_ms") >= 5 * least_ms, "error").otherwise("warning").alias("severity"))
+    of = spans.select("service", "operation", (F.expr("start_ms div 60000") * 60000).alias("bucket_ms"), "duration_ms")
+    return floored_ranks(of, ["service", "operation", "bucket_ms"], "duration_ms", {f"p{round(q * 100)}_ms": q for q in (0.5, 0.95, 0.99)})
 
 
 def with_attribute(spans: DataFrame, key: str, op: str, value: str = "") -> DataFrame:

@@ -88,8 +88,9 @@ def breakdown(events: DataFrame, dimension: str | Column) -> DataFrame:
 
 
 def channels(events: DataFrame) -> DataFrame:
-    """Visitors by acquisition channel; a session counts in each channel it came by."""
-    classified = events.select("session_id", channel(F.col("utm_source"), F.lit(""), F.col("referrer")).alias("channel"))
+    """Visitors by acquisition channel; a session counts in each channel it came by. Ways of coming are classified once."""
+    ways = events.select("session_id", "utm_source", "utm_medium", "referrer").distinct()
+    classified = ways.select("session_id", channel(F.col("utm_source"), F.col("utm_medium"), F.col("referrer")).alias("channel"))
     return classified.groupBy("channel").agg(F.count_distinct("session_id").alias("visitors"))
 
 
@@ -168,20 +169,33 @@ def sessions_with_errors(events: DataFrame) -> DataFrame:
 
 
 def page_goal(events: DataFrame, path: str, value_minor: int = 0) -> DataFrame:
-    """(conversions, events, rate_pct, value_minor) of views of a path, or of a beginning that ends in *; each is worth value_minor."""
-    on_path = F.startswith("pathname", F.lit(path[:-1])) if path.endswith("*") else F.col("pathname") == path
-    hit = (F.col("event_type") == "pageview") & on_path
+    """(conversions, events, rate_pct, value_minor) of views of exactly this path; each is worth value_minor."""
+    hit = (F.col("event_type") == "pageview") & (F.col("pathname") == path)
     return events.agg(
         F.count_distinct(F.when(hit, F.col("session_id"))).alias("conversions"), F.count_if(hit).alias("events"),
         F.try_divide(100.0 * F.count_distinct(F.when(hit, F.col("session_id"))), F.count_distinct("session_id")).alias("rate_pct"), (value_minor * F.count_if(hit)).alias("value_minor"),
     )
 
 
-def bounded(events: DataFrame, start_ms: int, end_ms: int, n: int) -> DataFrame:
-    """The first n rows of [start, end) in order of time and id; periods over WINDOW_DAYS days are refused."""
+def admitted(start_ms: int, end_ms: int) -> None:
+    """Refuses periods that are empty, reversed or longer than WINDOW_DAYS days."""
+    if end_ms <= start_ms:
+        raise ValueError("a period begins before it ends")
     if end_ms - start_ms > WINDOW_DAYS * 86_400_000:
         raise ValueError(f"periods are limited to {WINDOW_DAYS} days")
-    return events.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms)).orderBy("ts_ms", "event_id").limit(n)
+
+
+def bounded(events: DataFrame, start_ms: int, end_ms: int, n: int) -> DataFrame:
+    """All rows of [start, end) in order of time and id where they are at most n; more are refused when rows are read.
+
+    The bound is met by counting n + 1 rows, which need no sort; a result is never cut silently.
+    """
+    admitted(start_ms, end_ms)
+    inside = events.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms))
+    over = inside.limit(n + 1).agg(F.count("*").alias("rows_"))
+    fits = F.assert_true(F.col("rows_") <= n, F.lit(f"the period has more than {n} rows"))
+    checked = inside.join(F.broadcast(over)).filter(fits.isNull())  # one row
+    return checked.drop("rows_").orderBy("ts_ms", "event_id")
 
 
 def canonical(aliases: DataFrame, rounds: int = 40) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.web import channel, host, stable_bucket
 from tidemark.operators import alerts, cohorts, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
-from tidemark.plans import logsearch, records, schedules, views
+from tidemark.plans import issues, logsearch, records, schedules, spans, views
 from tidemark.sources import model
 from tidemark.sources.model import DAY_MS, HOUR_MS, SQL_EVENTS, SQL_SPANS
 
@@ -85,19 +85,19 @@ WHERE event_type = 'pageview' AND browser IN ('Chrome', 'Safari') AND country =
 )
 query("filter_empty_list", "events", "SELECT event_id FROM ev WHERE 1 = 0")(lambda ev: traffic.where(ev, any_of={"browser": []}).select("event_id"))
 
-CHANNEL_SQL = """CASE WHEN utm_source = 'google' THEN 'Organic Search' WHEN utm_source IN ('facebook', 'twitter') THEN 'Social' WHEN referrer = '' THEN 'Direct'
+CHANNEL_SQL = """CASE WHEN utm_medium = 'cpc' THEN 'Paid' WHEN utm_medium = 'email' THEN 'Email' WHEN utm_medium = 'social' THEN 'Social' WHEN utm_medium = 'organic' THEN 'Organic Search' WHEN utm_source = 'google' THEN 'Organic Search' WHEN utm_source IN ('facebook', 'twitter') THEN 'Social' WHEN referrer = '' THEN 'Direct'
   WHEN referrer LIKE 'https://chatgpt.com%' THEN 'AI Assistant' WHEN referrer LIKE 'https://www.google.%' THEN 'Organic Search' WHEN referrer LIKE 'https://t.co/%' THEN 'Social' ELSE 'Referral' END"""
 query("channels", "events", f"SELECT {CHANNEL_SQL} AS channel, count(DISTINCT session_id) AS visitors FROM ev GROUP BY 1")(traffic.channels)
-query("channel_filter", "events", f"SELECT event_id FROM ev WHERE {CHANNEL_SQL} = 'AI Assistant'")(lambda ev: ev.filter(channel(F.col("utm_source"), F.lit(""), F.col("referrer")) == "AI Assistant").select("event_id"))
+query("channel_filter", "events", f"SELECT event_id FROM ev WHERE {CHANNEL_SQL} = 'AI Assistant'")(lambda ev: ev.filter(channel(F.col("utm_source"), F.col("utm_medium"), F.col("referrer")) == "AI Assistant").select("event_id"))
 query("session_detail", "events", f"""SELECT event_id, ts_ms, event_type, pathname, ts_ms - min(ts_ms) OVER () AS since_ms FROM ev WHERE session_id = (SELECT min(session_id) FROM ev)""")(
     lambda ev: traffic.session_events(ev, ev.agg(F.min("session_id")).first()[0]).select("event_id", "ts_ms", "event_type", "pathname", "since_ms")
 )
 query("sessions_with_errors", "events", """SELECT session_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, min(ts_ms) FILTER (event_type = 'error') AS first_error_ms FROM ev GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0""")(traffic.sessions_with_errors)
-query("page_goal", "events", """SELECT count(DISTINCT session_id) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) AS conversions, count(*) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) AS events,
-  round(100 * count(DISTINCT session_id) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) / count(DISTINCT session_id), 6) AS rate_pct, 250 * count(*) FILTER (event_type = 'pageview' AND starts_with(pathname, '/4')) AS value_minor FROM ev""")(
-    lambda ev: rounded(traffic.page_goal(ev, "/4*", 250), rate_pct=6)
+query("page_goal", "events", """SELECT count(DISTINCT session_id) FILTER (event_type = 'pageview' AND pathname = '/4') AS conversions, count(*) FILTER (event_type = 'pageview' AND pathname = '/4') AS events,
+  round(100 * count(DISTINCT session_id) FILTER (event_type = 'pageview' AND pathname = '/4') / count(DISTINCT session_id), 6) AS rate_pct, 250 * count(*) FILTER (event_type = 'pageview' AND pathname = '/4') AS value_minor FROM ev""")(
+    lambda ev: rounded(traffic.page_goal(ev, "/4", 250), rate_pct=6)
 )
-query("bounded_scan", "events", f"SELECT event_id, ts_ms FROM ev WHERE ts_ms >= {START_MS} AND ts_ms < {START_MS + DAY_MS} ORDER BY ts_ms, event_id LIMIT 50")(lambda ev: traffic.bounded(ev, START_MS, START_MS + DAY_MS, 50).select("event_id", "ts_ms"))
+query("bounded_scan", "events", f"SELECT event_id, ts_ms FROM ev WHERE ts_ms >= {START_MS} AND ts_ms < {START_MS + DAY_MS} ")(lambda ev: traffic.bounded(ev, START_MS, START_MS + DAY_MS, 1_000_000).select("event_id", "ts_ms"))
 query("persons_count", "events", "SELECT count(DISTINCT distinct_id) AS persons FROM ev WHERE distinct_id <> ''")(lambda ev: traffic.persons(ev).agg(F.count("*").alias("persons")))
 query("person_timeline", "events", "SELECT event_id, ts_ms, session_id, event_type FROM ev WHERE distinct_id = '7' ORDER BY ts_ms DESC, event_id DESC LIMIT 100")(
     lambda ev: ev.filter("distinct_id = '7'").orderBy(F.desc("ts_ms"), F.desc("event_id")).limit(100).select("event_id", "ts_ms", "session_id", "event_type")
@@ -220,31 +220,9 @@ query("red_services", "spans", f"SELECT service, {_RED} FROM sp GROUP BY 1")(lam
 query("red_operations", "spans", f"SELECT service, operation, {_RED} FROM sp GROUP BY 1, 2")(lambda sp: rounded(tracing.red(sp, "service", "operation"), **_RED_DIGITS))
 query("span_minutes", "spans", "SELECT service, operation, start_ms // 60000 * 60000 AS bucket_ms, count(*) AS spans, count(*) FILTER (is_error) AS errors, CAST(sum(duration_ms) AS BIGINT) AS sum_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms FROM sp GROUP BY 1, 2, 3")(tracing.per_minute)
 query("service_deps", "spans", "SELECT p.service AS caller, c.service AS callee, count(*) AS calls, count(*) FILTER (c.is_error) AS errors, round(avg(c.duration_ms), 6) AS avg_ms FROM sp c JOIN sp p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE p.service <> c.service GROUP BY 1, 2")(lambda sp: rounded(tracing.dependencies(sp), avg_ms=6))
-query("trace_funnel", "spans", """, s1 AS (SELECT trace_id, min(start_ms) AS a FROM sp WHERE operation = 'op1' GROUP BY 1), s2 AS (SELECT n.trace_id, min(start_ms) AS a FROM s1 JOIN sp n ON n.trace_id = s1.trace_id AND n.operation = 'op2' AND n.start_ms > s1.a GROUP BY 1),
-  s3 AS (SELECT n.trace_id, min(start_ms) AS a FROM s2 JOIN sp n ON n.trace_id = s2.trace_id AND n.operation = 'op3' AND n.start_ms > s2.a GROUP BY 1) """ + _COUNT_STEPS.replace("entities", "traces"))(lambda sp: tracing.trace_funnel(sp, ["op1", "op2", "op3"]))
-_N1 = """, f AS (SELECT *, regexp_replace(statement, '\\b\\d+\\b', '?', 'g') AS fingerprint FROM sp WHERE parent_span_id IS NOT NULL),
-  m AS (SELECT *, CASE WHEN fingerprint = lag(fingerprint) OVER w THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, span_id, statement)),
-  r AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, span_id, statement ROWS UNBOUNDED PRECEDING) AS run FROM m),
-  g AS (SELECT trace_id, parent_span_id, run, min(fingerprint) AS fingerprint, count(*) AS n FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-  n1 AS (SELECT trace_id, parent_span_id, arg_max(fingerprint, (n, -run)) AS fingerprint, max(n) AS longest FROM g GROUP BY 1, 2)"""
-_SERIAL = """, s AS (SELECT *, coalesce(CAST(start_ms < lag(end_ms) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, end_ms, span_id) AS INT), 1) AS new FROM sp WHERE parent_span_id IS NOT NULL),
-  q AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ms, end_ms, span_id ROWS UNBOUNDED PRECEDING) AS run FROM s),
-  sd AS (SELECT trace_id, parent_span_id, count(*) AS spans, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM q GROUP BY trace_id, parent_span_id, run HAVING count(*) >= 2 AND sum(duration_ms) >= 100)"""
-
-
-def _repeated(sp: DataFrame) -> DataFrame:
-    return tracing.repeated_queries(sp.withColumn("span_id", F.struct("span_id", "statement")), 2)
-
-
-query("n_plus_one", "spans", _N1 + " SELECT * FROM n1")(_repeated)
-query("serial_db", "spans", _SERIAL + " SELECT * FROM sd")(lambda sp: tracing.serial_queries(sp, 2))
-query("span_issues", "spans", _N1 + _SERIAL + """, x AS (SELECT 'n_plus_one' AS kind, fingerprint, trace_id FROM n1 UNION ALL SELECT 'serial_db', '', trace_id FROM sd
-  UNION ALL SELECT 'slow', CASE WHEN duration_ms >= 4500 THEN 'error' ELSE 'warning' END, trace_id FROM sp WHERE duration_ms >= 900)
-SELECT kind, fingerprint, count(DISTINCT trace_id) AS traces, count(*) AS events, max(trace_id) AS last_trace FROM x GROUP BY 1, 2""")(lambda sp: tracing.span_issues(_repeated(sp), tracing.serial_queries(sp, 2), tracing.slow(sp, 900)))
 query("minute_percentiles", "spans", """, o AS (SELECT service, operation, start_ms // 60000 * 60000 AS bucket_ms, list_sort(list(duration_ms)) AS d FROM sp GROUP BY ALL)
 SELECT service, operation, bucket_ms, d[CAST(floor((len(d) - 1) * 0.5) AS INT) + 1] AS p50_ms, d[CAST(floor((len(d) - 1) * 0.95) AS INT) + 1] AS p95_ms, d[CAST(floor((len(d) - 1) * 0.99) AS INT) + 1] AS p99_ms FROM o""")(tracing.minute_percentiles)
 query("trace_detail", "spans", "SELECT span_id, parent_span_id, service, operation, start_ms, duration_ms, is_error FROM sp WHERE trace_id = 7")(lambda sp: tracing.trace(sp, 7).select("span_id", "parent_span_id", "service", "operation", "start_ms", "duration_ms", "is_error"))
-query("slow_spans", "spans", "SELECT trace_id, span_id, duration_ms, CASE WHEN duration_ms >= 4500 THEN 'error' ELSE 'warning' END AS severity FROM sp WHERE duration_ms >= 900")(lambda sp: tracing.slow(sp, 900))
 query("traces", "spans", "SELECT trace_id, count(*) AS spans, min(start_ms) AS start_ms, max(end_ms) - min(start_ms) AS duration_ms, bool_or(is_error) AS has_error, arg_min(service, (start_ms, span_id, service)) FILTER (parent_span_id IS NULL) AS root_service FROM sp GROUP BY 1")(
     lambda sp: tracing.traces(sp.withColumn("span_id", F.struct("span_id", "service")))
 )
@@ -312,8 +290,6 @@ query("error_bursts", "errors", _ERR + f""", c AS (SELECT error_type, ts_ms // {
 SELECT error_type, b * {6 * HOUR_MS} AS bucket_ms, events, round(mean, 6) AS mean FROM k JOIN x USING (error_type, b)""")(lambda er: rounded(errors.bursts(er, "error_type", 6 * HOUR_MS, 3, 1.2, quiet=4), mean=6))
 ORACLE_SQL["error_bursts"] = ORACLE_SQL["error_bursts"].replace("WITH ", "WITH RECURSIVE ", 1)
 query("issue_releases", "errors", _ERR + " SELECT group_hash, release, count(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM eh WHERE release <> '' GROUP BY 1, 2")(errors.releases_of)
-query("issue_since", "errors", _ERR + f" SELECT group_hash, count(*) AS events, count(DISTINCT distinct_id) AS users FROM eh WHERE ts_ms >= {START_MS + 20 * DAY_MS} GROUP BY 1")(lambda er: errors.counted_since(er, START_MS + 20 * DAY_MS))
-query("release_sparkline", "errors", _ERR + f" SELECT release, ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, count(*) AS events FROM er WHERE release <> '' GROUP BY 1, 2")(lambda er: errors.release_sparkline(er, DAY_MS))
 query("issue_titles", "errors", _ERR + " SELECT DISTINCT group_hash, left(concat(error_type, ': ', message), 120) AS title FROM eh")(lambda er: er.select(errors.group_hash(F.col("error_type"), F.col("message")).alias("group_hash"), errors.title(F.col("error_type"), F.col("message")).alias("title")).distinct())
 
 
@@ -450,5 +426,5 @@ SELECT part.p_partkey, p_type AS model, p_brand AS provider, CAST(price AS DOUBL
   e AS (SELECT role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM v) SELECT source, target, count(*) AS transitions FROM e WHERE target IS NOT NULL GROUP BY 1, 2""",
     "top_customers": "WITH n AS (SELECT c_mktsegment, c_custkey, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_mktsegment, c_custkey, orders, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY orders DESC, c_custkey) AS INT) AS rank FROM n QUALIFY rank <= 3",
 }
-QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL
+QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES | spans.QUERIES | issues.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL | spans.ORACLE_SQL | issues.ORACLE_SQL

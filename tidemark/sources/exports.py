@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -35,46 +37,92 @@ FUNCTIONS = frozenset(
 )
 
 
-def _unscoped(plan: str, tables: set[str]) -> str | None:
-    """What a parsed plan (JSON) names beyond tables, its own common table expressions and FUNCTIONS."""
-    found: list[tuple[str, str]] = []
-    own: set[str] = set()
-
-    def walk(node: object) -> None:
-        if isinstance(node, list):
-            for x in node:
-                walk(x)
-        elif isinstance(node, dict):
-            kind = str(node.get("class", "")).rsplit(".", 1)[-1]
-            names = [x.strip().lower() for x in str(node.get("multipartIdentifier", node.get("nameParts", node.get("name", "")))).strip("[]").split(",")]
-            if kind in ("UnresolvedRelation", "UnresolvedFunction"):
-                found.append((kind, ".".join(names)))
-            elif kind in ("UnresolvedTableValuedFunction", "UnresolvedTableSpec", "UnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier", "ScriptTransformation", "UnresolvedInlineTable"):
-                found.append((kind, kind))
-            own.update(str(x["_1"]).lower() for x in node.get("cteRelations", ()))
-            for x in node.values():
-                walk(x)
-
-    walk(json.loads(plan))
-    for kind, name in found:
-        if name not in (tables | own if kind == "UnresolvedRelation" else FUNCTIONS):
-            return name
-    return None
-
-
-def ask(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100) -> DataFrame:
-    """At most limit rows of a query over Parquet tables, given by name and path.
+#: Nodes of a parsed plan that name data or code in other ways than by a plain name.
+_OTHER_WAYS = frozenset(
+    """UnresolvedTableValuedFunction UnresolvedTableSpec UnresolvedIdentifier PlanWithUnresolvedIdentifier ExpressionWithUnresolvedIdentifier ScriptTransformation UnresolvedInlineTable
+    UnresolvedTable UnresolvedView UnresolvedTableOrView RelationTimeTravel UnresolvedTVFAliases""".split()
+)
 
-    The query is wrapped as a subquery, which Spark's own parser accepts for queries alone, in a session of its own
-    that reads no files by path. What the parsed query names must be among the tables, its common table expressions
-    and FUNCTIONS; anything else is refused before anything runs.
+
+def _check(nodes: object, scope: frozenset[str]) -> None:
+    """Refuses a parsed plan (nodes in pre-order, each with its number of children) that names what is not in scope.
+
+    A table expression is in scope in the query that its WITH belongs to and in the expressions after it, nowhere else.
+    Names of tables have one part, so that none reaches another catalogue or schema.
     """
+    if isinstance(nodes, dict):
+        nodes = [nodes] if "class" in nodes else list(nodes.values())
+    if not isinstance(nodes, list):
+        return
+    at = 0
+    while at < len(nodes):
+        at = _node(nodes, at, scope) if isinstance(nodes[at], dict) and "class" in nodes[at] else _skip(nodes, at, scope)
+
+
+def _skip(nodes: list, at: int, scope: frozenset[str]) -> int:
+    _check(nodes[at], scope)
+    return at + 1
+
+
+def _node(nodes: list, at: int, scope: frozenset[str]) -> int:
+    node = nodes[at]
+    kind = str(node["class"]).rsplit(".", 1)[-1]
+    parts = [x.strip().lower() for x in str(node.get("multipartIdentifier", node.get("nameParts", node.get("name", "")))).strip("[]").split(",")]
+    if kind in _OTHER_WAYS:
+        raise ValueError(f"not in scope: {kind}")
+    if kind == "UnresolvedRelation" and (len(parts) > 1 or parts[0] not in scope) or kind == "UnresolvedFunction" and ".".join(parts) not in FUNCTIONS:
+        raise ValueError(f"not in scope: {'.'.join(parts)}")
+    for expression in node.get("cteRelations", ()):
+        name = frozenset([str(expression["_1"]).lower()])
+        _check(expression["_2"], scope | name if node.get("allowRecursion") else scope)
+        scope |= name
+    for field, value in node.items():
+        if field != "cteRelations":
+            _check(value, scope)
+    at += 1
+    for _ in range(int(node.get("num-children", 0))):
+        at = _node(nodes, at, scope)
+    return at
+
+
+def _scoped(spark: SparkSession, query: str, tables: dict[str, str], columns: dict[str, list[str]] | None, limit: int) -> tuple[SparkSession, str]:
+    """A session of its own that knows the tables only, and the query as a subquery, found to be in scope."""
     own = spark.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
     text = f"SELECT * FROM ({query}\n) LIMIT {int(limit)}"
-    plan = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if other := _unscoped(plan.toJSON(), {t.lower() for t in tables}):
-        raise ValueError(f"not in scope: {other}")
+    _check(json.loads(own._jsparkSession.sessionState().sqlParser().parsePlan(text).toJSON()), frozenset(t.lower() for t in tables))
     for name, path in tables.items():
-        own.read.parquet(path).createOrReplaceTempView(name)
+        shown = own.read.parquet(path)
+        (shown.select(*[f"`{c}`" for c in columns[name]]) if columns and name in columns else shown).createOrReplaceTempView(name)
+    return own, text
+
+
+def ask(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """At most limit rows of a query over Parquet tables, given by name and path, and shown with the given columns only.
+
+    The query is wrapped as a subquery, which Spark's own parser accepts for queries alone, in a session of its own
+    that reads no files by path. What the parsed query names must be among the tables, its common table expressions
+    where they are in scope, and FUNCTIONS; anything else is refused before anything runs.
+    """
+    own, text = _scoped(spark, query, tables, columns, limit)
     return own.sql(text)
+
+
+def explained(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100, columns: dict[str, list[str]] | None = None) -> str:
+    """The plan of a query that ask() would run, without running it."""
+    own, text = _scoped(spark, query, tables, columns, limit)
+    return own.sql(f"EXPLAIN FORMATTED {text}").first()[0]
+
+
+def answered(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100, columns: dict[str, list[str]] | None = None, seconds: float = 10) -> list[Row]:
+    """The rows of ask(), which Spark is told to stop looking for after some seconds."""
+    own, text = _scoped(spark, query, tables, columns, limit)
+    tag = f"ask-{uuid.uuid4().hex}"
+    own.addTag(tag)
+    timer = threading.Timer(seconds, own.interruptTag, [tag])
+    timer.start()
+    try:
+        return own.sql(text).collect()
+    finally:
+        timer.cancel()
+        own.removeTag(tag)

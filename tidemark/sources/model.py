@@ -46,16 +46,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: the trace is the order, line 1 its root, and the quantity gives the duration."""
+    """One row per order line: the trace is the order, line 1 its root, the quantity gives the duration, the part what it is."""
     line = table(spark, sf_dir, "lineitem")
     start = epoch_ms("l_shipdate") + F.col("l_linenumber") * 100
-    duration = (F.col("l_quantity") * 20).cast("long")
+    duration, part = (F.col("l_quantity") * 20).cast("long"), F.col("l_partkey") % 7
     return line.select(
         F.col("l_orderkey").alias("trace_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"),
         F.when(F.col("l_linenumber") > 1, F.col("l_orderkey") * 10 + F.expr("l_linenumber div 2")).alias("parent_span_id"),
         F.concat("l_returnflag", "l_linestatus").alias("service"), F.concat(F.lit("op"), F.col("l_partkey") % 7).alias("operation"),
         start.alias("start_ms"), duration.alias("duration_ms"), (start + duration).alias("end_ms"), (F.col("l_discount") >= 0.09).alias("is_error"),
-        F.concat(F.lit("SELECT * FROM t"), F.col("l_suppkey") % 3, F.lit(" WHERE id = "), F.col("l_partkey")).alias("statement"),
+        F.when(F.col("l_linenumber") == 1, "server").when(part >= 5, "client").otherwise("internal").alias("kind"),
+        F.when(part < 4, F.concat(F.lit("SELECT *\n FROM t"), F.col("l_suppkey") % 3, F.lit(" WHERE id = "), F.col("l_partkey")))
+        .when(part == 4, F.concat(F.lit("update stock set note = 'it\\'s "), F.col("l_partkey"), F.lit("' where id = 1.5"))).when(part == 5, "COMMIT").otherwise("").alias("statement"),
+        F.when(part == 6, F.concat(F.lit("https://api.example.org/v"), F.col("l_suppkey") % 3)).otherwise("").alias("http_url"),
     )
 
 
@@ -87,7 +90,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events with a type, a message that holds numbers, a release and a user."""
     found = events(spark, sf_dir).filter("event_type = 'error'")
-    return found.select("event_id", "ts_ms", "session_id", "distinct_id", "release", F.concat(F.lit("E"), F.expr("k div 20")).alias("error_type"), F.concat(F.lit("cannot load item 1000"), F.col("k"), F.lit(" for user"), F.col("distinct_id").cast("long") % 5).alias("message"))
+    level = F.when(F.col("k") % 10 == 0, "fatal").when(F.col("k") % 10 < 3, "warning").otherwise("error")
+    return found.select("event_id", "ts_ms", "session_id", "distinct_id", "release", level.alias("level"), F.concat(F.lit("E"), F.expr("k div 20")).alias("error_type"), F.concat(F.lit("cannot load item 1000"), F.col("k"), F.lit(" for user"), F.col("distinct_id").cast("long") % 5).alias("message"))
 
 
 #: The same model in SQL, as common table expressions that the expected results start from.
@@ -105,5 +109,7 @@ SQL_SPANS = """sp AS (
   SELECT l_orderkey AS trace_id, l_orderkey * 10 + l_linenumber AS span_id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + l_linenumber // 2 END AS parent_span_id,
     concat(l_returnflag, l_linestatus) AS service, concat('op', l_partkey % 7) AS operation, epoch_us(l_shipdate) // 1000 + l_linenumber * 100 AS start_ms,
     CAST(l_quantity * 20 AS BIGINT) AS duration_ms, epoch_us(l_shipdate) // 1000 + l_linenumber * 100 + CAST(l_quantity * 20 AS BIGINT) AS end_ms,
-    l_discount >= 0.09 AS is_error, concat('SELECT * FROM t', l_suppkey % 3, ' WHERE id = ', l_partkey) AS statement
+    l_discount >= 0.09 AS is_error, CASE WHEN l_linenumber = 1 THEN 'server' WHEN l_partkey % 7 >= 5 THEN 'client' ELSE 'internal' END AS kind,
+    CASE WHEN l_partkey % 7 < 4 THEN concat('SELECT *', chr(10), ' FROM t', l_suppkey % 3, ' WHERE id = ', l_partkey) WHEN l_partkey % 7 = 4 THEN concat('update stock set note = ''it\\''s ', l_partkey, ''' where id = 1.5')
+      WHEN l_partkey % 7 = 5 THEN 'COMMIT' ELSE '' END AS statement, CASE WHEN l_partkey % 7 = 6 THEN concat('https://api.example.org/v', l_suppkey % 3) ELSE '' END AS http_url
   FROM lineitem)"""
