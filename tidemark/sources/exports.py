@@ -117,12 +117,12 @@ def explained(spark: SparkSession, query: str, tables: dict[str, str], limit: in
 def answered(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100, columns: dict[str, list[str]] | None = None, seconds: float = 10) -> list[Row]:
     """The rows of ask(), which Spark is told to stop looking for after some seconds."""
     own, text = _scoped(spark, query, tables, columns, limit)
-    tag = f"ask-{uuid.uuid4().hex}"
-    own.addTag(tag)
-    timer = threading.Timer(seconds, own.interruptTag, [tag])
+    jobs, tag = spark.sparkContext, f"ask-{uuid.uuid4().hex}"
+    jobs.addJobTag(tag)
+    timer = threading.Timer(seconds, jobs.cancelJobsWithTag, [tag])
     timer.start()
     try:
         return own.sql(text).collect()
     finally:
         timer.cancel()
-        own.removeTag(tag)
+        jobs.removeJobTag(tag)
