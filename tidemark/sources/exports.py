@@ -117,12 +117,19 @@ def explained(spark: SparkSession, query: str, tables: dict[str, str], limit: in
 def answered(spark: SparkSession, query: str, tables: dict[str, str], limit: int = 100, columns: dict[str, list[str]] | None = None, seconds: float = 10) -> list[Row]:
     """The rows of ask(), which Spark is told to stop looking for after some seconds."""
     own, text = _scoped(spark, query, tables, columns, limit)
-    jobs, tag = spark.sparkContext, f"ask-{uuid.uuid4().hex}"
+    jobs, tag, done = spark.sparkContext, f"ask-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        if not done.wait(seconds):
+            while not done.wait(0.2):  # a query may have several jobs one after another
+                jobs.cancelJobsWithTag(tag)
+
     jobs.addJobTag(tag)
-    timer = threading.Timer(seconds, jobs.cancelJobsWithTag, [tag])
-    timer.start()
+    watch = threading.Thread(target=stop, daemon=True)
+    watch.start()
     try:
         return own.sql(text).collect()
     finally:
-        timer.cancel()
+        done.set()
+        watch.join()
         jobs.removeJobTag(tag)
