@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import web
-from tidemark.operators import alerts, cohorts, detectors, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
+from tidemark.operators import cohorts, detectors, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
 from tidemark.sources import exports
 
 EVENTS = "ts_ms long, event_id long, session_id string, event_type string"
@@ -147,14 +147,6 @@ def test_latest_and_members(spark):
     assert {tuple(r) for r in rollups.latest(df.filter("not removed"), ["entity_id"], ["version"]).select("entity_id", "version").collect()} == {("a", 2), ("b", 1)}
 
 
-def test_alert_states(spark):
-    rows = [("r", t, v, n) for t, (v, n) in enumerate([(1.0, 9), (9.0, 9), (9.0, 1), (9.0, 9), (1.0, 9)])]
-    found = alerts.states(spark.createDataFrame(rows, "rule string, ts_ms long, value double, samples long"), 5.0, 5).orderBy("ts_ms").collect()
-    assert [r["state"] for r in found] == ["healthy", "firing", "no_data", "firing", "healthy"]
-    assert [bool(r["opens"]) for r in found] == [False, True, False, False, False]
-    assert [bool(r["closes"]) for r in found] == [False] * 4 + [True]
-
-
 def test_monitors_and_incidents(spark):
     checks = spark.createDataFrame([("a", 10), ("b", 90)], "monitor string, ts_ms long")
     assert [r["monitor"] for r in lookups.missed(checks, 100, 20, 5).collect()] == ["a"]

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.web import channel, host, stable_bucket
-from tidemark.operators import alerts, cohorts, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
-from tidemark.plans import issues, logsearch, records, schedules, spans, views
+from tidemark.operators import cohorts, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
+from tidemark.plans import alerting, issues, logsearch, records, schedules, spans, views
 from tidemark.sources import model
 from tidemark.sources.model import DAY_MS, HOUR_MS, SQL_EVENTS, SQL_SPANS
 
@@ -354,21 +354,6 @@ FROM late l FULL JOIN old o USING (session_id)""")(
 query("retention_ttl", "events", f"SELECT count(*) AS events FROM ev WHERE ts_ms >= {END_MS - 7 * DAY_MS}")(lambda ev: rollups.expired(ev, END_MS, 7).agg(F.count("*").alias("events")))
 
 
-def alert_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(alerts.figures(model.events(spark, sf_dir), model.spans(spark, sf_dir)), value=6)
-
-
-QUERIES["alert_metrics"] = alert_metrics
-ORACLE_SQL["alert_metrics"] = f"""WITH {SQL_EVENTS}, {SQL_SPANS}
-SELECT 'pageviews' AS figure, CAST(count(*) FILTER (event_type = 'pageview') AS DOUBLE) AS value FROM ev UNION ALL SELECT 'visitors', count(DISTINCT session_id) FROM ev UNION ALL SELECT 'error_count', count(*) FILTER (event_type = 'error') FROM ev
-UNION ALL SELECT 'error_rate', round(avg((event_type = 'error')::DOUBLE), 6) FROM ev UNION ALL SELECT 'trace_error_rate', round(avg(is_error::DOUBLE), 6) FROM sp UNION ALL SELECT 'trace_p95_ms', round(quantile_cont(duration_ms, 0.95), 6) FROM sp"""
-query("alert_states", "events", f""", e AS (SELECT event_type AS rule, ts_ms // {DAY_MS} * {DAY_MS} AS ts_ms, avg(k) AS value, count(*) AS samples FROM ev GROUP BY 1, 2), s AS (SELECT *, CASE WHEN samples < 5 THEN 'no_data' WHEN value > 50 THEN 'firing' ELSE 'healthy' END AS state FROM e),
-  b AS (SELECT *, coalesce(last_value(CASE WHEN state <> 'no_data' THEN state END IGNORE NULLS) OVER (PARTITION BY rule ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'healthy') AS before FROM s)
-SELECT rule, ts_ms, round(value, 6) AS value, samples, state, state = 'firing' AND before = 'healthy' AS opens, state = 'healthy' AND before = 'firing' AS closes FROM b""")(
-    lambda ev: rounded(alerts.states(ev.groupBy(F.col("event_type").alias("rule"), F.expr(f"(ts_ms div {DAY_MS}) * {DAY_MS}").alias("ts_ms")).agg(F.avg("k").alias("value"), F.count("*").alias("samples")), 50.0, 5), value=6)
-)
-
-
 def collapse_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest order of each customer."""
     return rollups.latest(model.table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
@@ -426,5 +411,5 @@ SELECT part.p_partkey, p_type AS model, p_brand AS provider, CAST(price AS DOUBL
   e AS (SELECT role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM v) SELECT source, target, count(*) AS transitions FROM e WHERE target IS NOT NULL GROUP BY 1, 2""",
     "top_customers": "WITH n AS (SELECT c_mktsegment, c_custkey, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_mktsegment, c_custkey, orders, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY orders DESC, c_custkey) AS INT) AS rank FROM n QUALIFY rank <= 3",
 }
-QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES | spans.QUERIES | issues.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL | spans.ORACLE_SQL | issues.ORACLE_SQL
+QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES | spans.QUERIES | issues.QUERIES | alerting.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL | spans.ORACLE_SQL | issues.ORACLE_SQL | alerting.ORACLE_SQL
