@@ -44,11 +44,3 @@ def test_evaluations_are_kept_once(spark, tmp_path):
     df = stream(spark, rows, "ts timestamp, site_id string, flag_key string, variant string, user_id string", str(tmp_path / "in"))
     found = finish(jobs.evaluations(df), "evaluations").select("variant", "user_id").collect()
     assert sorted(map(tuple, found)) == [("off", "u"), ("on", "u"), ("on", "v")]
-
-
-def test_upsert_is_idempotent(spark, tmp_path):
-    write = jobs.upsert(str(tmp_path / "out"), ["id"])
-    batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, v string")
-    write(batch, 0)
-    write(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.web import channel, is_bot, path, utm
+from tidemark.streaming.keyed import KeyedTable
 
 
 def ingested(raw: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -35,10 +36,10 @@ def evaluations(raw: DataFrame, window: str = "1 hour") -> DataFrame:
     return raw.withWatermark("ts", window).dropDuplicatesWithinWatermark(["site_id", "flag_key", "variant", "user_id"])
 
 
-def upsert(path_: str, keys: list[str]):
-    """A foreachBatch sink that appends each batch under its number, once: a repeated batch replaces itself."""
+def upsert(table: KeyedTable):
+    """A foreachBatch sink that merges each micro-batch into a keyed table, once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path_}/batch={number}")
+        table.merge(batch, number)
 
     return write
