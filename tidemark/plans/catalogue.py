@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.web import channel, host, stable_bucket
 from tidemark.operators import cohorts, errors, experiments, logs, lookups, metrics, rollups, sequences, tracing, traffic
-from tidemark.plans import admission, alerting, issues, logsearch, privacy, records, schedules, spans, views
+from tidemark.plans import admission, alerting, coverage, issues, logsearch, privacy, records, schedules, spans, views
 from tidemark.sources import model
 from tidemark.sources.model import DAY_MS, HOUR_MS, SQL_EVENTS, SQL_SPANS
 
@@ -411,5 +411,5 @@ SELECT part.p_partkey, p_type AS model, p_brand AS provider, CAST(price AS DOUBL
   e AS (SELECT role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM v) SELECT source, target, count(*) AS transitions FROM e WHERE target IS NOT NULL GROUP BY 1, 2""",
     "top_customers": "WITH n AS (SELECT c_mktsegment, c_custkey, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_mktsegment, c_custkey, orders, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY orders DESC, c_custkey) AS INT) AS rank FROM n QUALIFY rank <= 3",
 }
-QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES | spans.QUERIES | issues.QUERIES | alerting.QUERIES | privacy.QUERIES | admission.QUERIES
-ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL | spans.ORACLE_SQL | issues.ORACLE_SQL | alerting.ORACLE_SQL | privacy.ORACLE_SQL | admission.ORACLE_SQL
+QUERIES |= records.QUERIES | views.QUERIES | schedules.QUERIES | logsearch.QUERIES | spans.QUERIES | issues.QUERIES | alerting.QUERIES | privacy.QUERIES | admission.QUERIES | coverage.QUERIES
+ORACLE_SQL |= records.ORACLE_SQL | views.ORACLE_SQL | schedules.ORACLE_SQL | logsearch.ORACLE_SQL | spans.ORACLE_SQL | issues.ORACLE_SQL | alerting.ORACLE_SQL | privacy.ORACLE_SQL | admission.ORACLE_SQL | coverage.ORACLE_SQL
