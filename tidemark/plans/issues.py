@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import errors, experiments
+from tidemark.operators import errors, experiments, sourcemaps
 from tidemark.sources import model
 from tidemark.sources.model import DAY_MS, SQL_EVENTS
 
@@ -52,11 +52,22 @@ def _continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("variant", "n", F.round("mean", 6).alias("mean"), F.round("lift", 6).alias("lift"), "winner", "test", "horizon_met")
 
 
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of events in built files, of which one file has a map in each release: ten lines of three segments."""
+    ev = model.events(spark, sf_dir)
+    mappings = "AAAAA,K,KACA" + ";AACA,K,KACA" * 9
+    text = F.concat(F.lit('{"version":3,"names":["main"],"sources":["src/'), "release", F.lit(f'.ts"],"mappings":"{mappings}"}}'))
+    maps = ev.select("release").distinct().select("release", F.lit("static/app.js").alias("file"), text.alias("map"))
+    file = F.when(F.col("event_id") % 5 == 0, "other.js").otherwise(F.concat(F.lit("https://cdn.example.org/static/app.js?v="), F.col("k") % 3))
+    frames = ev.select("event_id", "release", file.alias("file"), (F.col("k") % 12 + 1).cast("int").alias("line"), (F.col("event_id") % 30 + 1).cast("int").alias("column"))
+    return sourcemaps.resolved(frames, maps).select("event_id", "source", "source_line", "source_column", "name")
+
+
 _VALUES = f"WITH {SQL_EVENTS}" + """, v AS (
   SELECT ['a', 'b', 'c'][CAST(distinct_id AS BIGINT) % 3 + 1] AS variant, max(k) >= 80 - 15 * (CAST(distinct_id AS BIGINT) % 3) AS hit, max(k) AS top FROM ev GROUP BY visit_id, distinct_id
 )"""
 
-QUERIES = {"issue_since": _since, "release_sparkline": _sparkline, "experiment_verdict": _verdict, "experiment_verdict_means": _continuous}
+QUERIES = {"issue_since": _since, "release_sparkline": _sparkline, "experiment_verdict": _verdict, "experiment_verdict_means": _continuous, "source_frames": _frames}
 ORACLE_SQL = {
     "issue_since": f"""{_ERRORS}, m AS (SELECT group_hash AS alias, (SELECT min(group_hash) FROM er WHERE kind = 1) AS canonical FROM (SELECT DISTINCT group_hash FROM er WHERE kind = 1)),
   x AS (SELECT er.*, coalesce(m.canonical, er.group_hash) AS issue FROM er LEFT JOIN m ON m.alias = er.group_hash)
@@ -77,6 +88,8 @@ SELECT day_ms, coalesce(sessions, 0) AS sessions, coalesce(crashed, 0) AS crashe
 SELECT a.variant, a.n::BIGINT AS n, round(a.k / a.n, 6) AS mean, CASE WHEN a.variant <> 'a' THEN round(a.k / a.n - c.k / c.n, 6) END AS lift, coalesce(g.significant, false) AS significant,
   a.variant = best.variant AND a.k / a.n > c.k / c.n AND coalesce(g.significant, false) AND o.p < 0.05 AND o.horizon AND o.ratio_p >= 0.001 AS winner, 'chi-square' AS test, o.horizon AS horizon_met, o.ratio_p < 0.001 AS ratio_broken
 FROM a LEFT JOIN g USING (variant), c, o, best""",
+    "source_frames": f"""WITH {SQL_EVENTS}, f AS (SELECT event_id, release, k % 12 + 1 AS line, event_id % 30 AS col, event_id % 5 <> 0 AND k % 12 < 10 AND event_id % 30 NOT BETWEEN 5 AND 9 AS hit FROM ev)
+SELECT event_id, CASE WHEN hit THEN concat('src/', release, '.ts') END AS source, CASE WHEN hit THEN CAST(2 * line - if(col < 5, 1, 0) AS INT) END AS source_line, CASE WHEN hit THEN 1::INT END AS source_column, CASE WHEN hit AND line = 1 AND col < 5 THEN 'main' END AS name FROM f""",
     "experiment_verdict_means": _VALUES + """, a AS (SELECT variant, count(*) AS n, avg(top) AS mean FROM v GROUP BY 1)
 SELECT variant, n, round(mean, 6) AS mean, CASE WHEN variant <> 'b' THEN round(mean - (SELECT mean FROM a WHERE variant = 'b'), 6) END AS lift, false AS winner, 'welch-t' AS test, false AS horizon_met FROM a""",
 }
