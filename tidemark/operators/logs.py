@@ -163,11 +163,9 @@ def pipeline(logs: DataFrame, rules: Sequence[dict]) -> DataFrame:
 
 
 def fnv1a(text: Column) -> Column:
-    """Unsigned 32-bit FNV-1a of a text's UTF-8 bytes."""
-    digits = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
-    at = F.filter(F.sequence(F.lit(1), F.length(digits) + 1, F.lit(2)), lambda i: i < F.length(digits))
-    octets = F.transform(at, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Unsigned 32-bit FNV-1a of a text's UTF-8 bytes, each of which Latin-1 reads as one character."""
+    octets = F.split(F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1"), "")
+    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, c: F.when(c == "", h).otherwise((h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def _put(key: str, value: Column) -> Column:
@@ -181,4 +179,6 @@ def _renamed(key: str, to: str) -> Column:
 
 
 def _with_all(pairs: Column) -> Column:
-    return F.map_concat(F.map_filter("attributes", lambda k, _: ~F.map_contains_key(pairs, k)), pairs)
+    """The attributes with all pairs, null values too, in place of those that share their keys."""
+    held = F.transform_values(pairs, lambda _, v: F.struct(v.alias("v")))
+    return F.map_zip_with("attributes", held, lambda _, old, new: F.when(new.isNotNull(), new["v"]).otherwise(old))
