@@ -279,6 +279,21 @@ def test_user_agents(spark, agent, expected):
     assert tuple(df.select("b.name", "b.version", "o", "d").first()) == expected
 
 
+def test_versions_of_systems(spark):
+    cases = {
+        "Mozilla/5.0 (Windows NT 10.0; Win64; x64)": "10", "Mozilla/5.0 (Windows NT 6.1; Trident/7.0)": "7", "x (Windows NT 7.9; y)": "7.9", "x (iPhone; CPU iPhone OS 17_2 like Mac OS X)": "17.2", "x (iPad; CPU OS 16_7_1 like Mac OS X)": "16.7.1",
+        "x (Macintosh; Intel Mac OS X 14_2) y": "14.2", "x (Linux; Android 14; Pixel 8) y": "14", "x (X11; Linux x86_64)": "", "x (iPod)": "", "": "", "x (X11; CrOS x86)": "",
+    }
+    df = spark.createDataFrame([(a,) for a in cases], "a string")
+    assert {r["a"]: r["v"] for r in df.select("a", web.os_version(F.col("a")).alias("v")).collect()} == cases
+
+
+def test_absent_labels_are_not_empty_ones(spark):
+    points = spark.createDataFrame([(1, {"a": ""}), (2, {}), (3, {"a": "x"})], "value int, attributes map<string,string>")
+    assert [r["value"] for r in metrics.labelled(points, {"a": ""}).collect()] == [1]
+    assert {r["a"]: r["n"] for r in metrics.with_labels(points, "a").groupBy("a").agg(F.count("*").alias("n")).collect()} == {"": 1, None: 1, "x": 1}
+
+
 def test_aliases_and_pages(spark):
     aliases = traffic.canonical(spark.createDataFrame([("c", "b"), ("b", "a"), ("d", "c")], "alias string, target string"), 2)
     assert {tuple(r) for r in aliases.collect()} == {("c", "a"), ("b", "a"), ("d", "a")}

@@ -17,15 +17,15 @@ def reduced(points: DataFrame, how: str, step_ms: int, *by: str) -> DataFrame:
 
 
 def labelled(points: DataFrame, equals: dict[str, str] | None = None, any_of: dict[str, list[str]] | None = None) -> DataFrame:
-    """Points whose attributes (a map) have these values; an absent label is empty."""
+    """Points whose attributes (a map) have these labels with these values; an absent label has no value, not an empty one."""
     for key, values in ({k: [v] for k, v in (equals or {}).items()} | (any_of or {})).items():
-        points = points.filter(F.coalesce(F.col("attributes")[key], F.lit("")).isin(values))
+        points = points.filter(F.col("attributes")[key].isin(values))
     return points
 
 
 def with_labels(points: DataFrame, *labels: str) -> DataFrame:
-    """Points with some of their labels as columns, to group by; an absent label is empty."""
-    return points.withColumns({k: F.coalesce(F.col("attributes")[k], F.lit("")) for k in labels})
+    """Points with some of their labels as columns, to group by; an absent label is null, which is not the empty one."""
+    return points.withColumns({k: F.col("attributes")[k] for k in labels})
 
 
 def latest(points: DataFrame, *by: str) -> DataFrame:

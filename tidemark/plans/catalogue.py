@@ -264,7 +264,7 @@ query("log_histogram", "logs", _LOGS + f" SELECT ts_ms // {DAY_MS} * {DAY_MS} AS
 query("log_search", "logs", _LOGS + " SELECT log_id, ts_ms, level, message FROM lg WHERE (level IN ('warn', 'WARN', 'Warn') OR contains(lower(message), 'user 7 ')) AND NOT k > 50 ORDER BY ts_ms DESC, log_id DESC LIMIT 200")(
     lambda lg: logs.search(lg, logs.all_of(logs.any_of(logs.level_is("warn"), logs.message_has("USER 7 ")), logs.none_of(logs.attribute("k", ">", "50")))).select("log_id", "ts_ms", "level", "message")
 )
-_MP = ", mp AS (SELECT concat(event_type, '/', CAST(distinct_id AS BIGINT) % 3) AS stream, event_type AS metric, CAST(CAST(distinct_id AS BIGINT) % 3 AS VARCHAR) AS shard, browser, ts_ms, event_id, k::DOUBLE AS value FROM ev)"
+_MP = ", mp AS (SELECT concat(event_type, '/', CAST(distinct_id AS BIGINT) % 3) AS stream, event_type AS metric, CAST(CAST(distinct_id AS BIGINT) % 3 AS VARCHAR) AS shard, CASE WHEN os <> '' THEN browser END AS browser, ts_ms, event_id, k::DOUBLE AS value FROM ev)"
 query("host_latest", "labelled_points", _MP + " SELECT shard, metric, arg_max(value, (ts_ms, event_id)) AS value, max(ts_ms) AS ts_ms FROM mp GROUP BY 1, 2")(lambda mp: metrics.latest(metrics.with_labels(mp, "shard"), "shard", "metric"))
 query("host_history", "labelled_points", _MP + f" SELECT shard, ts_ms // {DAY_MS} * {DAY_MS} AS bucket_ms, round(avg(value), 6) AS value FROM mp WHERE shard = '1' AND metric = 'click' GROUP BY 1, 2")(
     lambda mp: rounded(metrics.reduced(metrics.with_labels(metrics.labelled(mp.filter("metric = 'click'"), {"shard": "1"}), "shard"), "avg", DAY_MS, "shard"), value=6)

@@ -68,9 +68,10 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """metric_points with their labels: the third of the users as shard, and the browser."""
+    """metric_points with their labels: the third of the users as shard, and the browser where the system is known."""
     shard = (F.col("distinct_id").cast("long") % 3).cast("string")
-    labels = F.map_from_arrays(F.array(F.lit("shard"), F.lit("browser")), F.array(shard, F.col("browser")))
+    pairs = F.map_from_arrays(F.array(F.lit("shard"), F.lit("browser")), F.array(shard, F.when(F.col("os") != "", F.col("browser"))))
+    labels = F.map_filter(pairs, lambda _, v: v.isNotNull())
     return events(spark, sf_dir).select(F.concat_ws("/", "event_type", shard).alias("stream"), F.col("event_type").alias("metric"), "ts_ms", "event_id", F.col("k").cast("double").alias("value"), labels.alias("attributes"))
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.web import channel, is_bot, path, utm
+from tidemark.functions.web import browser, channel, device, is_bot, operating_system, os_version, path, utm
 from tidemark.streaming.keyed import KeyedTable
 
 
 def ingested(raw: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Events (event_id, ts, url, referrer, agent, ..) without bots and replays, with path, campaign and channel."""
+    """Events (event_id, ts, url, referrer, agent, ..) without bots and replays, with path, campaign, channel and agent."""
     kept = raw.filter(~is_bot(F.col("agent"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    source = utm(F.col("url"), "source")
-    return kept.withColumn("pathname", path(F.col("url"))).withColumn("utm_source", source).withColumn("channel", channel(source, utm(F.col("url"), "medium"), F.col("referrer")))
+    named = {f"utm_{name}": utm(F.col("url"), name) for name in ("source", "medium", "campaign", "term", "content")}
+    agent = F.col("agent")
+    by = {"browser": browser(agent)["name"], "browser_version": browser(agent)["version"], "os": operating_system(agent), "os_version": os_version(agent), "device": device(agent)}
+    return kept.withColumns({"pathname": path(F.col("url")), "channel": channel(named["utm_source"], named["utm_medium"], F.col("referrer"))} | named | by)
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
