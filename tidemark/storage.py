@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,14 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, hours: float = 24) -> int:
+    """Delete the written tables that are older than some hours, longer than any query runs; how many there were."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(f"{scratch_dir(spark)}/tidemark")
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in (files.listStatus(base) if files.exists(base) else ()) if s.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
