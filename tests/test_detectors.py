@@ -122,3 +122,9 @@ def test_channels_read_the_medium(spark):
     ]
     df = spark.createDataFrame(cases, "r string, s string, m string, want string")
     assert not df.filter(channel(F.col("s"), F.col("m"), F.col("r")) != F.col("want")).collect()
+
+
+def test_titles_end_at_code_points(spark):
+    cases = {("E", "m"): "E: m", ("", "x" * 120): "x" * 120, ("", "x" * 121): "x" * 117 + "...", ("", "x" * 116 + "é" + "y" * 9): "x" * 116 + "...", ("", "x" * 115 + "é" + "y" * 9): "x" * 115 + "é...", ("T", ""): "T", ("", ""): "Unknown Error"}
+    df = spark.createDataFrame([(*k, v) for k, v in cases.items()], "t string, m string, want string")
+    assert not df.filter(errors.title(F.col("t"), F.col("m")) != F.col("want")).collect()

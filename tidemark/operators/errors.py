@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scrubbing import first_bytes
 from tidemark.sources.model import DAY_MS
 
 # What a message's variable parts are replaced by, in this order.
@@ -19,6 +20,8 @@ VARIABLE_PARTS = (
     (r"\"[^\"]{20,}\"", '"{str}"'),
     (r"'[^']{20,}'", "'{str}'"),
 )
+#: Bytes of a title.
+TITLE_BYTES = 120
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 
@@ -50,10 +53,10 @@ def rage_click_hash(url: Column, selector: Column) -> Column:
 
 
 def title(error_type: Column, message: Column) -> Column:
-    """Type and message, up to 120 characters."""
+    """Type and message, up to TITLE_BYTES bytes; longer ones end in three dots behind their last whole code point."""
     kind, text = F.coalesce(error_type, F.lit("")), F.coalesce(message, F.lit(""))
     both = F.when(kind == "", text).when(text == "", kind).otherwise(F.concat_ws(": ", kind, text))
-    return F.when(both == "", "Unknown Error").otherwise(F.substring(both, 1, 120))
+    return F.when(both == "", "Unknown Error").when(text == "", kind).when(F.octet_length(both) <= TITLE_BYTES, both).otherwise(F.concat(first_bytes(both, TITLE_BYTES - 3), F.lit("...")))
 
 
 def culprit(frames: Column) -> Column:
