@@ -1,5 +1,7 @@
 """Span detectors, ranks, bounds, release series and channels against fixed vectors."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,13 @@ def test_titles_end_at_code_points(spark):
     cases = {("E", "m"): "E: m", ("", "x" * 120): "x" * 120, ("", "x" * 121): "x" * 117 + "...", ("", "x" * 116 + "é" + "y" * 9): "x" * 116 + "...", ("", "x" * 115 + "é" + "y" * 9): "x" * 115 + "é...", ("T", ""): "T", ("", ""): "Unknown Error"}
     df = spark.createDataFrame([(*k, v) for k, v in cases.items()], "t string, m string, want string")
     assert not df.filter(errors.title(F.col("t"), F.col("m")) != F.col("want")).collect()
+
+
+def test_rage_clicks_group_by_page_and_element(spark):
+    rows = [("RageClick", "a", "https://x.test/p?q=1", "#buy", ""), ("RageClick", "b", "https://x.test/p#f", "#buy", ""), ("RageClick", "a", "https://x.test/p", "#sell", ""), ("E", "a", "https://x.test/p", "#buy", ""), ("RageClick", "a", "https://x.test/p", "#buy", "own")]
+    df = spark.createDataFrame(rows, "t string, m string, u string, s string, c string")
+    found = [r[0] for r in df.select(errors.group_hash(F.col("t"), F.col("m"), None, F.col("c"), F.col("u"), F.col("s"))).collect()]
+    assert found[0] == found[1] and len(set(found)) == 4 and found[4] == "own"
+    assert found[0] == hashlib.md5(b"RageClick|https://x.test/p|#buy").hexdigest() and found[3] == hashlib.md5(b"E|a").hexdigest()
+    parts = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "p array<string>").select(errors.custom_fingerprint(F.col("p"))).collect()
+    assert [r[0] for r in parts] == [hashlib.md5(b"a|b|").hexdigest(), "", ""]

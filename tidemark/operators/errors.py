@@ -37,16 +37,25 @@ def _file(frame: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(frame["filename"], r"([^/]*)/*$", 1), r"[?#].*$", "")
 
 
-def group_hash(error_type: Column, message: Column, frames: Column | None = None, custom: Column | None = None) -> Column:
-    """Custom fingerprint, else type and in-app frames (filename, function, in_app), else type and parameterised message."""
+def group_hash(error_type: Column, message: Column, frames: Column | None = None, custom: Column | None = None, url: Column | None = None, selector: Column | None = None) -> Column:
+    """Custom fingerprint, else page and element of a rage click, else type and in-app frames (filename, function,
+    in_app), else type and parameterised message."""
     out = F.md5(F.concat_ws("|", error_type, parameterized(message)).cast("binary"))
     if frames is not None:
         own = F.filter(frames, lambda f: f["in_app"])
         parts = F.transform(own, lambda f: F.concat(_file(f), F.lit(":"), F.coalesce(F.nullif(f["function"], F.lit("")), F.lit("<anonymous>"))))
         out = F.when(F.size(own) > 0, F.md5(F.concat_ws("|", error_type, F.array_join(parts, "|")).cast("binary"))).otherwise(out)
+    if url is not None and selector is not None:
+        out = F.when(error_type == "RageClick", rage_click_hash(F.coalesce(url, F.lit("")), F.coalesce(selector, F.lit("")))).otherwise(out)
     return F.coalesce(F.nullif(custom, F.lit("")), out) if custom is not None else out
 
 
+def custom_fingerprint(parts: Column) -> Column:
+    """What group_hash takes as custom: a digest of the parts that a client sent, empty where it sent none."""
+    joined = F.array_join(F.transform(parts, lambda p: F.concat(F.coalesce(p, F.lit("")), F.lit("|"))), "")
+    return F.when(F.size(parts) > 0, F.md5(joined.cast("binary"))).otherwise("")
+
+
 def rage_click_hash(url: Column, selector: Column) -> Column:
     """Group of rage clicks on one element of a page, whatever the page's query."""
     return F.md5(F.concat_ws("|", F.lit("RageClick"), F.regexp_replace(url, r"[?#].*$", ""), selector).cast("binary"))
