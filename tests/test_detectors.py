@@ -46,6 +46,17 @@ def test_repeated_queries(spark):
     assert len(run(spark, detectors.repeated_queries, by_name)) == 1
 
 
+def of_service(row, name):
+    return (*row[:3], name, *row[4:])
+
+
+@pytest.mark.parametrize("services", [("api", "web"), ("web", "api")])
+def test_repeated_queries_alike_but_for_their_service(spark, services):
+    rows = [of_service(span(1, 0, 5, "SELECT 1"), s) for s in services] + [span(2, 10, 5, "SELECT 2")]
+    df = spark.createDataFrame(rows, SPANS).coalesce(1)  # in this order
+    assert [(r["title"], r["description"]) for r in detectors.repeated_queries(df, 2).collect()] == [("N+1 query: 3 repeated DB calls", "api — SELECT ?")]
+
+
 def test_serial_queries(spark):
     apart = [span(i, 100 * i, 60, f"SELECT {c} FROM t") for i, c in enumerate("abc")]
     found = run(spark, detectors.serial_queries, apart)

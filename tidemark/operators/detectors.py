@@ -76,11 +76,12 @@ def _severity(threshold: int) -> Column:
 def repeated_queries(spans: DataFrame, least: int = REPEATED) -> DataFrame:
     """The longest run, of least queries, of neighbouring siblings with one fingerprint; a query without any ends a run.
 
-    Of equal runs the first counts. One sort per parent; texts are kept once a run.
+    Of equal runs the first counts, of queries alike in id, times and fingerprint the smallest service. One sort per
+    parent; texts are kept once a run.
     """
     siblings, order = _siblings(spans)
     marked = siblings.withColumn("new", ~F.coalesce((F.col("statement_") == F.lag("statement_").over(order)) & (F.col("statement_") != ""), F.lit(False)))
-    at = F.struct("start_ms", "span_id", "end_ms")
+    at = F.struct("start_ms", "span_id", "end_ms", "service")
     of = _runs(marked, order).filter("statement_ <> ''").groupBy("trace_id", "parent_span_id", "run").agg(
         F.count("*").alias("n"), F.first("statement_").alias("statement_"), F.min_by("service", at).alias("service"), F.min("start_ms").alias("first_ms"), F.max_by("end_ms", at).alias("last_ms")
     )
