@@ -67,6 +67,17 @@ def test_serial_queries(spark):
     assert [r["title"] for r in run(spark, detectors.serial_queries, longest)] == ["6 serial DB queries (950ms total)"]
 
 
+@pytest.mark.parametrize("services", [("api", "web"), ("web", "api")])
+def test_serial_queries_alike_but_for_their_service(spark, services):
+    """The first of the two ends a run, the other one begins the longest."""
+    rows = [of_service(span(1, 0, 60, "SELECT 1"), s) for s in services] + [span(2, 100, 60, "SELECT 2")]
+    df = spark.createDataFrame(rows, SPANS).coalesce(1)  # in this order
+    assert [(r["title"], r["description"]) for r in detectors.serial_queries(df, 2).collect()] == [("2 serial DB queries (120ms total)", "web — consider parallelizing or batching")]
+    begun = [of_service(span(1, 0, 0, f"SELECT {s}"), s) for s in services] + [span(2, 0, 160, "SELECT 2")]
+    df = spark.createDataFrame(begun, SPANS).coalesce(1)
+    assert [(r["title"], r["description"]) for r in detectors.serial_queries(df, 2).collect()] == [("3 serial DB queries (160ms total)", "api — consider parallelizing or batching")]
+
+
 def test_slow_spans(spark):
     rows = [span(1, 0, 999, "SELECT 1"), span(2, 0, 1000, "SELECT 2"), span(3, 0, 5000, "", system="pg", operation="op"), span(4, 0, 5000, operation="stripe.charge")]
     assert [(r["title"], r["severity"], r["description"]) for r in sorted(run(spark, detectors.slow_queries, rows), key=lambda r: r["title"])] == [("Slow DB query: 1000ms", "warning", "api — SELECT ?"), ("Slow DB query: 5000ms", "error", "api — op")]

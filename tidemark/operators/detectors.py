@@ -58,10 +58,10 @@ def _statement(spans: DataFrame) -> Column:
 
 
 def _siblings(spans: DataFrame) -> tuple[DataFrame, Window]:
-    """Queries under a parent, with their fingerprints, and the order in which they began."""
+    """Queries under a parent, with their fingerprints, and the order in which they began, of queries alike by service."""
     found = spans.filter((F.coalesce(F.col("parent_span_id").cast("string"), F.lit("")) != "") & is_query(spans))
     shown = found.select("trace_id", "parent_span_id", "span_id", "service", "start_ms", "end_ms", "duration_ms", fingerprint(_statement(spans)).alias("statement_"))
-    return shown, Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id", "end_ms", "statement_")
+    return shown, Window.partitionBy("trace_id", "parent_span_id").orderBy("start_ms", "span_id", "end_ms", "statement_", "service")
 
 
 def _runs(marked: DataFrame, order: Window) -> DataFrame:
@@ -96,7 +96,7 @@ def serial_queries(spans: DataFrame, least: int = SERIAL, least_ms: int = SERIAL
     """The longest run, of least queries and least_ms together, of siblings that begin when the one before has ended."""
     siblings, order = _siblings(spans)
     marked = siblings.withColumn("new", ~F.coalesce(F.col("start_ms") >= F.lag("end_ms").over(order), F.lit(False)))
-    at = F.struct("start_ms", "span_id", "end_ms")
+    at = F.struct("start_ms", "span_id", "end_ms", "statement_", "service")
     of = _runs(marked, order).groupBy("trace_id", "parent_span_id", "run").agg(
         F.count("*").alias("n"), F.sum("duration_ms").alias("total"), F.min_by("service", at).alias("service"), F.min("start_ms").alias("first_ms"), F.max_by("end_ms", at).alias("last_ms"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "span_id", "end_ms", "statement_"))), lambda x: x["statement_"]), "|").alias("statements"),
