@@ -93,6 +93,17 @@ def test_issues_by_fingerprint(spark):
     assert [(r["events"], r["first_ms"], r["last_ms"], r["severity"], r["trace_id"]) for r in worst] == [(4, 0, 5000, "error", "c")]
 
 
+def test_issues_of_queries_alike_but_for_their_service(spark):
+    rows = [of_service(span(1, 0, 60, "SELECT 1", trace=t), s) for t, pair in (("t1", ("api", "web")), ("t2", ("web", "api"))) for s in pair] + [span(2, 100, 60, "SELECT 2", trace=t) for t in ("t1", "t2")]
+    df = spark.createDataFrame(rows, SPANS).coalesce(1)  # in this order
+    found = detectors.performance_issues(*[detector(of, 2) for of in (df.filter("trace_id = 't1'"), df.filter("trace_id = 't2'")) for detector in (detectors.repeated_queries, detectors.serial_queries)])
+    assert sorted((r["kind"], r["events"], r["trace_id"], r["description"]) for r in found.collect()) == [
+        ("consecutive_db", 2, "t1", "web — consider parallelizing or batching"), ("n_plus_one_db", 2, "t1", "api — SELECT ?"),
+    ]
+    each = [detectors.repeated_queries(df.filter(F.col("trace_id") == t), 2).select("description").collect() for t in ("t1", "t2")]
+    assert each[0] == each[1]
+
+
 def test_trace_funnel_gaps(spark):
     rows = [("A", "p", 100), ("A", "c", 500), ("A", "k", 1500), ("B", "p", 50), ("B", "c", 200), ("C", "p", 10), ("D", "c", 5), ("D", "p", 6), ("D", "c", 6), ("D", "k", 7)]
     df = spark.createDataFrame(rows, "trace_id string, operation string, start_ms long")
