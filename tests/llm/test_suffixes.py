@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SMALL
-from tidemark.llm import suffixes
+from tidemark.llm import queries, suffixes
 
 
 def brute(rows, length):
@@ -98,3 +98,31 @@ def test_a_text_of_megabytes(spark):
 def test_segments_are_packed_whole():
     for raw in (b"", b"a", bytes(range(256)) * 900):
         assert suffixes.unpacked(suffixes.packed(raw)) == raw
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT_KINDS, 1])
+def test_passages_under_the_length_that_is_removed(spark, hot):
+    """Passages of 290 to 420 bytes in other texts and twice in one, at ends of texts, and copied texts of 350 bytes."""
+    rng = random.Random(17)
+
+    def noise(n):
+        return "".join(rng.choice("ab") for _ in range(n))
+
+    passages = [noise(n) for n in (290, 299, 300, 301, 330, 385, 399, 400, 401, 420)]
+    rows = [(k, noise(k % 3 * 90) + passages[k % 10] + noise(k % 4 * 80)) for k in range(60)]
+    rows += [(60, passages[4] + noise(50) + passages[4]), (61, passages[5] + passages[6]), (62, passages[9][5:350]), (63, None)]
+    rows += [(70 + k, copy) for k, copy in enumerate([noise(350)] * 2 + [noise(299)] * 2 + [noise(400)] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffixes.repeated_bytes(docs, hot=hot, passage=300)
+    assert order(result(found)) == order(brute(rows, 400))
+    assert {r["doc_id"]: r["n_repeated"] for r in found.collect()} == {r[0]: r[2] for r in brute(rows, 300)}
+
+
+def test_the_query_counts_passages_of_over_fifty_words(spark):
+    """All documents against brute force at both lengths; passages that the longer one leaves are counted."""
+    found = queries.op1_suffix_array_dedup(spark, SMALL)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert order(result(found)) == order(brute(rows, 400))
+    counted = {r["doc_id"]: r["n_repeated"] for r in found.collect()}
+    assert counted == {r[0]: r[2] for r in brute(rows, 300)}
+    assert any(counted[r[0]] and not r[2] for r in brute(rows, 400))
